@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tsumugi.llm import leaks, lookalikes, sentences
 from tsumugi.llm.burst_counts import count_terms
 from tsumugi.llm.topn import top_n
 from tsumugi.runtime import table
@@ -76,5 +77,39 @@ UNION ALL
 SELECT word_id, 'common' FROM counts WHERE n_sentences > (SELECT max_share FROM vocab_settings) * (SELECT count(DISTINCT s) FROM words)
 """
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_counts": p3_counts}
+def p1_found(spark: SparkSession, base: str) -> DataFrame:
+    requests = table(spark, base, "parse_requests").select(F.lit("parse_requests").alias("src"), F.col("request_id").alias("rec_id"), F.lit(0).cast("long").alias("shift"), "text")
+    requests = requests.where(F.col("text").isNotNull()).dropDuplicates()
+    model = sentences.train(table(spark, base, "parse_requests").select(F.col("request_id").alias("rec_id"), "text"))
+    streams = sentences.stream_paragraphs(table(spark, base, "sentence_reads")).select(F.lit("sentence_reads").alias("src"), "rec_id", "shift", "text")
+    in_streams = sentences.split_texts(streams, model)
+    numbered = in_streams.withColumn("sent_no", F.row_number().over(Window.partitionBy("rec_id").orderBy("start_pos")))
+    return sentences.split_texts(requests, model).unionByName(numbered).drop("shift")
+
+
+def _looks(spark: SparkSession, base: str) -> DataFrame:
+    requests = table(spark, base, "parse_requests").select(F.lit("parse_requests.text").alias("field"), F.col("request_id").alias("id"), "text")
+    entries = table(spark, base, "user_entries").select(F.lit("user_entries.surface").alias("field"), F.col("entry_id").alias("id"), F.col("surface").alias("text"))
+    return requests.unionByName(entries)
+
+
+def p5_found(spark: SparkSession, base: str) -> DataFrame:
+    records = _looks(spark, base)
+    return lookalikes.same_look_pairs(records, lookalikes.learn_scores(records, "text"))
+
+
+def p5_forms(spark: SparkSession, base: str) -> DataFrame:
+    records = _looks(spark, base)
+    return lookalikes.with_forms(records, "text", lookalikes.learn_scores(records, "text")).select("field", "id", "form")
+
+
+def p9_found(spark: SparkSession, base: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, base, "documents"), table(spark, base, "eval_items")).select("doc_id", "item_id")
+
+
+def p9_passages(spark: SparkSession, base: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, base, "documents"), table(spark, base, "eval_items"), fuzzy=True)
+
+
+QUERIES = {"p1_found": p1_found, "p5_found": p5_found, "p5_forms": p5_forms, "p9_found": p9_found, "p9_passages": p9_passages, "p2_found": p2_found, "p3_found": p3_found, "p3_counts": p3_counts}
 SQL = {"p2_found": P2_SQL, "p3_found": P3_FOUND_SQL, "p3_counts": P3_COUNTS_SQL}
