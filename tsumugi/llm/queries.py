@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tsumugi.llm import leaks, lookalikes, sentences
+from tsumugi.llm import languages, leaks, lookalikes, packing, sentences
 from tsumugi.llm.burst_counts import count_terms
 from tsumugi.llm.topn import top_n
 from tsumugi.runtime import table
@@ -111,5 +111,33 @@ def p9_passages(spark: SparkSession, base: str) -> DataFrame:
     return leaks.find_leaks(table(spark, base, "documents"), table(spark, base, "eval_items"), fuzzy=True)
 
 
-QUERIES = {"p1_found": p1_found, "p5_found": p5_found, "p5_forms": p5_forms, "p9_found": p9_found, "p9_passages": p9_passages, "p2_found": p2_found, "p3_found": p3_found, "p3_counts": p3_counts}
+def p8_packed(spark: SparkSession, base: str) -> DataFrame:
+    settings = [(r.pack_id, r.capacity_tokens) for r in table(spark, base, "pack_settings").distinct().collect()]
+    return packing.pack(table(spark, base, "documents"), sorted(settings))
+
+
+def p8_containers(spark: SparkSession, base: str) -> DataFrame:
+    packed = p8_packed(spark, base)
+    return packed.groupBy("pack_id", "container_no").agg(F.sum("n_tokens").alias("used_tokens"), F.count(F.lit(1)).alias("n_items"))
+
+
+def p10_found(spark: SparkSession, base: str) -> DataFrame:
+    return languages.doubtful(_languages(spark, base))
+
+
+def _languages(spark: SparkSession, base: str) -> DataFrame:
+    documents = table(spark, base, "documents")
+    return languages.document_languages(documents, languages.train(documents))
+
+
+def p10_languages(spark: SparkSession, base: str) -> DataFrame:
+    return _languages(spark, base).select("doc_id", "lang", "share", "confidence")
+
+
+def p10_segments(spark: SparkSession, base: str) -> DataFrame:
+    documents = table(spark, base, "documents")
+    return languages.language_segments(documents, languages.train(documents))
+
+
+QUERIES = {"p8_packed": p8_packed, "p8_containers": p8_containers, "p10_found": p10_found, "p10_languages": p10_languages, "p10_segments": p10_segments, "p1_found": p1_found, "p5_found": p5_found, "p5_forms": p5_forms, "p9_found": p9_found, "p9_passages": p9_passages, "p2_found": p2_found, "p3_found": p3_found, "p3_counts": p3_counts}
 SQL = {"p2_found": P2_SQL, "p3_found": P3_FOUND_SQL, "p3_counts": P3_COUNTS_SQL}
