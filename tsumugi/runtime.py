@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
@@ -39,3 +40,17 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def numbered(df: DataFrame, order: list, name: str, first: int = 0) -> DataFrame:
+    """``df`` with consecutive numbers in ``order``, without a task that sees all rows.
+
+    Rows are range-partitioned and sorted; each number is the row's place in its partition
+    plus the sizes of the partitions before. The placed rows are written once, so numbers
+    do not depend on how often they are read.
+    """
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = durable(ordered.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() % F.lit(1 << 33)))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    return placed.join(offsets, "_p").withColumn(name, F.col("_i") + F.col("_o") + first).drop("_p", "_i", "_o")
