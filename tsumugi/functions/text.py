@@ -138,7 +138,7 @@ CHAR_CLASSES = {
     "ascii_letter": "A-Za-z",
     "digit": "0-9",
     "punctuation": r"!-/:-@\[-`{-~" + "".join(c for c in CJK_PUNCTUATION if not "぀" <= c <= "ヿ"),
-    "whitespace": "\\t-\\r \u0085   -     　",
+    "whitespace": "\\t-\\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000",
 }
 
 

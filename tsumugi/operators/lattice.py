@@ -76,7 +76,7 @@ def lattice_edges(nodes: DataFrame, texts: DataFrame, lexicon: Lexicon) -> DataF
 def lattice_stats(nodes: DataFrame) -> DataFrame:
     """Per text: nodes, positions, most and mean nodes at a position, and the saturating product of the counts."""
     at = nodes.groupBy("text_id", "end_pos").agg(F.count(F.lit(1)).alias("n"))
-    most = F.lit(18446744073709551615).cast("decimal(20,0)")
+    most = F.lit("18446744073709551615").cast("decimal(20,0)")
     bits = F.sum(F.log2("n"))
     exact = F.aggregate(F.collect_list(F.col("n").cast("decimal(20,0)")), F.lit(1).cast("decimal(38,0)"), lambda a, n: (a * n).cast("decimal(38,0)"))
     return at.groupBy("text_id").agg(
