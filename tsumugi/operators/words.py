@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tsumugi.functions.features import escape_json
+from tsumugi.functions.text import trim_whitespace
 from tsumugi.operators.lexicon import ENTRY
 
 DEFAULT_POS = "名詞,固有名詞,一般,*,*,*"
@@ -17,14 +18,14 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     Fields have no quoting here. Blank lines and comments have no row; a line is valid with at
     least four fields and a 16-bit cost.
     """
-    text = F.trim(F.col("line"))
+    text = trim_whitespace("line")
     rows = lines.where((text != "") & ~text.startswith("#"))
-    fields = F.split(text, ",")
-    cost = F.expr("try_cast(trim(get(split(trim(line), ','), 3)) as smallint)").cast("int")
+    fields = F.transform(F.split(text, ","), trim_whitespace)
+    cost = F.get(fields, 3).try_cast("smallint").cast("int")
     short = F.size(fields) < 4
     error = F.when(short, "too few fields").when(cost.isNull(), "invalid cost")
-    pos = F.when(F.size(fields) > 4, F.array_join(F.slice(fields, F.lit(5), F.size(fields)), ",")).otherwise(DEFAULT_POS)
-    place = lambda i: F.trim(F.get(fields, i))
+    pos = F.when(F.size(fields) > 4, F.array_join(F.slice(F.split(text, ","), F.lit(5), F.size(fields)), ",")).otherwise(DEFAULT_POS)
+    place = lambda i: F.get(fields, i)
     return rows.select("*", place(0).alias("surface"), place(1).alias("reading"), place(2).alias("pronunciation"), cost.alias("cost"), pos.alias("pos"), error.alias("error"))
 
 
