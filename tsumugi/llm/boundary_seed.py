@@ -35,10 +35,16 @@ SPACED = {
         "Ms. Young lives on Elm St. near the park.",
         "Rev. Black et al. disagree.",
         "The cat sat on the mat.",
+        '"The house is old."',
+        '"We leave at noon!"',
+        'They call it "the end."',
         "It fits Tom (a big one!).",
         "They left (at last).",
         "We saw it (who did not?).",
         "Nobody knew the way home.",
+        '"Who is there? I am coming!" called Max.',
+        "The list was made by Ian.",
+        "Give the rest to Amy.",
         "Some words are never found.",
         "It compares the list with No. 12 of the set.",
         "Stone Co. bought Hill Corp. last year.",
@@ -60,8 +66,14 @@ SPACED = {
         "Die Frist endet am 1. Oktober.",
         "Im 19. Jahrhundert lebte er in der Bahnhofstr. 5.",
         "Niemand kennt den Weg.",
+        "„Wer ist da? Ich komme!“, rief Uwe.",
+        "Das Buch gehört Ute.",
+        "Morgen fährt Max.",
+        "Alles liegt bei Ida.",
         "Sie blieb (wie immer).",
         "Das Register ist neu.",
+        "„Das Haus ist alt.“",
+        "Man nennt es „das Ende.“",
         "Das Kind schläft schon.",
         "Fr. Lang und Frl. Kurz wohnen ggf. dort.",
         "Es gab Brot, Käse usw.",
@@ -76,6 +88,7 @@ SPACED = {
         "Il y a des pommes, des poires, etc.",
         "Est-ce que tu viens ?",
         "Quel beau livre !",
+        "« La maison est vieille. »",
         "Le prix passe de 3,5 à 4,25 selon Luc.",
         "Le Dr. Martin habite av. Foch.",
         "Je ne sais pas.",
@@ -83,6 +96,8 @@ SPACED = {
         "Eh bien... Paul ne dit rien.",
         "On le trouve à la p. 12 du cahier.",
         "Il est né en 1970.",
+        "« Qui est là ? J'arrive ! » cria Max.",
+        "Le livre est à Zoé.",
         "La réponse est ici.",
     ],
     "es": [
@@ -92,12 +107,15 @@ SPACED = {
         "Vive en EE. UU. desde enero, según Ud. dijo.",
         "¿Quién es usted?",
         "¡Qué bonito!",
+        "«La casa es vieja.»",
         "Según Eva, el texto tiene 12.345 palabras.",
         "Compró pan, leche, etc.",
         "No lo sé.",
         "Se fue (¡por fin!).",
         "Pues... Juan nunca vino.",
         "Nació en 1975.",
+        "«¿Quién es? Ya voy.», gritó Max.",
+        "El libro es de Leo.",
         "Ana perdió el libro otra vez.",
         "Véase el cap. 3, vol. 2 y la fig. 5 del Prof. Sanz.",
     ],

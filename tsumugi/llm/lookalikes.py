@@ -56,6 +56,8 @@ class _Folding(dict):
             folded = ""
         elif c in HYPHENS:
             folded = "-"
+        elif c in CLASS_OF:
+            folded = c
         elif category == "Zs" or c == "\t":
             folded = " "
         elif c in "゛゜":
@@ -163,7 +165,8 @@ def learn_scores(texts: DataFrame, column: str) -> Scores:
 
 
 def with_forms(texts: DataFrame, column: str, scores: Scores, form: str = "form") -> DataFrame:
-    """``texts`` with the canonical form of ``column`` added."""
+    """``texts`` with the canonical form of ``column`` added; an older column ``form`` is replaced."""
+    texts = texts.drop(form)
     shared = texts.sparkSession.sparkContext.broadcast(scores)
     at = texts.columns.index(column)
     names = [*texts.columns, form]

@@ -41,6 +41,7 @@ STOPS = ".!?。！？．।॥…‥؟۔｡"
 ALWAYS = "。！？।॥｡"
 OPENERS = {"「": "」", "『": "』", "（": "）", "(": ")", "[": "]", "【": "】", "〔": "〕", "《": "》", "〈": "〉", "«": "»", "“": "”", "„": "“", "｢": "｣", "［": "］"}
 CLOSERS = set(OPENERS.values()) | {'"', "”", "’", "'"}
+VOWELS = frozenset("aeiouyäöüáéíóúàèìòùâêîôû")
 MONTHS = frozenset(
     "januar jänner februar märz april mai juni juli august september oktober november dezember "
     "january february march may june july october december janvier février mars avril juin juillet août septembre octobre novembre décembre "
@@ -205,6 +206,8 @@ def features(text: str, start: int, end: int, begun: int, follow: int | None = N
     f = [f"s={stop}{closer}", f"s={stop}{gap}", f"s={stop}|n={quoted}{after}{gap}", f"s={stop}|sh={shape}|n={after}", f"s={stop}|sc={script}|n={after}{gap}"]
     if stop == ".":
         f += [f"shut={text[start - 1] in CLOSERS if start else False}|n={after}", f"w={low}", f"w={low}|n={after}", f"len={short}|{shape}|n={after}", f"sh={shape}|n={after}{gap}", f"script={script}"]
+        vowels = "e" if low[-1:] in VOWELS and low else "v" if any(c in VOWELS for c in low) else "-"
+        f += [f"vowel={vowels}|{shape}|n={after}", f"vowel={vowels}|len={short}|{shape}"]
         if shape == "num":
             f += [f"num{min(len(word), 3)}|n={after}", f"num|b={before}", f"num|month={after_word in MONTHS}"]
         if shape == "initial":
