@@ -38,6 +38,13 @@ TOKEN_SCHEMA = pa.schema(
 Node = tuple
 
 
+def connection_cells(lexicon: Lexicon) -> dict[tuple[int, int], int]:
+    """Costs by (right id, left id); ids have 16 bits, in practice a few thousand values each."""
+    columns = lexicon.connections.select("right_id", "left_id", "cost").toArrow()
+    right, left, cost = (c.to_pylist() for c in columns.columns)
+    return dict(zip(zip(right, left), cost))
+
+
 @dataclass
 class PrefixMap:
     """Entries by surface, with the lengths that occur for each first character."""
@@ -50,8 +57,9 @@ class PrefixMap:
     @classmethod
     def of(cls, lexicon: Lexicon) -> PrefixMap:
         out = cls()
-        for r in lexicon.entries.where("surface is not null and surface <> ''").select("surface", "word_id", "left_id", "right_id", "pos_id", "wcost", "feature", "layer").toLocalIterator():
-            out.words.setdefault(r.surface, []).append((r.layer, -1 if r.word_id is None else r.word_id, r.wcost, r.left_id, r.feature, r.right_id, r.pos_id, r.word_id))
+        for r in lexicon.entries.where("surface is not null and surface <> ''").select("surface", "word_id", "left_id", "right_id", "pos_id", "wcost", "feature", "layer").toArrow().to_pylist():
+            word = r["word_id"]
+            out.words.setdefault(r["surface"], []).append((r["layer"], -1 if word is None else word, r["wcost"], r["left_id"], r["feature"], r["right_id"], r["pos_id"], word))
         for surface, entries in out.words.items():
             entries.sort(key=lambda e: e[:5])
             known = out.lengths.setdefault(surface[0], [])
@@ -59,8 +67,7 @@ class PrefixMap:
                 known.append(len(surface))
         for r in lexicon.unknown.orderBy("category", "entry_ix").collect():
             out.unknown.setdefault(r.category, []).append((r.left_id, r.right_id, r.pos_id, r.wcost, r.feature))
-        for r in lexicon.connections.select("right_id", "left_id", "cost").toLocalIterator():
-            out.cells[r.right_id, r.left_id] = r.cost
+        out.cells = connection_cells(lexicon)
         return out
 
     def nodes(self, text: str) -> list[list[Node]]:
@@ -163,7 +170,7 @@ def _tokenize_joined(texts: DataFrame, lexicon: Lexicon, k: int, compat_eos: boo
     """The same over nodes joined to the texts, for lexicons too large to hand to every task."""
     members = ["start_pos", "end_pos", "layer", "word_id", "left_id", "right_id", "pos_id", "wcost", "feature", "is_unknown"]
     nodes = lattice_nodes(texts, lexicon).groupBy("text_id").agg(F.array_sort(F.collect_list(F.struct("end_pos", "node_ix", *[m for m in members if m != "end_pos"]))).alias("nodes"))
-    cells = {(r.right_id, r.left_id): r.cost for r in lexicon.connections.select("right_id", "left_id", "cost").toLocalIterator()}
+    cells = connection_cells(lexicon)
     shared = texts.sparkSession.sparkContext.broadcast(cells)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,6 +7,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+SMALL = 16 << 20  # bytes per core below which shuffled rows are redistributed for Python work
+
 
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     """Parquet table ``name`` below the folder ``base``."""
@@ -35,11 +37,17 @@ def durable(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over at least as many partitions as there are cores.
 
-    Inputs of many splits (every large table) are left alone; only a table of so few
-    splits that cores would idle is redistributed before CPU-bound Python work.
+    Inputs of many splits (every large table) are left alone. Only what would leave cores
+    idle is redistributed before CPU-bound Python work: scans of fewer splits than cores,
+    and shuffled rows so few that the adaptive planner would merge them into a few tasks.
+    Nothing is run to find this out.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    execution = df._jdf.queryExecution()
+    if execution.executedPlan().getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        size = int(execution.optimizedPlan().stats().sizeInBytes().toString())
+        return df.repartition(cores) if size < cores * SMALL else df
+    return df if execution.toRdd().getNumPartitions() >= cores else df.repartition(cores)
 
 
 def numbered(df: DataFrame, order: list, name: str, first: int = 0) -> DataFrame:
