@@ -45,7 +45,7 @@ def spread(df: DataFrame) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     execution = df._jdf.queryExecution()
     if execution.executedPlan().getClass().getSimpleName() == "AdaptiveSparkPlanExec":
-        size = int(execution.optimizedPlan().stats().sizeInBytes().toString())
+        size = int(str(execution.optimizedPlan().stats().sizeInBytes()))
         return df.repartition(cores) if size < cores * SMALL else df
     return df if execution.toRdd().getNumPartitions() >= cores else df.repartition(cores)
 
