@@ -10,6 +10,8 @@ from tsumugi.functions.phonetic import token_ipa
 from tsumugi.operators import entities as en
 from tsumugi.operators import exports as ex
 from tsumugi.operators.nested import flatten_entities
+from tsumugi.plans.records import ENTITY_SQL
+from tsumugi.plans.text import IPA_CASE
 from tsumugi.runtime import table
 
 MOST = 3
@@ -156,7 +158,24 @@ QUERIES = {
     for f in (knowledge_base, knowledge_base_size, candidate_index, merge_lexicon, entity_link, disambiguate_highest, disambiguate_prior, disambiguate_context, disambiguate_none, pool_entries, pool_stats)
     + (export_plain, export_plain_ipa, export_dump, export_json, export_wakati, export_word_ids, export_triples, export_ntriples, export_nquads, export_turtle, export_jsonld, entity_mentions)
 }
+_KB = ENTITY_SQL + """, ids AS (SELECT line_id, nullif(regexp_extract(line, '"id"\\s*:\\s*"(Q[0-9]+)"', 1), '') AS entity_id FROM wikidata_lines), first AS (SELECT entity_id, min(line_id) AS line_id FROM ids WHERE entity_id IS NOT NULL GROUP BY 1),
+f AS (SELECT entity_id, kind, map_key, leaf_value FROM flat JOIN first USING (line_id) WHERE leaf_value IS NOT NULL), names AS (SELECT DISTINCT entity_id, leaf_value AS surface FROM f WHERE kind IN ('label', 'alias') AND map_key = 'ja'),
+links AS (SELECT entity_id, count(DISTINCT map_key) AS n FROM f WHERE kind = 'sitelink' GROUP BY 1),
+kb AS (SELECT surface, 'http://www.wikidata.org/entity/' || entity_id AS uri, max(least((0.1::FLOAT + least((coalesce(n, 0)::FLOAT / 100::FLOAT)::FLOAT, 0.9::FLOAT))::FLOAT, 1::FLOAT)) AS confidence FROM names LEFT JOIN links USING (entity_id) GROUP BY ALL)
+"""
+_JSONLD_HEAD = "'{' || chr(10) || '  \"@context\": {' || chr(10) || " + " || ',' || chr(10) || ".join(f"'    \"{p}\": \"{PREFIXES[p]}\"'" for p in ("wd", "dbr", "schema", "tok")) + " || chr(10) || '  },' || chr(10) || '  \"@type\": \"tok:Analysis\",' || chr(10) || '  \"tokens\": [' || chr(10)"
+
+
+def _member(name: str, value: str) -> str:
+    return f"coalesce('      \"{name}\": \"' || {value} || '\",' || chr(10), '')"
+
+
 SQL = {
+    "knowledge_base": _KB + "SELECT * FROM kb",
+    "knowledge_base_size": _KB + "SELECT count(DISTINCT surface) AS n_surfaces, count(*) AS n_mappings FROM kb",
+    "export_plain_ipa": f"WITH {_TOK}, i AS (SELECT *, {IPA_CASE} AS ipa FROM t), l AS (SELECT text_id, token_ix, surface || chr(9) || feature || coalesce(chr(10) || '  IPA: /' || ipa || '/', '') AS line FROM i) SELECT text_id, string_agg(line, chr(10) ORDER BY token_ix, line) || chr(10) || 'EOS' || chr(10) AS plain FROM l GROUP BY text_id",
+    "export_jsonld": f"""WITH {_TOK}, i AS (SELECT *, {IPA_CASE} AS ipa FROM t), l AS (SELECT text_id, token_ix, '    {{' || chr(10) || {_member("surface", _esc("surface"))} || {_member("pos", _esc("p[1]"))} || {_member("reading", _esc("nullif(p[8], '*')"))}
+  || {_member("pronunciation", "'/' || ipa || '/'")} || '      "wcost": ' || coalesce(wcost, 0) || chr(10) || '    }}' AS line FROM i) SELECT text_id, {_JSONLD_HEAD} || string_agg(line, ',' || chr(10) ORDER BY token_ix, line) || chr(10) || '  ]' || chr(10) || '}}' AS jsonld FROM l GROUP BY text_id""",
     "candidate_index": f"WITH {_CAND} SELECT surface, uri, entry_id FROM c",
     "merge_lexicon": f"""WITH {_CAND}, u AS (SELECT DISTINCT entry_id, surface FROM user_entries), k AS (SELECT surface, uri, row_number() OVER (PARTITION BY surface ORDER BY confidence DESC, uri) AS r FROM c),
 m AS (SELECT surface, count(*) AS n, string_agg(uri, '|' ORDER BY r) AS uris FROM k WHERE r <= {MOST} GROUP BY surface) SELECT entry_id, u.surface, coalesce(n, 0) AS n_candidates, coalesce(uris, '') AS uris FROM u LEFT JOIN m USING (surface)""",

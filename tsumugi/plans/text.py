@@ -134,11 +134,9 @@ def token_ipa(spark: SparkSession, base: str) -> DataFrame:
     return table(spark, base, "morphemes").select("morph_id", ph.token_ipa("feature").alias("ipa"))
 
 
-TOKEN_IPA_SQL = f"""
-WITH f AS (SELECT morph_id, string_split(feature, ',') AS p FROM morphemes)
-SELECT morph_id, CASE WHEN len(p) >= 9 AND p[9] NOT IN ('*', '') THEN {ipa_sql('p[9]')}
-  WHEN len(p) >= 8 AND p[8] NOT IN ('*', '') THEN CASE WHEN p[1] = '助詞' AND p[8] = 'ハ' THEN 'wa' WHEN p[1] = '助詞' AND p[8] = 'ヘ' THEN 'e' WHEN p[1] = '助詞' AND p[8] = 'ヲ' THEN 'o' ELSE {ipa_sql('p[8]')} END END AS ipa FROM f
-"""
+IPA_CASE = f"""CASE WHEN len(p) >= 9 AND p[9] NOT IN ('*', '') THEN {ipa_sql('p[9]')}
+  WHEN len(p) >= 8 AND p[8] NOT IN ('*', '') THEN CASE WHEN p[1] = '助詞' AND p[8] = 'ハ' THEN 'wa' WHEN p[1] = '助詞' AND p[8] = 'ヘ' THEN 'e' WHEN p[1] = '助詞' AND p[8] = 'ヲ' THEN 'o' ELSE {ipa_sql('p[8]')} END END"""
+TOKEN_IPA_SQL = f"WITH f AS (SELECT morph_id, string_split(feature, ',') AS p FROM morphemes) SELECT morph_id, {IPA_CASE} AS ipa FROM f"
 
 
 def feature_fields(spark: SparkSession, base: str) -> DataFrame:
