@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsumugi.runtime import spread
+from tsumugi.runtime import durable, spread
 
 # Delimiters that occur between values.
 DELIMITERS = ",;|\t、，；｜"
@@ -145,7 +145,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn_codes(fields: DataFrame, column: str = "feature") -> Codes:
     """Code lengths from all rows; what reaches the driver is bounded by 3 x TABLE entries."""
     counted = spread(fields.select(column).where(F.col(column).isNotNull())).mapInArrow(_count, "kind string, key string, weight long")
-    summed = counted.groupBy("kind", "key").agg(F.sum("weight").alias("weight"))
+    summed = durable(counted.groupBy("kind", "key").agg(F.sum("weight").alias("weight")))
     top = None
     for kind in "vcn":
         part = summed.where(F.col("kind") == kind).orderBy(F.desc("weight"), "key").limit(TABLE)
