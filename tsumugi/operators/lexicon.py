@@ -7,6 +7,7 @@ Adding or removing words makes a new bundle; running queries keep theirs.
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,7 @@ KANJI_NUMERALS = "〇一二三四五六七八九十百千万億兆"
 GROUPING = frozenset("DEFAULT SPACE SYMBOL NUMERIC ALPHA HIRAGANA KATAKANA KANJINUMERIC GREEK CYRILLIC".split())
 
 
+@lru_cache(maxsize=65536)
 def category(character: str) -> str:
     """Category of a character; beyond the basic plane and outside all ranges DEFAULT."""
     if character in KANJI_NUMERALS:

@@ -100,6 +100,8 @@ class PrefixMap:
 
 def solve(ending: list[list[Node]], connection: Callable[[int, int], int], k: int = 1, compat_eos: bool = False) -> list[tuple[int, list[tuple[Node, int]]]]:
     """The k cheapest paths as (cost, [(node, connection cost to it), ...])."""
+    if k == 1:
+        return [_best(ending, connection, compat_eos)]
     n = len(ending) - 1
     # By end position: per node its partial paths (cost, predecessor's partial, node, connection cost), cheapest first.
     begin = (0, None, None, 0)
@@ -109,34 +111,60 @@ def solve(ending: list[list[Node]], connection: Callable[[int, int], int], k: in
         options = []
         for right_id, paths in partial[start]:
             c = connection(right_id, left_id)
-            for p in paths:
-                cost = p[0] + c + wcost
-                if k > 1 or not options or cost < options[0][0]:
-                    options = options if k > 1 else []
-                    options.append((cost, p, node, c))
-        if k > 1:
-            options.sort(key=lambda o: o[0])
-            del options[k:]
-        return options
+            options.extend((p[0] + c + wcost, p, node, c) for p in paths)
+        options.sort(key=lambda o: o[0])
+        return options[:k]
 
     for end in range(1, n + 1):
-        for node in sorted(ending[end], key=lambda x: x[0]):
+        for node in ending[end]:
             if partial[node[0]]:
                 partial[end].append((node[4], extend(node, node[3], node[6], node[0])))
     final = extend(None, 0, 0, n)
+    return [(cost, _trace(p)) for cost, p, _, _ in final]
+
+
+def _trace(p: tuple | None) -> list[tuple[Node, int]]:
+    path = []
+    while p is not None and p[2] is not None:
+        path.append((p[2], p[3]))
+        p = p[1]
+    return path[::-1]
+
+
+def _best(ending: list[list[Node]], connection: Callable[[int, int], int], compat_eos: bool) -> tuple[int, list[tuple[Node, int]]]:
+    """The cheapest path. Of the nodes that end at one position with one right id only the cheapest
+    can go on, and nodes with one left id that start at one position share their predecessor."""
+    n = len(ending) - 1
+    at: list[list[tuple]] = [[(0, None, None, 0, 0)]] + [[] for _ in range(n)]  # (cost, predecessor, node, connection cost, right id)
+    shared: list[dict[int, tuple]] = [{} for _ in range(n + 1)]
+
+    def predecessor(start: int, left_id: int) -> tuple:
+        hit = shared[start].get(left_id)
+        if hit is None:
+            best = None
+            for p in at[start]:
+                c = connection(p[4], left_id)
+                if best is None or p[0] + c < best[0]:
+                    best = (p[0] + c, p, c)
+            hit = shared[start][left_id] = best
+        return hit
+
+    for end in range(1, n + 1):
+        kept: dict[int, tuple] = {}
+        for i, node in enumerate(ending[end]):
+            if at[node[0]]:
+                cost, p, c = predecessor(node[0], node[3])
+                cost += node[6]
+                old = kept.get(node[4])
+                if old is None or cost < old[1]:
+                    kept[node[4]] = (i, cost, p, node, c)
+        at[end] = [(cost, p, node, c, node[4]) for _, cost, p, node, c in sorted(kept.values(), key=lambda x: x[0])]
+    cost, last, _ = predecessor(n, 0)
     if compat_eos and n:
-        words = [p for _, paths in partial[n] for p in paths[:1]]
-        entries = words + final
-        best = min(range(len(entries)), key=lambda i: entries[i][0])
-        final = [(entries[best][0], entries[best][1], None, 0)]
-    out = []
-    for cost, p, _, _ in final:
-        path = []
-        while p is not None and p[2] is not None:
-            path.append((p[2], p[3]))
-            p = p[1]
-        out.append((cost, path[::-1]))
-    return out
+        word = min(at[n], key=lambda x: x[0])
+        if word[0] <= cost:
+            return word[0], _trace(word[1])
+    return cost, _trace(last)
 
 
 def _tokens(rows: Iterator[tuple[int, str, list[list[Node]]]], connection: Callable[[int, int], int], k: int, compat_eos: bool) -> pa.RecordBatch:
