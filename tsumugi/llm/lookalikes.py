@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsumugi.runtime import spread
+from tsumugi.runtime import durable, spread
 
 # Characters of the same shape; the members of a class are separated by nothing.
 CLASSES = (
@@ -188,7 +188,8 @@ def same_look_pairs(records: DataFrame, scores: Scores) -> DataFrame:
     Only forms that occur in at least two spellings are joined, so copies of one spelling
     never meet each other.
     """
-    forms = with_forms(records.select("field", "id", "text").where(F.col("text").isNotNull()).dropDuplicates(), "text", scores).where(F.col("form").isNotNull())
+    forms = with_forms(records.select("field", "id", "text").where(F.col("text").isNotNull()).dropDuplicates(), "text", scores)
+    forms = durable(forms.where(F.col("form").isNotNull()))
     several = forms.groupBy("field", "form").agg(F.min("text").alias("_lo"), F.max("text").alias("_hi")).where(F.col("_lo") != F.col("_hi")).select("field", "form")
     members = forms.join(several, ["field", "form"])
     a = members.select("field", "form", F.col("id").alias("id_a"), F.col("text").alias("text_a"))
