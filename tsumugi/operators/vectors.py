@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from tsumugi.runtime import numbered
 
 UNKNOWN_WORD = 4294967295  # fixed value
+STEP = 256  # pairs per update
+REPEATS = 4  # gradients of one word that an update adds up in full
 
 
 def lookup(tokens: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -52,6 +54,37 @@ def context_pairs(lists: DataFrame, window: int) -> DataFrame:
     return lists.where(F.size("word_ids") > 1).select(F.explode(pairs).alias("p")).select("p.center", "p.context")
 
 
+def _sentence_pairs(sentence: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(centers, contexts) of a sentence whose words look ``spans`` places to both sides."""
+    centers, contexts = [sentence[:0]], [sentence[:0]]
+    for o in range(1, int(spans.max(initial=0)) + 1):
+        i = np.flatnonzero(spans >= o)
+        for j in (i - o, i + o):
+            inside = (j >= 0) & (j < len(sentence))
+            centers.append(sentence[i[inside]])
+            contexts.append(sentence[j[inside]])
+    return np.concatenate(centers), np.concatenate(contexts)
+
+
+def _step(a: np.ndarray, b: np.ndarray, touched: np.ndarray, pairs: list, table: np.ndarray, negative: int, rate: float, draw: np.random.Generator) -> None:
+    """One update of both layers from a few hundred pairs with drawn negatives."""
+    center, context = (np.concatenate(x) for x in zip(*pairs))
+    if not len(center):
+        return
+    noise = np.minimum(np.searchsorted(table, draw.random((len(center), negative))), len(a) - 1)
+    targets = np.concatenate((center[:, None], noise), axis=1)
+    label = (targets == center[:, None]).astype(np.float32)
+    h, out = a[context], b[targets]
+    score = np.einsum("pkd,pd->pk", out, h)
+    g = ((label - 1 / (1 + np.exp(-np.clip(score, -6, 6)))) * rate).astype(np.float32)
+    flat = targets.ravel()
+    for matrix, layer, rows, change in ((a, 0, context, np.einsum("pk,pkd->pd", g, out)), (b, 1, flat, (g[:, :, None] * h[:, None, :]).reshape(-1, a.shape[1]))):
+        n = np.bincount(rows, minlength=len(a))
+        change *= np.minimum(1.0, REPEATS / n[rows]).astype(np.float32)[:, None]  # all gradients of a step start from the same vectors
+        np.add.at(matrix, rows, change)
+        touched[:, layer] += n
+
+
 def train_word2vec(lists: DataFrame, size: int = 100, window: int = 5, negative: int = 5, min_count: int = 10, sample: float = 1e-4, alpha: float = 0.025, min_alpha: float = 0.0001, epochs: int = 3, seed: int = 1, partitions: int | None = None) -> DataFrame:
     """word_id and embedding by skip-gram with negative sampling, averaged over partitions each epoch.
 
@@ -81,28 +114,19 @@ def train_word2vec(lists: DataFrame, size: int = 100, window: int = 5, negative:
             a, b = (w.copy() for w in weights.value)
             touched = np.zeros((len(a), 2), np.int64)
             draw = None
+            waiting: list[tuple[np.ndarray, np.ndarray]] = []
             for batch in batches:
                 for words in batch.column(0).to_pylist():
                     if draw is None:
                         draw = np.random.default_rng([seed, epoch, len(words or ()), (words or [0])[0] or 0])
                     sentence = np.array([index[w] for w in words or () if w in index], np.int64)
                     sentence = sentence[draw.random(len(sentence)) < probability[sentence]] if len(sentence) else sentence
-                    spans = draw.integers(1, window + 1, len(sentence))
-                    for i, center in enumerate(sentence):
-                        for j in range(max(0, i - spans[i]), min(len(sentence), i + spans[i] + 1)):
-                            if i == j:
-                                continue
-                            targets = np.concatenate(([center], np.searchsorted(table, draw.random(negative))))
-                            label = np.zeros(len(targets), np.float32)
-                            label[0] = 1
-                            label = np.where(targets == center, 1, label)
-                            h = a[sentence[j]]
-                            g = (label - 1 / (1 + np.exp(-np.clip(b[targets] @ h, -6, 6)))) * rate
-                            step = g @ b[targets]
-                            np.add.at(b, targets, g[:, None] * h)
-                            a[sentence[j]] += step
-                            touched[sentence[j], 0] += 1
-                            touched[targets, 1] += 1
+                    waiting.append(_sentence_pairs(sentence, draw.integers(1, window + 1, len(sentence))))
+                    if sum(len(c) for c, _ in waiting) >= STEP:
+                        _step(a, b, touched, waiting, table, negative, rate, draw)
+                        waiting = []
+            if waiting:
+                _step(a, b, touched, waiting, table, negative, rate, draw)
             for layer, matrix, old in ((0, a, weights.value[0]), (1, b, weights.value[1])):
                 rows = np.flatnonzero(touched[:, layer])
                 delta = (matrix[rows] - old[rows]) * touched[rows, layer][:, None]
