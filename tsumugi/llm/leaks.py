@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tsumugi.llm.languages import NAMES
 from tsumugi.runtime import spread
 
 ERRORS = 1
@@ -48,8 +49,10 @@ def letters(text: str) -> str:
 
 def run_length(lang: str | None, text: str) -> int:
     """The run that counts as a leak: by the item's language, by its letters if that is not given."""
-    if lang:
-        return RUN_CJK if lang.lower().replace("_", "-").split("-")[0] in ("ja", "zh", "ko") else RUN_OTHER
+    named = (lang or "").strip().lower()
+    for code, names in NAMES.items():
+        if named in names.split() or re.split(r"[-_]", named)[0] in names.split():
+            return RUN_CJK if code in ("ja", "zh", "ko") else RUN_OTHER
     return RUN_CJK if 2 * len(_CJK.findall(text)) > len(text) else RUN_OTHER
 
 
