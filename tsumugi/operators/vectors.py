@@ -93,7 +93,7 @@ def train_word2vec(lists: DataFrame, size: int = 100, window: int = 5, negative:
     must fit into a task, as the vectors do.
     """
     spark = lists.sparkSession
-    vocab = [(r.word_id, r.remapped_id, r.n, r.sample_prob) for r in vocabulary(lists, min_count, sample).orderBy("remapped_id").toLocalIterator()]
+    vocab = [(r.word_id, r.remapped_id, r.n, r.sample_prob) for r in vocabulary(lists, min_count, sample).orderBy("remapped_id").collect()]
     if not vocab:
         raise ValueError("the vocabulary is empty")
     ids = {w: i for w, i, _, _ in vocab}
@@ -122,7 +122,7 @@ def train_word2vec(lists: DataFrame, size: int = 100, window: int = 5, negative:
                     sentence = np.array([index[w] for w in words or () if w in index], np.int64)
                     sentence = sentence[draw.random(len(sentence)) < probability[sentence]] if len(sentence) else sentence
                     waiting.append(_sentence_pairs(sentence, draw.integers(1, window + 1, len(sentence))))
-                    if sum(len(c) for c, _ in waiting) >= STEP:
+                    if sum(len(c) for c, _ in waiting) >= min(STEP, REPEATS * len(a)):
                         _step(a, b, touched, waiting, table, negative, rate, draw)
                         waiting = []
             if waiting:
@@ -133,10 +133,9 @@ def train_word2vec(lists: DataFrame, size: int = 100, window: int = 5, negative:
                 yield pa.RecordBatch.from_arrays([pa.array([layer] * len(rows), pa.int32()), pa.array(rows, pa.int64()), pa.array(touched[rows, layer]), pa.array([d.tolist() for d in delta], pa.list_(pa.float32()))], names=["layer", "ix", "n", "delta"])
 
         moved = base.mapInArrow(run, "layer int, ix long, n long, delta array<float>")
-        weight = moved.groupBy("layer", "ix").agg(F.sum("n").alias("n"))
-        summed = moved.select("layer", "ix", F.posexplode("delta").alias("d", "v")).groupBy("layer", "ix", "d").agg(F.sum("v").alias("v"))
-        mean = summed.join(weight, ["layer", "ix"]).groupBy("layer", "ix").agg(F.array_sort(F.collect_list(F.struct("d", (F.col("v") / F.col("n")).alias("m")))).getField("m").alias("delta"))
-        for r in mean.toLocalIterator():
+        summed = moved.select("layer", "ix", "n", F.posexplode("delta").alias("d", "v")).groupBy("layer", "ix", "d").agg((F.sum("v") / F.sum("n")).alias("m"))
+        mean = summed.groupBy("layer", "ix").agg(F.array_sort(F.collect_list(F.struct("d", "m"))).getField("m").alias("delta"))
+        for r in mean.collect():
             (syn0, syn1)[r.layer][r.ix] += np.array(r.delta, np.float32)
     return spark.createDataFrame([(w, syn0[i].tolist()) for w, i, _, _ in vocab], "word_id long, embedding array<float>")
 
