@@ -86,6 +86,6 @@ def lattice_stats(nodes: DataFrame) -> DataFrame:
 
 
 def connection_stats(connections: DataFrame) -> DataFrame:
-    """Least, greatest and mean cost, zero cells and their share."""
+    """Least, greatest and mean cost, zero cells and their share (NULL over nothing)."""
     zeros = F.count_if(F.col("cost") == 0)
-    return connections.agg(F.min("cost").alias("min_cost"), F.max("cost").alias("max_cost"), F.avg("cost").alias("avg_cost"), zeros.alias("n_zero"), (zeros / F.count(F.lit(1))).alias("sparsity"))
+    return connections.agg(F.min("cost").alias("min_cost"), F.max("cost").alias("max_cost"), F.avg("cost").alias("avg_cost"), zeros.alias("n_zero"), (zeros / F.nullif(F.count(F.lit(1)), F.lit(0))).alias("sparsity"))

@@ -74,7 +74,11 @@ def embedding_lookup(spark: SparkSession, base: str) -> DataFrame:
 
 
 def word2vec(spark: SparkSession, base: str) -> DataFrame:
-    vectors = ve.train_word2vec(corpus(spark, base).where(F.size("word_ids") > 1), size=16, window=3, min_count=MIN_COUNT, epochs=1)
+    """Dimensions of the trained words; without a word frequent enough there is no row."""
+    try:
+        vectors = ve.train_word2vec(corpus(spark, base).where(F.size("word_ids") > 1), size=16, window=3, min_count=MIN_COUNT, epochs=1)
+    except ValueError:
+        return spark.createDataFrame([], "word_id long, dim int")
     return vectors.select("word_id", F.size("embedding").alias("dim"))
 
 

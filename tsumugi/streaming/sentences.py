@@ -47,7 +47,8 @@ def stream_sentences(reads: DataFrame, boundary: str = JAPANESE, patience: str =
             more, pending = cut(pending, text, boundary)
             done += more
         state.update((pending,))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(rows[time].max().timestamp() * 1000)) + 1)
+        last = rows[time].max()  # NaT if no piece has a time: then the watermark alone decides
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0 if pd.isna(last) else int(last.timestamp() * 1000)) + 1)
         yield pd.DataFrame({"stream_id": [key[0]] * len(done), "sentence": done, "finished": [True] * len(done)})
 
     timed = reads.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, patience)
