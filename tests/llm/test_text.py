@@ -223,4 +223,4 @@ def test_packing(spark):
             assert all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:]))
         assert len(used) <= -(-sum(sizes.values()) // capacity) * 1.05 + 1
     assert sorted(map(tuple, pk.pack(df, settings_, salts=4).collect())) == sorted(map(tuple, rows))
-    assert pk.pack(df.limit(0), settings_).count() == 0
+    assert pk.pack(df.limit(0), settings_).count() == 0 and pk.pack(df, [(None, 5), (1, None), (2, 0)]).count() == 0

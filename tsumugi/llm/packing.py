@@ -13,8 +13,8 @@ with running offsets, so a length shared by a third of all documents meets in no
 the plan's ranges are found by binary search.
 
 Defined results: NULL or empty texts have no tokens and no row; the same plan and places
-come out of every run over the same documents; capacities that are NULL or below 1 are left
-out.
+come out of every run over the same documents; settings without an id or with a capacity that is
+NULL or below 1 are left out.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WINDOW = 96  # distinct lengths that one search considers first
 SALTS = 512
+PACKED = "pack_id int, container_no long, doc_id long, piece_no int, start_token long, n_tokens long"
 
 _encodings: dict[str, object] = {}
 
@@ -150,7 +151,9 @@ def pack(documents: DataFrame, settings: list[tuple[int, int]], path: str = TOKE
     ``settings`` are (pack_id, capacity). The token counts are written to the shared folder
     once; the driver sees one count per length and capacity.
     """
-    settings = [(p, c) for p, c in settings if c and c > 0]
+    settings = [(p, c) for p, c in settings if p is not None and c and c > 0]
+    if not settings:
+        return documents.sparkSession.createDataFrame([], PACKED)
     counted = durable(token_counts(documents, path)).where(F.col("n_tokens") > 0)
     options = F.array(*[F.struct(F.lit(p).cast("int").alias("pack_id"), F.lit(c).cast("long").alias("capacity")) for p, c in settings])
     pieces = counted.withColumn("o", F.explode(options)).select("doc_id", "n_tokens", "o.pack_id", "o.capacity")
@@ -179,4 +182,4 @@ def pack(documents: DataFrame, settings: list[tuple[int, int]], path: str = TOKE
             where = pa.array(places.value.container(packs, lengths, ranks), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), where, *(batch.column(i) for i in range(1, 5))], names=["pack_id", "container_no", "doc_id", "piece_no", "start_token", "n_tokens"])
 
-    return ranked.mapInArrow(run, "pack_id int, container_no long, doc_id long, piece_no int, start_token long, n_tokens long")
+    return ranked.mapInArrow(run, PACKED)

@@ -112,7 +112,7 @@ def p9_passages(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p8_packed(spark: SparkSession, base: str) -> DataFrame:
-    settings = [(r.pack_id, r.capacity_tokens) for r in table(spark, base, "pack_settings").distinct().collect()]
+    settings = [(r.pack_id, r.capacity_tokens) for r in table(spark, base, "pack_settings").where("pack_id is not null and capacity_tokens is not null").distinct().collect()]
     return packing.pack(table(spark, base, "documents"), sorted(settings))
 
 
