@@ -127,7 +127,7 @@ def _sentences(boundary: str) -> str:
 
 
 _CORPUS = "c AS (SELECT sent_id, list_filter(word_ids, lambda x: x BETWEEN 0 AND 4294967295) AS ids FROM (SELECT DISTINCT sent_id, loaded_at, word_ids FROM w2v_corpus))"
-_BUCKETS = f"""h AS (SELECT i AS bucket_no, {100.0 / 20} * i AS lower, {100.0 / 20} * (i + 1) AS upper FROM (SELECT unnest(range(20)) AS i)),
+_BUCKETS = f"""h AS (SELECT i AS bucket_no, ({100.0 / 20} * i)::DOUBLE AS lower, ({100.0 / 20} * (i + 1))::DOUBLE AS upper FROM (SELECT unnest(range(20)) AS i)),
 n AS (SELECT CASE WHEN value >= 0 AND value < 100 THEN floor(value / {100.0 / 20})::INTEGER ELSE 19 END AS b, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1),
 k AS (SELECT bucket_no, lower, upper, coalesce(n, 0) AS n FROM h LEFT JOIN n ON b = bucket_no)"""
 _MEAN = "m AS (SELECT label, i, avg(v::DOUBLE) AS v FROM (SELECT label, unnest(embedding) AS v, unnest(range(len(embedding))) AS i FROM embeddings WHERE embedding IS NOT NULL) GROUP BY ALL)"
