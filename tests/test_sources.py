@@ -74,6 +74,19 @@ def test_text_files(spark, tmp_path):
     assert [r.value for r in spark.read.text(str(tmp_path / "out")).collect()] == ["1 1", "1 0.500000"]
 
 
+def test_writers(spark, tmp_path):
+    v = spark.createDataFrame([(3, [1.0, 2.0]), (0, [0.5, 0.5]), (9, [9.0, 9.0])], "word_id long, embedding array<float>")
+    bi.write_vectors(v, str(tmp_path / "v.bin"), 4, 2)
+    back = {r.word_id: r.embedding for r in bi.read_vectors(spark, str(tmp_path / "v.bin")).collect()}
+    assert back == {0: [0.5, 0.5], 1: [0.0, 0.0], 2: [0.0, 0.0], 3: [1.0, 2.0], 4: [0.0, 0.0]}
+    bi.write_pool(spark.createDataFrame([(2, "b:y", 1.0), (1, "a:x", 0.0)], "pool_id long, uri string, confidence double"), str(tmp_path / "p.bin"))
+    assert [r.uri for r in bi.read_pool(spark, str(tmp_path / "p.bin")).orderBy("pool_id").collect()] == ["a:x", "b:y"]
+    fi.write_vocabulary(spark.createDataFrame([(2, "f,2"), (1, "f,1"), (None, "x")], "word_id long, feature string"), str(tmp_path / "vocab"))
+    assert [(r.word_id, r.feature) for r in fi.vocabulary(spark, str(tmp_path / "vocab")).orderBy("word_id").collect()] == [(1, "f,1"), (2, "f,2")]
+    fi.write_user_dictionary(spark.createDataFrame([("東", "ア", "ア", 5, "名詞")], "surface string, reading string, pronunciation string, cost int, pos string"), str(tmp_path / "u"))
+    assert fi.user_dictionary(spark, str(tmp_path / "u")).first().cost == 5
+
+
 def test_cut():
     assert cut("これは", "テスト。次", "。") == (["これはテスト。"], "次")
     assert cut("", " 。", "。") == ([" 。"], "") or cut("", "  。", "。")[1] == ""

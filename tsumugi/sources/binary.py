@@ -238,3 +238,28 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
 def read_pool(spark: SparkSession, path: str) -> DataFrame:
     schema = pa.schema([("pool_id", pa.int64()), ("uri", pa.string()), ("confidence", pa.float64()), ("source", pa.int32())])
     return _decoded(spark, path, "pool_id long, uri string, confidence double, source int", _rows(schema, pool_rows))
+
+
+def write_vectors(vectors: DataFrame, path: str, max_word_id: int, dim: int) -> None:
+    """A vector store file with a row for every id up to ``max_word_id``, zeros where missing.
+
+    The format is one local file; rows stream through the driver in the order of their ids,
+    one partition at a time. Larger stores stay tables.
+    """
+    ordered = vectors.where(f"word_id between 0 and {max_word_id}").select("word_id", "embedding").orderBy("word_id")
+    empty = bytes(4 * dim)
+    with open(path, "wb") as out:
+        out.write(struct.pack("<4I16x", VECTOR_MAGIC, max_word_id + 1, dim, 0))
+        at = 0
+        for row in ordered.toLocalIterator():
+            out.write(empty * (row.word_id - at))
+            out.write(np.array(row.embedding, "<f4").tobytes())
+            at = row.word_id + 1
+        out.write(empty * (max_word_id + 1 - at))
+
+
+def write_pool(entries: DataFrame, path: str) -> None:
+    """An entity pool file of (pool_id, uri, confidence); the format holds 16 MiB of strings at most."""
+    rows = entries.select("pool_id", "uri", "confidence").orderBy("pool_id").toLocalIterator()
+    with open(path, "wb") as out:
+        out.write(encode_pool([(r.uri, r.confidence) for r in rows]))

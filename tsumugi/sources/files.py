@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tsumugi.operators.lexicon import ENTRY
-from tsumugi.operators.words import parse_lines
+from tsumugi.operators.words import as_csv, as_dictionary_line, as_json, parse_lines
 
 # Folders in which a system dictionary is looked for.
 DICTIONARY_FOLDERS = tuple(f"{root}/mecab/dic/{name}" for name in ("ipadic-utf8", "ipadic") for root in ("/usr/lib", "/usr/local/lib", "/usr/share")) + ("/var/lib/mecab/dic/ipadic-utf8", "/usr/lib64/mecab/dic/ipadic")
@@ -99,6 +99,18 @@ def write_vectors_text(vectors: DataFrame, path: str) -> None:
     size.unionByName(rows).orderBy("k", "line").select("line").write.mode("overwrite").text(path)
 
 
+def write_vocabulary(entries: DataFrame, path: str) -> None:
+    """word_id TAB feature per line, in the order of the ids."""
+    rows = entries.where("word_id is not null").select("word_id", F.concat_ws("\t", F.col("word_id").cast("string"), "feature").alias("line"))
+    write_lines(rows.orderBy("word_id"), path)
+
+
+def write_user_dictionary(entries: DataFrame, path: str, form: str = "csv") -> None:
+    """User entries as csv, dictionary lines or JSON lines."""
+    line = {"csv": as_csv, "dictionary": as_dictionary_line, "json": as_json}[form]()
+    write_lines(entries.select(line.alias("line")), path)
+
+
 def first_of(df: DataFrame, key: str, order: str) -> DataFrame:
     """The first row per key."""
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(order))).where(F.col("_r") == 1).drop("_r")
