@@ -74,27 +74,31 @@ class PrefixMap:
         """Nodes by end position, in the order that decides ties."""
         n = len(text)
         ending: list[list[Node]] = [[] for _ in range(n + 1)]
-        kinds = [category(c) for c in text]
-        run = [1] * (n + 1)
-        for i in range(n - 2, -1, -1):
-            run[i] = run[i + 1] + 1 if kinds[i] == kinds[i + 1] else 1
+        lengths, words, kinds = self.lengths, self.words, None
         for i in range(n):
             found = []
-            for length in self.lengths.get(text[i], ()):
-                for e in self.words.get(text[i : i + length], ()) if i + length <= n else ():
-                    found.append((e[0], length, e))
+            for length in lengths.get(text[i], ()):
+                entries = words.get(text[i : i + length])
+                if entries and i + length <= n:
+                    found += [(e[0], length, e) for e in entries]
             if found:
-                found.sort(key=lambda x: (x[0], x[1]))
+                if len(found) > 1:
+                    found.sort(key=lambda x: (x[0], x[1]))
                 for _, length, e in found:
                     ending[i + length].append((i, i + length, e[7], e[3], e[5], e[6], e[2], e[4], False))
                 continue
-            templates = self.unknown.get(kinds[i]) or [(0, 0, 0, UNKNOWN_COST, f"未知語,{kinds[i]}")]
+            if kinds is None:
+                kinds = [*map(category, text), ""]
+            kind = kinds[i]
+            templates = self.unknown.get(kind) or [(0, 0, 0, UNKNOWN_COST, f"未知語,{kind}")]
             for left, right, pos, cost, feature in templates:
                 ending[i + 1].append((i, i + 1, None, left, right, pos, cost, feature, True))
-            if kinds[i] in GROUPING:
+            if kind in GROUPING:
                 left, right, pos, cost, feature = templates[0]
-                for length in range(2, run[i] + 1):
-                    ending[i + length].append((i, i + length, None, left, right, pos, cost, feature, True))
+                end = i + 1
+                while kinds[end] == kind:
+                    end += 1
+                    ending[end].append((i, end, None, left, right, pos, cost, feature, True))
         return ending
 
 
