@@ -147,6 +147,43 @@ def test_one_error_is_found_as_a_passage():
     assert le.Matcher([(1, text, 60)]).find("zz" + text[:40] + "X" + text[41:75] + "zz") == []
 
 
+def brute_passages(document, text, run):
+    """Longest shared run and least distance of a passage, None if that is more than ERRORS."""
+    least = min((le.myers(text[k : k + run], document) for k in range(len(text) - run + 1)), default=run)
+    shared = max((n for k in range(len(text)) for n in range(len(text) - k + 1) if text[k : k + n] in document), default=0)
+    return (shared, least) if least <= le.ERRORS else None
+
+
+@pytest.mark.parametrize("run", [24, 60])
+def test_passages_against_brute_force_at_all_offsets_and_error_places(run):
+    rng = random.Random(run)
+    text = "".join(rng.choice("あいうえおかきくけこabcdefgh") for _ in range(run + 31))
+    matcher = le.Matcher([(1, text, run)])
+    for first in range(32):
+        passage = text[first : first + run]
+        for at in range(run):
+            for changed in (passage[:at] + "X" + passage[at + 1 :], passage[:at] + passage[at + 1 :], passage[:at] + "X" + passage[at:]):
+                ((_, _, distance),) = matcher.find("yz" + changed + "zy", fuzzy=True)
+                assert distance == int(changed != passage and passage not in changed), (first, at, changed)
+
+
+def test_passages_against_brute_force_on_repetitive_texts():
+    rng = random.Random(5)
+    hits = 0
+    for _ in range(250):
+        text = "".join(rng.choice("abc") for _ in range(rng.randrange(22, 40)))
+        a = rng.randrange(max(1, len(text) - 23))
+        changed = list(text[a : a + rng.randrange(22, 34)])
+        for _ in range(rng.randrange(3)):
+            k = rng.randrange(len(changed) + 1)
+            changed[k : k + rng.randrange(2)] = rng.choice(["", "X", "a"])
+        document = "".join(rng.choice("abc") for _ in range(rng.randrange(6))) + "".join(changed) + "".join(rng.choice("abc") for _ in range(rng.randrange(6)))
+        want = brute_passages(document, text, 24)
+        assert le.Matcher([(1, text, 24)]).find(document, fuzzy=True) == ([(1, *want)] if want else []), (text, document)
+        hits += bool(want) and want[1] == 1
+    assert hits > 30
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.text(alphabet="abc", min_size=1, max_size=12), st.text(alphabet="abcd", max_size=20))
 def test_myers_distance(pattern, text):

@@ -1,14 +1,16 @@
 """Evaluation texts leaking into documents, by pigeonhole edit matching.
 
 Texts are compared in Unicode NFKC and lower case, letters and digits only. A passage of
-``run`` characters that may differ in ERRORS places is cut into ERRORS + 1 pieces, one of
-which must then occur unchanged. An item is cut at multiples of half a passage, so every
-passage, wherever it begins, contains a whole piece:
+``run`` characters that may differ in ERRORS places holds one of any ERRORS + 1 separate
+pieces unchanged. An item is cut into pieces of (run + 1) // (ERRORS + 2), so every passage,
+wherever it begins, contains ERRORS + 1 whole ones (for exact runs, one of half a passage):
 
 1. all pieces of all items form one Aho-Corasick automaton that reads each document once;
-2. at every piece hit the passage around it is verified with Myers' bit-parallel distance
-   (64-bit words in one Python integer) against the text around the hit;
-3. an exact check then measures the run of equal characters through the hit.
+2. at every piece hit the run of equal characters through it is measured;
+3. the farthest reach with 0, 1, ... errors to either side of the hit (by diagonals) then
+   tells the least distance of all passages that cover the hit.
+
+The run length of a pair is the longest run of characters that both texts share.
 
 Items are the stated query set: they are handed to the tasks in blocks of at most BLOCK
 characters, all documents are read against every block, and nothing of the documents is
@@ -108,49 +110,83 @@ def _common_prefix(a: str, i: int, b: str, j: int) -> int:
     return lo
 
 
+def _reaches(a: str, i: int, b: str, j: int, errors: int, back: bool) -> list[int]:
+    """Most characters of ``a`` after (or before) i that agree with ``b`` at j within 0, 1, ... ``errors`` edits."""
+    sign, common = (-1, _common_suffix) if back else (1, _common_prefix)
+    most_a, most_b = (i, j) if back else (len(a) - i, len(b) - j)
+    far = {0: common(a, i, b, j)}  # characters of a by diagonal (characters of b less those of a)
+    reaches = [far[0]]
+    for _ in range(errors):
+        new = dict(far)
+        for diagonal, n in far.items():
+            for da, db in ((1, 1), (1, 0), (0, 1)):
+                x, y = n + da, n + diagonal + db
+                if x <= most_a and y <= most_b:
+                    x += common(a, i + sign * x, b, j + sign * y)
+                    new[y - n - da] = max(new.get(y - n - da, 0), x)
+        far = new
+        reaches.append(max(far.values()))
+    return reaches
+
+
 class Matcher:
     """Pieces of a block of items; ``items`` are (item_id, letters, run)."""
 
     def __init__(self, items: list[tuple[int, str, int]], errors: int = ERRORS):
         self.items, self.errors = items, errors
-        pieces: dict[str, list[tuple[int, int]]] = {}
-        for n, (_, text, run) in enumerate(items):
-            size = run // (errors + 1)
-            for at in range(0, len(text) - size + 1, size):
-                pieces.setdefault(text[at : at + size], []).append((n, at))
-        self.automaton = ahocorasick.Automaton()
-        for piece, places in pieces.items():
-            self.automaton.add_word(piece, (len(piece), places))
-        if pieces:
-            self.automaton.make_automaton()
-        self.empty = not pieces
+        self._automata: dict[int, ahocorasick.Automaton | None] = {}
+
+    def _automaton(self, errors: int) -> ahocorasick.Automaton | None:
+        """Pieces such that every passage contains ``errors`` + 1 whole ones; None if there are none."""
+        if errors not in self._automata:
+            pieces: dict[str, list[tuple[int, int]]] = {}
+            for n, (_, text, run) in enumerate(self.items):
+                size = (run + 1) // (errors + 2)
+                for at in range(0, len(text) - size + 1 if len(text) >= run else 0, size):
+                    pieces.setdefault(text[at : at + size], []).append((n, at))
+            automaton = ahocorasick.Automaton()
+            for piece, places in pieces.items():
+                automaton.add_word(piece, (len(piece), places))
+            if pieces:
+                automaton.make_automaton()
+            self._automata[errors] = automaton if pieces else None
+        return self._automata[errors]
 
     def find(self, document: str, fuzzy: bool = False) -> list[tuple[int, int, int]]:
         """(item_id, longest exact run, least distance of a passage) of every item that leaks.
 
         Exact runs only, unless ``fuzzy``: then passages within the error budget count too.
         """
-        if self.empty:
+        errors = self.errors if fuzzy else 0
+        automaton = self._automaton(errors)
+        if automaton is None:
             return []
-        found: dict[int, tuple[int, int]] = {}
-        for end, (size, places) in self.automaton.iter(document):
+        longest: dict[int, int] = {}
+        least: dict[int, int] = {}
+        for end, (size, places) in automaton.iter(document):
             start = end + 1 - size
             for n, at in places:
-                item_id, text, run = self.items[n]
+                _, text, run = self.items[n]
                 before = _common_suffix(text, at, document, start)
                 after = _common_prefix(text, at + size, document, start + size)
-                exact = before + size + after
-                old = found.get(item_id)
-                if old and old[1] == 0 and old[0] >= exact:
-                    continue
-                first = max(0, min(at - before, len(text) - run))
-                passage = text[first : first + run]
-                lo = max(0, start - (at - first) - self.errors)
-                distance = myers(passage, document[lo : lo + run + 2 * self.errors]) if len(passage) == run else run
-                if distance > self.errors or not (exact >= run or fuzzy):
-                    continue
-                found[item_id] = (max(exact, old[0] if old else 0), min(distance, old[1] if old else run))
-        return [(i, r, d) for i, (r, d) in found.items()]
+                longest[n] = max(longest.get(n, 0), before + size + after)
+                if before + size + after >= run:
+                    least[n] = 0
+                elif errors and least.get(n, errors + 1) > 1:
+                    left = _reaches(text, at, document, start, errors, True)
+                    right = _reaches(text, at + size, document, start + size, errors, False)
+                    distance = min((i + j for i in range(errors + 1) for j in range(errors + 1 - i) if left[i] + size + right[j] >= run), default=errors + 1)
+                    if distance <= errors:
+                        least[n] = min(distance, least.get(n, distance))
+        return [(self.items[n][0], self._longest(n, longest[n], document, errors), d) for n, d in least.items()]
+
+    def _longest(self, n: int, known: int, document: str, errors: int) -> int:
+        """The longest shared run, if the longest through a piece is ``known``: runs without a whole piece are shorter than two pieces."""
+        _, text, run = self.items[n]
+        most = 2 * ((run + 1) // (errors + 2)) - 2
+        while known < most and any(text[i : i + known + 1] in document for i in range(len(text) - known)):
+            known += 1
+        return known
 
 
 def item_blocks(items: DataFrame, size: int = BLOCK) -> list[list[tuple[int, str, int]]]:
