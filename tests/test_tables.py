@@ -38,6 +38,21 @@ def test_user_dictionary(spark):
     assert wo.to_overlay(a).where("layer = 0").count() == 2
 
 
+def test_user_entries_without_some_members_keep_their_columns(spark, tmp_path):
+    from tsumugi.plans import words as plans
+
+    schema = "entry_id long, surface string, reading string, pronunciation string, cost int, pos string, dict_name string"
+    rows = [(1, "東", "ア", "イ", 5, "名詞", "d"), (2, "京", None, None, None, None, "d"), (3, "都", "ト", None, 7, "名詞", "d"), (4, "府", "フ", "フ", 8, None, "d")]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/user_entries.parquet")
+    got = {r.entry_id: r for r in plans.userdict_formats(spark, str(tmp_path)).collect()}
+    pos = wo.DEFAULT_POS
+    assert {i: r.csv for i, r in got.items()} == {1: "東,ア,イ,5,名詞", 2: f"京,,,0,{pos}", 3: "都,ト,,7,名詞", 4: f"府,フ,フ,8,{pos}"}
+    assert {i: r.line for i, r in got.items()} == {1: "東,0,0,5,名詞,ア", 2: f"京,0,0,0,{pos},", 3: "都,0,0,7,名詞,ト", 4: f"府,0,0,8,{pos},フ"}
+    assert json.loads(got[2].json) == {"surface": "京", "reading": "", "pronunciation": "", "cost": 0, "pos": pos}
+    overlay = {r.surface: (r.n, r.least_cost, r.feature) for r in plans.overlay_entries(spark, str(tmp_path)).collect()}
+    assert overlay == {"東": (1, 5, "名詞,ア,イ"), "京": (1, 0, f"{pos},*,*"), "都": (1, 7, "名詞,ト,*"), "府": (1, 8, f"{pos},フ,フ")}
+
+
 def test_entities(spark):
     n = spark.createDataFrame([(0,), (50,), (150,)], "n int")
     assert [round(r.p, 3) for r in n.select(en.popularity(F.col("n")).alias("p")).collect()] == [0.1, 0.6, 1.0]

@@ -10,6 +10,7 @@ from tsumugi.functions.text import trim_whitespace
 from tsumugi.operators.lexicon import ENTRY
 
 DEFAULT_POS = "名詞,固有名詞,一般,*,*,*"
+DEFAULT_COST = 0
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
@@ -61,22 +62,29 @@ def statistics(entries: DataFrame) -> DataFrame:
     )
 
 
+def _member(name: str) -> Column:
+    """A member of an entry as text: without a value the default pos or cost, else empty."""
+    default = {"pos": DEFAULT_POS, "cost": str(DEFAULT_COST)}.get(name, "")
+    return F.coalesce(F.col(name).cast("string"), F.lit(default))
+
+
 def to_overlay(entries: DataFrame, left_id: int = 0, right_id: int = 0) -> DataFrame:
-    """Lexicon entries of the run-time layer with feature pos,reading,pronunciation."""
-    feature = F.concat_ws(",", "pos", F.coalesce("reading", F.lit("*")), F.coalesce("pronunciation", F.lit("*")))
-    made = entries.select("surface", F.lit(None).cast("long").alias("word_id"), F.lit(left_id).alias("left_id"), F.lit(right_id).alias("right_id"), F.lit(0).alias("pos_id"), F.col("cost").alias("wcost"), feature.alias("feature"), F.lit(0).alias("layer"))
+    """Lexicon entries of the run-time layer with feature pos,reading,pronunciation; no pos or cost counts as the default."""
+    feature = F.concat_ws(",", _member("pos"), F.coalesce("reading", F.lit("*")), F.coalesce("pronunciation", F.lit("*")))
+    made = entries.select("surface", F.lit(None).cast("long").alias("word_id"), F.lit(left_id).alias("left_id"), F.lit(right_id).alias("right_id"), F.lit(0).alias("pos_id"), F.coalesce("cost", F.lit(DEFAULT_COST)).alias("wcost"), feature.alias("feature"), F.lit(0).alias("layer"))
     return made.select(*[c.split()[0] for c in ENTRY.split(", ")])
 
 
 def as_csv() -> Column:
-    return F.concat_ws(",", "surface", "reading", "pronunciation", F.col("cost").cast("string"), "pos")
+    """surface,reading,pronunciation,cost,pos with every member in its place, as the two formats below."""
+    return F.concat_ws(",", *map(_member, ("surface", "reading", "pronunciation", "cost", "pos")))
 
 
 def as_dictionary_line() -> Column:
     """The line of a compiled dictionary's source: surface, context ids 0, cost, pos, reading."""
-    return F.concat_ws(",", "surface", F.lit("0"), F.lit("0"), F.col("cost").cast("string"), "pos", "reading")
+    return F.concat_ws(",", _member("surface"), F.lit("0"), F.lit("0"), _member("cost"), _member("pos"), _member("reading"))
 
 
 def as_json() -> Column:
-    text = lambda c: F.concat(F.lit(f'"{c}":"'), escape_json(F.coalesce(F.col(c), F.lit("")), control=False), F.lit('"'))
-    return F.concat(F.lit("{"), F.concat_ws(",", text("surface"), text("reading"), text("pronunciation"), F.concat(F.lit('"cost":'), F.col("cost").cast("string")), text("pos")), F.lit("}"))
+    text = lambda c: F.concat(F.lit(f'"{c}":"'), escape_json(_member(c), control=False), F.lit('"'))
+    return F.concat(F.lit("{"), F.concat_ws(",", text("surface"), text("reading"), text("pronunciation"), F.concat(F.lit('"cost":'), _member("cost")), text("pos")), F.lit("}"))

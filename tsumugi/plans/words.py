@@ -43,12 +43,13 @@ def userdict_remove(spark: SparkSession, base: str) -> DataFrame:
 
 
 def userdict_formats(spark: SparkSession, base: str) -> DataFrame:
-    rows = entries(spark, base).where("surface is not null and cost is not null and pos is not null and reading is not null and pronunciation is not null")
-    return rows.select("entry_id", wo.as_csv().alias("csv"), wo.as_dictionary_line().alias("line"), wo.as_json().alias("json"))
+    """All entries; the SQL leaves out those that lack a member."""
+    return entries(spark, base).select("entry_id", wo.as_csv().alias("csv"), wo.as_dictionary_line().alias("line"), wo.as_json().alias("json"))
 
 
 def overlay_entries(spark: SparkSession, base: str) -> DataFrame:
-    rows = entries(spark, base).where("surface is not null and cost is not null and pos is not null")
+    """All entries that have a surface; the SQL leaves out those without cost or pos."""
+    rows = entries(spark, base).where("surface is not null")
     return wo.to_overlay(rows).groupBy("surface").agg(F.count(F.lit(1)).alias("n"), F.min("wcost").alias("least_cost"), F.min("feature").alias("feature"))
 
 
