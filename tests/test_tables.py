@@ -76,6 +76,17 @@ def test_entities(spark):
     assert (s.n_entries, s.n_uris, s.n_wikidata, s.n_custom) == (4, 3, 2, 1) and s.string_bytes == sum(len(x) + 1 for x in (wd + "a", dbr + "c", "c:b"))
 
 
+def test_candidates_out_of_range_are_clamped(spark, tmp_path):
+    from tsumugi.plans import entities as plans
+
+    rows = [(1, 1, "t", "c:a", 0.9), (2, 1, "t", "c:b", 1.3), (3, 1, "u", "c:c", -0.5), (4, 1, "t", "c:d", float("nan")), (5, 1, "t", "c:e", None), (6, 1, "t", "c:f", float("inf"))]
+    spark.createDataFrame(rows, "entry_id long, build_id int, surface string, uri string, confidence float").write.parquet(f"{tmp_path}/semantic_entries.parquet")
+    base = str(tmp_path)
+    assert {r.uri: round(r.confidence, 3) for r in plans.candidates(spark, base).collect()} == {"c:a": 0.9, "c:b": 1.0, "c:c": 0.0, "c:f": 1.0}
+    assert {(r.surface, r.uri) for r in plans.disambiguate_highest(spark, base).collect()} == {("t", "c:b"), ("u", "c:c")}
+    assert {r.uri: r.confidence for r in plans.pool_entries(spark, base).collect()} == {"c:a": 229 / 255, "c:b": 1.0, "c:c": 0.0, "c:f": 1.0}
+
+
 def test_exports(spark):
     e = "array<struct<uri:string,confidence:double>>"
     rows = [(1, 0, '東"京', "名詞,固有名詞,*,*,*,*,東京,トウキョウ,トーキョー", 7, 3, 100, [("http://www.wikidata.org/entity/Q1490", 0.95)]), (1, 1, "は", "助詞,係助詞", None, 4, 50, [])]

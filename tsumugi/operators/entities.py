@@ -72,10 +72,14 @@ def disambiguate(candidates: DataFrame, key: list[str], strategy: str = "highest
     return ranked if strategy == "none" else ranked.where(F.col("rank_no") == 1)
 
 
+def clamp(confidence: Column) -> Column:
+    """A given confidence in single precision, within [0, 1]."""
+    return F.greatest(F.lit(0.0).cast("float"), F.least(F.lit(1.0).cast("float"), confidence.cast("float")))
+
+
 def quantise(confidence: Column) -> Column:
     """floor(c * 255) of a confidence clamped to [0, 1]."""
-    c = F.greatest(F.lit(0.0).cast("float"), F.least(F.lit(1.0).cast("float"), confidence.cast("float")))
-    return F.floor((c * F.lit(255).cast("float")).cast("float")).cast("int")
+    return F.floor((clamp(confidence) * F.lit(255).cast("float")).cast("float")).cast("int")
 
 
 def semantic_pool(entries: DataFrame, order: list[str]) -> DataFrame:

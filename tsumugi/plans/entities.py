@@ -35,9 +35,13 @@ def knowledge_base_size(spark: SparkSession, base: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, base: str) -> DataFrame:
-    """Valid candidates of all builds, one row per surface and uri with the earliest entry."""
-    rows = table(spark, base, "semantic_entries").where("surface is not null and uri is not null and confidence is not null and not isnan(confidence) and confidence between 0 and 1")
-    return en.dedupe_candidates(rows.select("entry_id", "surface", "uri", "confidence").distinct(), ["entry_id"])
+    """Candidates of all builds, one row per surface and uri with the earliest entry.
+
+    A confidence below 0 counts as 0, above 1 as 1; entries without any (NULL or NaN) are no
+    candidates. The SQL leaves out those below 0 and above 1, too.
+    """
+    rows = table(spark, base, "semantic_entries").where("surface is not null and uri is not null and confidence is not null and not isnan(confidence)")
+    return en.dedupe_candidates(rows.select("entry_id", "surface", "uri", en.clamp(F.col("confidence")).alias("confidence")).distinct(), ["entry_id"])
 
 
 def candidate_index(spark: SparkSession, base: str) -> DataFrame:
