@@ -113,6 +113,15 @@ def test_exports(spark):
     assert ex.plain(t.limit(0)).count() == 0
 
 
+def test_dump_keeps_tokens_without_costs(spark, tmp_path):
+    from tsumugi.plans import entities as plans
+
+    schema = "morph_id long, request_id long, token_ix int, surface string, feature string, word_id long, pos_id int, wcost int"
+    rows = [(1, 1, 0, "東", "名詞", 7, 3, 100), (2, 1, 1, "京", "名詞", 8, 3, None), (3, 1, 2, "は", "助詞", 9, None, 50)]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/morphemes.parquet")
+    assert plans.export_dump(spark, str(tmp_path)).first().dump == "[0] 東 (pos_id=3, wcost=100)\t名詞\n[1] 京 (pos_id=3, wcost=0)\t名詞\n[2] は (pos_id=0, wcost=50)\t助詞\nEOS\n"
+
+
 def test_segments(spark):
     df = spark.createDataFrame([(1, "これはテストです。もう一つの文。"), (2, "行1\n行2\n"), (3, "a|b|"), (4, None), (5, "  。x")], "text_id long, text string")
     of = lambda b: {k: [r.sentence for r in v] for k, v in group(se.sentences(df, b).orderBy("ord").collect()).items()}

@@ -39,8 +39,9 @@ def plain(tokens: DataFrame) -> DataFrame:
 
 
 def dump(tokens: DataFrame) -> DataFrame:
+    """Numbered tokens with their costs; a token without pos_id or wcost has 0, as in ``jsonld``."""
     number = F.concat(F.lit("["), F.col("token_ix").cast("string"), F.lit("] "))
-    costs = F.concat(F.lit(" (pos_id="), F.col("pos_id").cast("string"), F.lit(", wcost="), F.col("wcost").cast("string"), F.lit(")\t"))
+    costs = F.concat(F.lit(" (pos_id="), F.coalesce("pos_id", F.lit(0)).cast("string"), F.lit(", wcost="), F.coalesce("wcost", F.lit(0)).cast("string"), F.lit(")\t"))
     return _document(tokens, F.concat(number, F.col("surface"), costs, F.col("feature")), "\n", "dump", tail="\nEOS\n")
 
 

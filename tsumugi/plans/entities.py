@@ -110,7 +110,7 @@ def _export(name: str, make):
 
 export_plain = _export("export_plain", lambda s, b: ex.plain(tokens(s, b)))
 export_plain_ipa = _export("export_plain_ipa", lambda s, b: ex.plain(tokens(s, b).withColumn("ipa", token_ipa("feature"))))
-export_dump = _export("export_dump", lambda s, b: ex.dump(tokens(s, b).where("pos_id is not null and wcost is not null")))
+export_dump = _export("export_dump", lambda s, b: ex.dump(tokens(s, b)))
 export_json = _export("export_json", lambda s, b: ex.json(tokens(s, b)))
 export_wakati = _export("export_wakati", lambda s, b: ex.wakati(tokens(s, b)))
 export_word_ids = _export("export_word_ids", lambda s, b: ex.word_ids(tokens(s, b)))
