@@ -24,6 +24,15 @@ def test_user_lines(spark):
     assert tuple(wo.validation_counts(wo.parse_lines(df)).first()) == (2, 2)
 
 
+def test_user_lines_with_line_breaks_are_invalid(spark, tmp_path):
+    from tsumugi.plans import words as plans
+
+    rows = [(1, "user", '"東\n京",ア,ア,5'), (2, "user", "東,ア,ア,5"), (3, "source", "x\ny"), (4, "user", "京,ア,ア,6\n")]
+    spark.createDataFrame(rows, "row_id long, kind string, line string").write.parquet(f"{tmp_path}/dict_lines.parquet")
+    assert {r.row_id: r.error for r in plans.userdict_parse(spark, str(tmp_path)).collect()} == {1: "line break", 2: None, 4: None}
+    assert tuple(plans.userdict_validation(spark, str(tmp_path)).first()) == (2, 1)
+
+
 def test_user_dictionary(spark):
     schema = "ord int, surface string, reading string, pronunciation string, cost int, pos string"
     a = spark.createDataFrame([(1, "東", "ア", "ア", 5, "名詞"), (2, "東", None, None, 9, "名詞")], schema)

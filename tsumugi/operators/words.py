@@ -17,14 +17,14 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     """Entries of plain user lines (line): surface,reading,pronunciation,cost[,pos...]; others get an error.
 
     Fields have no quoting here. Blank lines and comments have no row; a line is valid with at
-    least four fields and a 16-bit cost.
+    least four fields and a 16-bit cost, and without a line break inside.
     """
     text = trim_whitespace("line")
     rows = lines.where((text != "") & ~text.startswith("#"))
     fields = F.transform(F.split(text, ","), trim_whitespace)
     cost = F.get(fields, 3).try_cast("smallint").cast("int")
     short = F.size(fields) < 4
-    error = F.when(short, "too few fields").when(cost.isNull(), "invalid cost")
+    error = F.when(text.contains("\n"), "line break").when(short, "too few fields").when(cost.isNull(), "invalid cost")
     pos = F.when(F.size(fields) > 4, F.array_join(F.slice(F.split(text, ","), F.lit(5), F.size(fields)), ",")).otherwise(DEFAULT_POS)
     place = lambda i: F.get(fields, i)
     return rows.select("*", place(0).alias("surface"), place(1).alias("reading"), place(2).alias("pronunciation"), cost.alias("cost"), pos.alias("pos"), error.alias("error"))

@@ -19,7 +19,8 @@ def userdict_stats(spark: SparkSession, base: str) -> DataFrame:
 
 
 def userdict_parse(spark: SparkSession, base: str) -> DataFrame:
-    lines = table(spark, base, "dict_lines").where((F.col("kind") == "user") & ~F.col("line").contains("\n")).select("row_id", "line").distinct()
+    """All user lines; the SQL leaves out those with a line break."""
+    lines = table(spark, base, "dict_lines").where(F.col("kind") == "user").select("row_id", "line").distinct()
     return wo.parse_lines(lines).select("row_id", "surface", "reading", "pronunciation", "cost", "pos", "error")
 
 
