@@ -104,6 +104,15 @@ def test_dialects(spark):
     assert pv.split_packed(df.limit(0), pv.learn_codes(df.limit(0)), ["rec_id"]).count() == 0
 
 
+@pytest.mark.parametrize("delimiters", [",;|\t", pv.DELIMITERS])
+def test_fields_may_mix_any_number_of_delimiters(delimiters):
+    values = [chr(97 + i) for i in range(len(delimiters) + 1)]
+    counts = [("v", v, 100 * pv.SHARE) for v in values] + [("c", v, 100 * pv.SHARE) for v in values] + [("n", str(len(values)), 100 * pv.SHARE)]
+    feature = "".join(v + d for v, d in zip(values, delimiters)) + values[-1]
+    assert pv.Codes(counts).best(feature) == values
+    assert len(pv.candidates(feature)) == 2 ** len(delimiters) - 1
+
+
 def brute(line):
     try:
         entity = json.loads(line.strip().lstrip("[").rstrip("],").strip().rstrip(",").strip())

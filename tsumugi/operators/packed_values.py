@@ -31,7 +31,6 @@ from tsumugi.runtime import durable, spread
 DELIMITERS = ",;|\t、，；｜"
 QUOTES = "\"'"
 TABLE = 4096  # values, characters and place counts that get a code of their own
-MOST_TOGETHER = 3  # delimiters that one field may mix
 SHARE = 5040  # a field's weight in the counts, divided among its candidate parses
 REMEMBERED = 20000  # distinct features whose parse a task keeps
 
@@ -69,7 +68,7 @@ def candidates(feature: str) -> list[tuple[str, bool]]:
     quotation fills a place (its quotes are never part of the value), without."""
     present = [d for d in DELIMITERS if d in feature]
     modes = (True, False) if any(q in feature for q in QUOTES) and not ENCLOSED.search(feature) else (True,)
-    sets = [c for k in range(min(len(present), MOST_TOGETHER) + 1) for c in combinations(present, k)]
+    sets = [c for k in range(len(present) + 1) for c in combinations(present, k)]
     if len(sets) > 1:
         sets = sets[1:]  # a field that holds a delimiter is one value only if it is quoted as a whole
     return [("".join(s), m) for s in sets for m in modes]
