@@ -3,7 +3,8 @@
 Candidates are generated from structure: every run of closing punctuation, with closing
 quotes and brackets, that lies outside a quotation or bracket after which its sentence goes
 on. Empty lines always end a sentence, line breaks do where the line is Japanese or Chinese,
-and spaces do in Thai. Every other candidate is classified by a maximum-entropy model over
+and spaces do in Thai. Candidates that begin with a mark of ALWAYS end a sentence by rule,
+which decides nearly all of Japanese, Chinese and Hindi. Every other candidate is classified by a maximum-entropy model over
 the neighbouring tokens, their case, length, digits and script. The model is trained on
 reliable boundaries: seed sentences with known ends, and a sample of the texts' own
 candidates that an empty line or the text's end proves (boundary) or a following
