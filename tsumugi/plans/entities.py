@@ -38,7 +38,7 @@ def candidates(spark: SparkSession, base: str) -> DataFrame:
     """Candidates of all builds, one row per surface and uri with the earliest entry.
 
     A confidence below 0 counts as 0, above 1 as 1; entries without any (NULL or NaN) are no
-    candidates. The SQL leaves out those below 0 and above 1, too.
+    candidates.
     """
     rows = table(spark, base, "semantic_entries").where("surface is not null and uri is not null and confidence is not null and not isnan(confidence)")
     return en.dedupe_candidates(rows.select("entry_id", "surface", "uri", en.clamp(F.col("confidence")).alias("confidence")).distinct(), ["entry_id"])
@@ -127,7 +127,7 @@ def entity_mentions(spark: SparkSession, base: str) -> DataFrame:
     return rows.where(F.col("predicate") == f"<{NAMESPACE}entity>").groupBy("object").agg(F.count(F.lit(1)).alias("n_mentions"))
 
 
-_CAND = """c AS (SELECT * FROM (SELECT DISTINCT entry_id, surface, uri, confidence FROM semantic_entries WHERE surface IS NOT NULL AND uri IS NOT NULL AND confidence IS NOT NULL AND NOT isnan(confidence) AND confidence BETWEEN 0 AND 1)
+_CAND = """c AS (SELECT * FROM (SELECT DISTINCT entry_id, surface, uri, greatest(0::FLOAT, least(1::FLOAT, confidence)) AS confidence FROM semantic_entries WHERE surface IS NOT NULL AND uri IS NOT NULL AND confidence IS NOT NULL AND NOT isnan(confidence))
   QUALIFY row_number() OVER (PARTITION BY surface, uri ORDER BY entry_id) = 1)"""
 _SOURCE = "CASE WHEN contains(uri, 'wikidata.org') THEN 'Wikidata' WHEN contains(uri, 'dbpedia.org') THEN 'DBpedia' WHEN contains(uri, 'schema.org') THEN 'SchemaOrg' ELSE 'Custom' END"
 _TOK = "t AS (SELECT request_id AS text_id, token_ix, surface, feature, word_id, pos_id, wcost, string_split(feature, ',') AS p FROM (SELECT DISTINCT morph_id, request_id, token_ix, surface, feature, word_id, pos_id, wcost FROM morphemes) WHERE feature IS NOT NULL AND surface IS NOT NULL)"
@@ -192,7 +192,7 @@ m AS (SELECT surface, count(*) AS n, string_agg(uri, '|' ORDER BY r) AS uris FRO
     "pool_stats": f"""WITH e AS (SELECT DISTINCT entry_id, uri FROM semantic_entries WHERE uri IS NOT NULL), u AS (SELECT uri, count(*) AS n, {_SOURCE} AS s FROM e GROUP BY uri)
 SELECT sum(n)::BIGINT AS n_entries, count(*) AS n_uris, {', '.join(f"coalesce(sum(n) FILTER (s = '{s}'), 0)::BIGINT AS n_{s.lower()}" for s in ("Wikidata", "DBpedia", "SchemaOrg", "Custom"))}, sum(octet_length(encode(uri)) + 1)::BIGINT AS string_bytes FROM u""",
     "export_plain": _agg("surface || chr(9) || feature", "chr(10)", "plain", tail="chr(10) || 'EOS' || chr(10)"),
-    "export_dump": _agg("'[' || token_ix || '] ' || surface || ' (pos_id=' || pos_id || ', wcost=' || wcost || ')' || chr(9) || feature", "chr(10)", "dump", tail="chr(10) || 'EOS' || chr(10)", where=" WHERE pos_id IS NOT NULL AND wcost IS NOT NULL"),
+    "export_dump": _agg("'[' || token_ix || '] ' || surface || ' (pos_id=' || coalesce(pos_id, 0) || ', wcost=' || coalesce(wcost, 0) || ')' || chr(9) || feature", "chr(10)", "dump", tail="chr(10) || 'EOS' || chr(10)"),
     "export_json": _agg(f"'{{\"surface\":\"' || {_esc('surface')} || '\",\"feature\":\"' || {_esc('feature')} || '\"}}'", "','", "json", "'['", "']'"),
     "export_wakati": _agg("surface", "' '", "wakati"),
     "export_word_ids": _agg("coalesce(word_id, 4294967295)::VARCHAR", "' '", "word_ids"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tsumugi.operators import words as wo
 from tsumugi.plans.lattice import WORDS, part_lexicon, part_texts
+from tsumugi.plans.text import WS
 from tsumugi.runtime import table
 
 
@@ -19,7 +20,6 @@ def userdict_stats(spark: SparkSession, base: str) -> DataFrame:
 
 
 def userdict_parse(spark: SparkSession, base: str) -> DataFrame:
-    """All user lines; the SQL leaves out those with a line break."""
     lines = table(spark, base, "dict_lines").where(F.col("kind") == "user").select("row_id", "line").distinct()
     return wo.parse_lines(lines).select("row_id", "surface", "reading", "pronunciation", "cost", "pos", "error")
 
@@ -44,12 +44,11 @@ def userdict_remove(spark: SparkSession, base: str) -> DataFrame:
 
 
 def userdict_formats(spark: SparkSession, base: str) -> DataFrame:
-    """All entries; the SQL leaves out those that lack a member."""
     return entries(spark, base).select("entry_id", wo.as_csv().alias("csv"), wo.as_dictionary_line().alias("line"), wo.as_json().alias("json"))
 
 
 def overlay_entries(spark: SparkSession, base: str) -> DataFrame:
-    """All entries that have a surface; the SQL leaves out those without cost or pos."""
+    """All entries that have a surface."""
     rows = entries(spark, base).where("surface is not null")
     return wo.to_overlay(rows).groupBy("surface").agg(F.count(F.lit(1)).alias("n"), F.min("wcost").alias("least_cost"), F.min("feature").alias("feature"))
 
@@ -63,13 +62,17 @@ def overlay_lookup(spark: SparkSession, base: str) -> DataFrame:
     return nodes.groupBy("surface", "layer").agg(F.count(F.lit(1)).alias("n"), F.min("wcost").alias("wcost"))
 
 
+def _trim(x: str) -> str:
+    return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
+
+
 _ENTRIES = "e AS (SELECT DISTINCT entry_id, surface, reading, pronunciation, cost, pos, dict_name FROM user_entries)"
-_LINES = """
-l AS (SELECT DISTINCT row_id, line FROM dict_lines WHERE kind = 'user' AND NOT contains(line, chr(10))),
-t AS (SELECT row_id, trim(line) AS s, string_split(trim(line), ',') AS p FROM l WHERE trim(line) <> '' AND NOT starts_with(trim(line), '#')),
-v AS (SELECT row_id, trim(p[1]) AS surface, trim(p[2]) AS reading, trim(p[3]) AS pronunciation, CASE WHEN regexp_full_match(trim(p[4]), '[+-]?[0-9]+') AND try_cast(trim(p[4]) AS INTEGER) BETWEEN -32768 AND 32767 THEN try_cast(trim(p[4]) AS INTEGER) END AS cost,
+_LINES = f"""
+l AS (SELECT DISTINCT row_id, {_trim("line")} AS s FROM dict_lines WHERE kind = 'user'),
+t AS (SELECT row_id, s, string_split(s, ',') AS p FROM l WHERE s <> '' AND NOT starts_with(s, '#')),
+v AS (SELECT row_id, s, {_trim("p[1]")} AS surface, {_trim("p[2]")} AS reading, {_trim("p[3]")} AS pronunciation, CASE WHEN regexp_full_match({_trim("p[4]")}, '[+-]?[0-9]+') AND try_cast({_trim("p[4]")} AS INTEGER) BETWEEN -32768 AND 32767 THEN try_cast({_trim("p[4]")} AS INTEGER) END AS cost,
   CASE WHEN len(p) > 4 THEN array_to_string(p[5:], ',') ELSE '名詞,固有名詞,一般,*,*,*' END AS pos, len(p) AS n FROM t),
-u AS (SELECT row_id, surface, reading, pronunciation, cost, pos, CASE WHEN n < 4 THEN 'too few fields' WHEN cost IS NULL THEN 'invalid cost' END AS error FROM v)
+u AS (SELECT row_id, surface, reading, pronunciation, cost, pos, CASE WHEN contains(s, chr(10)) THEN 'line break' WHEN n < 4 THEN 'too few fields' WHEN cost IS NULL THEN 'invalid cost' END AS error FROM v)
 """
 _CHARS = "coalesce(sum(length(surface)), 0)"
 _JSON = "replace(replace(replace(replace(replace({0}, '\\', '\\\\'), '\"', '\\\"'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t')"
@@ -84,10 +87,11 @@ SQL = {
 SELECT entry_id, surface, dict_name FROM e WHERE dict_name = 'user_01' UNION ALL SELECT entry_id, surface, dict_name FROM o WHERE r = 1""",
     "userdict_prefix": f"WITH {_ENTRIES} SELECT entry_id, surface FROM e WHERE starts_with(surface, 'カ')",
     "userdict_remove": f"WITH {_ENTRIES} SELECT dict_name, count(*) AS n FROM e WHERE surface IS DISTINCT FROM 'データ' GROUP BY dict_name",
-    "userdict_formats": f"""WITH {_ENTRIES} SELECT entry_id, concat_ws(',', surface, reading, pronunciation, cost::VARCHAR, pos) AS csv, concat_ws(',', surface, '0', '0', cost::VARCHAR, pos, reading) AS line,
+    "userdict_formats": f"""WITH {_ENTRIES}, f AS (SELECT entry_id, coalesce(surface, '') AS surface, coalesce(reading, '') AS reading, coalesce(pronunciation, '') AS pronunciation, coalesce(cost, 0) AS cost, coalesce(pos, '名詞,固有名詞,一般,*,*,*') AS pos FROM e)
+SELECT entry_id, concat_ws(',', surface, reading, pronunciation, cost::VARCHAR, pos) AS csv, concat_ws(',', surface, '0', '0', cost::VARCHAR, pos, reading) AS line,
 '{{"surface":"' || {_JSON.format('surface')} || '","reading":"' || {_JSON.format('reading')} || '","pronunciation":"' || {_JSON.format('pronunciation')} || '","cost":' || cost || ',"pos":"' || {_JSON.format('pos')} || '"}}' AS json
-FROM e WHERE surface IS NOT NULL AND cost IS NOT NULL AND pos IS NOT NULL AND reading IS NOT NULL AND pronunciation IS NOT NULL""",
-    "overlay_entries": f"WITH {_ENTRIES} SELECT surface, count(*) AS n, min(cost) AS least_cost, min(concat_ws(',', pos, coalesce(reading, '*'), coalesce(pronunciation, '*'))) AS feature FROM e WHERE surface IS NOT NULL AND cost IS NOT NULL AND pos IS NOT NULL GROUP BY surface",
+FROM f""",
+    "overlay_entries": f"WITH {_ENTRIES} SELECT surface, count(*) AS n, min(coalesce(cost, 0)) AS least_cost, min(concat_ws(',', coalesce(pos, '名詞,固有名詞,一般,*,*,*'), coalesce(reading, '*'), coalesce(pronunciation, '*'))) AS feature FROM e WHERE surface IS NOT NULL GROUP BY surface",
     "overlay_lookup": f"""WITH w(surface, layer, wcost) AS (VALUES {_OVER}), t AS (SELECT p_partkey AS id, replace(p_name, ' ', '') AS text FROM part), s AS (SELECT id, text, unnest(range(length(text))) AS i FROM t)
 SELECT w.surface, w.layer, count(*) AS n, min(w.wcost) AS wcost FROM s JOIN w ON substr(s.text, s.i + 1, length(w.surface)) = w.surface GROUP BY ALL""",
 }
