@@ -261,3 +261,27 @@ def test_packing(spark):
         assert len(used) <= -(-sum(sizes.values()) // capacity) * 1.05 + 1
     assert sorted(map(tuple, pk.pack(df, settings_, salts=4).collect())) == sorted(map(tuple, rows))
     assert pk.pack(df.limit(0), settings_).count() == 0 and pk.pack(df, [(None, 5), (1, None), (2, 0)]).count() == 0
+
+
+def test_runs_of_items_without_a_language():
+    assert le.run_length(None, "Fagevafu의 항아리에 조약돌 377개. Posolabe가 울리면 Votiroma는 503분 기다린다.") == le.RUN_CJK
+    assert le.run_length(None, "The word 辞書 and the word 形態素 stand in this English item of many words.") == le.RUN_OTHER
+    assert le.run_length("und", "日本語の文です。") == le.RUN_CJK and le.run_length("en-GB", "日本語") == le.RUN_OTHER and le.run_length(None, "") == le.RUN_OTHER
+
+
+@pytest.mark.parametrize("errors", [0, 2, 3])
+def test_any_error_budget_against_brute_force(errors):
+    rng = random.Random(20 + errors)
+    hits = 0
+    for _ in range(60):
+        text = "".join(rng.choice("abcdあい") for _ in range(rng.randrange(24, 50)))
+        changed = list(text)
+        for _ in range(rng.randrange(errors + 2)):
+            k = rng.randrange(len(changed) + 1)
+            changed[k : k + rng.randrange(2)] = rng.choice(["", "X", "a"])
+        document = "zz" + "".join(changed)[: rng.randrange(20, 60)] + "zy"
+        least = min((le.myers(text[k : k + 24], document) for k in range(len(text) - 23)), default=99)
+        found = le.Matcher([(1, text, 24)], errors).find(document, fuzzy=True)
+        assert [d for _, _, d in found] == ([least] if least <= errors else []), (text, document)
+        hits += bool(found)
+    assert hits > 10

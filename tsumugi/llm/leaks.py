@@ -7,14 +7,17 @@ wherever it begins, contains ERRORS + 1 whole ones (for exact runs, one of half
 
 1. all pieces of all items form one Aho-Corasick automaton that reads each document once;
 2. at every piece hit the run of equal characters through it is measured;
-3. the farthest reach with 0, 1, ... errors to either side of the hit (by diagonals) then
-   tells the least distance of all passages that cover the hit.
+3. the farthest reach with 0, 1, ... errors to either side of the hit (by diagonals) picks
+   the passage through the hit that may have the least distance;
+4. Myers' bit-parallel distance of that passage to the text around the hit verifies it: no
+   pair gets a row without.
 
-The run length of a pair is the longest run of characters that both texts share.
+The run length of a pair is the longest run of characters that both texts share; a pair at
+distance 0 shares a whole passage.
 
 Items are the stated query set: they are handed to the tasks in blocks of at most BLOCK
-characters, all documents are read against every block, and nothing of the documents is
-gathered anywhere.
+characters, of which the driver holds one at a time; all documents are read against every
+block, and nothing of the documents is gathered anywhere.
 
 Defined results: NULL or empty texts on either side match nothing; an item shorter than
 its run length cannot match; repeated items or documents give one row per pair.
@@ -39,6 +42,7 @@ RUN_CJK, RUN_OTHER = 24, 60
 BLOCK = 4_000_000  # characters of items that one automaton holds (about 100 MB in a task)
 
 _NOT_ALNUM = re.compile(r"[\W_]+")
+_WORD = re.compile(r"[^\W\d_]+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯豈-﫿]")
 
 LEAKS = "doc_id long, item_id long, run_length int, distance int"
@@ -55,7 +59,8 @@ def run_length(lang: str | None, text: str) -> int:
     for code, names in NAMES.items():
         if named in names.split() or re.split(r"[-_]", named)[0] in names.split():
             return RUN_CJK if code in ("ja", "zh", "ko") else RUN_OTHER
-    return RUN_CJK if 2 * len(_CJK.findall(text)) > len(text) else RUN_OTHER
+    words = len(_WORD.findall(_CJK.sub(" ", text)))  # names and terms in other letters: a word weighs as much as a syllable
+    return RUN_CJK if len(_CJK.findall(text)) > words else RUN_OTHER
 
 
 def myers(pattern: str, text: str) -> int:
@@ -171,13 +176,19 @@ class Matcher:
                 after = _common_prefix(text, at + size, document, start + size)
                 longest[n] = max(longest.get(n, 0), before + size + after)
                 if before + size + after >= run:
-                    least[n] = 0
+                    distance, left = 0, before
                 elif errors and least.get(n, errors + 1) > 1:
-                    left = _reaches(text, at, document, start, errors, True)
-                    right = _reaches(text, at + size, document, start + size, errors, False)
-                    distance = min((i + j for i in range(errors + 1) for j in range(errors + 1 - i) if left[i] + size + right[j] >= run), default=errors + 1)
-                    if distance <= errors:
-                        least[n] = min(distance, least.get(n, distance))
+                    lefts = _reaches(text, at, document, start, errors, True)
+                    rights = _reaches(text, at + size, document, start + size, errors, False)
+                    distance, left = min(((i + j, lefts[i]) for i in range(errors + 1) for j in range(errors + 1 - i) if lefts[i] + size + rights[j] >= run), default=(errors + 1, 0))
+                else:
+                    continue
+                if distance < least.get(n, errors + 1):
+                    begin = min(left, run - size)
+                    around = document[max(0, start - begin - errors) : start - begin + run + errors]
+                    verified = myers(text[at - begin : at - begin + run], around)
+                    if verified <= errors:
+                        least[n] = min(verified, least.get(n, verified))
         return [(self.items[n][0], self._longest(n, longest[n], document, errors), d) for n, d in least.items()]
 
     def _longest(self, n: int, known: int, document: str, errors: int) -> int:
@@ -191,27 +202,36 @@ class Matcher:
 
 def item_blocks(items: DataFrame, size: int = BLOCK) -> list[list[tuple[int, str, int]]]:
     """The query set (item_id, lang, text) as blocks of prepared items, each of bounded size."""
-    blocks: list[list[tuple[int, str, int]]] = [[]]
+    return list(_blocks(items, size))
+
+
+def _blocks(items: DataFrame, size: int) -> Iterator[list[tuple[int, str, int]]]:
+    """The blocks one after the other; at least one, which may be empty."""
+    block: list[tuple[int, str, int]] = []
     held = 0
     for row in items.select("item_id", "lang", "text").where(F.col("text").isNotNull()).dropDuplicates().toLocalIterator():
         text = letters(row.text)
-        if held + len(text) > size and blocks[-1]:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((row.item_id, text, run_length(row.lang, row.text)))
+        if held + len(text) > size and block:
+            yield block
+            block, held = [], 0
+        block.append((row.item_id, text, run_length(row.lang, row.text)))
         held += len(text)
-    return blocks
+    yield block
+
 
+def find_leaks(documents: DataFrame, items: DataFrame, fuzzy: bool = False, errors: int = ERRORS) -> DataFrame:
+    """doc_id, item_id, run_length and distance for every document that holds a passage of an item.
 
-def find_leaks(documents: DataFrame, items: DataFrame, fuzzy: bool = False) -> DataFrame:
-    """doc_id, item_id, run_length and distance for every document that holds a passage of an item."""
+    Passages must be equal, unless ``fuzzy``: then up to ``errors`` characters of a passage may
+    be changed, missing or added; equal passages have distance 0.
+    """
     texts = spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull()))
     result = None
-    for block in item_blocks(items):
+    for block in _blocks(items, BLOCK):
         shared = documents.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value)
+            matcher = Matcher(shared.value, errors)
             for batch in batches:
                 rows = [(i, *hit) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for hit in matcher.find(letters(t), fuzzy)]
                 columns = list(zip(*rows)) if rows else [[]] * 4
