@@ -220,6 +220,28 @@ def test_languages(spark):
     assert la.document_languages(df.limit(0), models).count() == 0
 
 
+def test_short_sentences_long_texts_and_other_languages(spark):
+    documents = [(100 * n + k, t * 60, lang) for n, (lang, t) in enumerate(SAMPLES.items()) for k in range(4)]  # all longer than a sample document
+    models = la.train(spark.createDataFrame(documents, "doc_id long, text string, lang string"))
+    langs = lambda t: {x[0] for x in la.detect([t], models)[0][0]}
+    assert all(langs(t) == {lang} for lang, t in SAMPLES.items())
+    assert langs(SAMPLES["en"] + " Hier, il pleut. Nous avons parlé. C'est très beau.") == {"en", "fr"}
+    assert langs(SAMPLES["en"] + " Nobody. Yes. Tokyo.") == {"en"} and langs(SAMPLES["ja"] + "Tokenizer。") == {"ja"}
+    assert langs("Вчера была очень хорошая погода. Мы гуляли вдоль реки.") == {la.UNDETERMINED} and langs("123 !") == set()
+    frame = spark.createDataFrame([(1, "Вчера была очень хорошая погода. Мы гуляли вдоль реки.", None)], "doc_id long, text string, lang string")
+    assert la.document_languages(frame, models).first().lang == la.UNDETERMINED and la.doubtful(la.document_languages(frame, models)).count() == 0
+
+
+def test_texts_judged_together_or_alone():
+    models = la.fit([(c, t) for c, t in SAMPLES.items() for _ in range(3)])
+    texts = [*SAMPLES.values(), "", "1 2", SAMPLES["ja"] + "\n" + SAMPLES["en"], "OK", SAMPLES["fr"] + " " + SAMPLES["de"]]
+    together = la.detect(texts, models)
+    for text, (languages, segments) in zip(texts, together):
+        ((alone, parts),) = la.detect([text], models)
+        assert [x[0] for x in alone] == [x[0] for x in languages] and [p[:3] for p in parts] == [p[:3] for p in segments]
+        assert [x[1:] for x in alone] == [pytest.approx(x[1:], abs=1e-4) for x in languages]
+
+
 def test_labels(spark):
     names = ["ja", "ja-JP", "JA", "Japanese", "日本語", "jpn", "zh-Hans", "en_US", "it", "und", "N/A", "", " ", None]
     df = spark.createDataFrame([(n,) for n in names], "l string").select(la.canonical_label(F.col("l")).alias("c"))
