@@ -4,6 +4,7 @@ import csv
 import io
 import json
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -104,6 +105,40 @@ def test_dialects(spark):
     assert pv.split_packed(df.limit(0), pv.learn_codes(df.limit(0)), ["rec_id"]).count() == 0
 
 
+def test_choices_by_joined_counts_agree_with_counts_in_memory(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("あいうえおab") for _ in range(rng.randrange(1, 4)))
+    fields = [d.join(word() for _ in range(rng.randrange(1, 6))) for d in rng.choices(",;|、", k=300)]
+    fields += [f"{word()},{word()};{word()}|'{word()}" for _ in range(40)] + [f'{word()};"{word()},{word()}";{word()}、{word()}' for _ in range(40)]
+    fields += fields[:50]
+    df = spark.createDataFrame([(i, f) for i, f in enumerate(fields)], "rec_id long, feature string")
+    book = pv.learn_codes(df)
+    counts = Counter()
+    for f in fields:
+        counts.update(pv.shares(f))
+    assert {(r.kind, r.key): r.weight for r in book.counts.collect()} == counts
+    got = {}
+    for r in pv.split_packed(df, book, ["rec_id"]).collect():
+        got.setdefault(r.rec_id, {})[r.pos_no] = r.item_value
+    of = Counter(fields)
+    totals = Counter()
+    for (k, _), w in counts.items():
+        totals[k] += w
+    rare = sum(w for (k, _), w in counts.items() if k == "v" and w <= 2 * pv.SHARE)
+    for i, f in enumerate(fields):
+        own = pv.shares(f)
+        others = [(k, s, w - (of[f] * own[k, s] if k != "c" else 0)) for (k, s), w in counts.items()]
+        codes = pv.Codes([x for x in others if x[2] > 0], totals, rare)
+        assert got.get(i, {}) == {p: v for p, v in enumerate(codes.best(f)) if v and v != "*"}, f
+
+
+def test_fields_with_one_delimiter_are_split_alike(spark):
+    fields = [" a , b\x1c,　c　,,* ", ",", "a\t b\t\tc ", "　", "x", "、a、", "a · b/c", "\x85a\x85;b\u2003"]
+    df = spark.createDataFrame([(i, f) for i, f in enumerate(fields)], "rec_id long, feature string")
+    got = {(r.rec_id, r.pos_no): r.item_value for r in pv.split_packed(df, pv.learn_codes(df), ["rec_id"]).collect()}
+    assert got == {(i, p): v for i, f in enumerate(fields) for p, v in enumerate(pv.split(f, *pv.candidates(f)[0])) if v and v != "*"}
+
+
 @pytest.mark.parametrize("delimiters", [",;|\t", pv.DELIMITERS])
 def test_fields_may_mix_any_number_of_delimiters(delimiters):
     values = [chr(97 + i) for i in range(len(delimiters) + 1)]

@@ -5,8 +5,12 @@ field under a dialect is the cost of its number of places, plus for each value t
 cheapest of: its code in a table of frequent values, a reference to an equal earlier
 value of the same field, or an escape followed by its characters. All code lengths come
 from counts over every row of the input (each candidate parse of a field counts with an
-equal share); the value table keeps the TABLE most frequent values, every other value
-has a code through its characters, so no value is dropped.
+equal share); a field's own parses do not vouch for its values. The counts stay a table: a field that has several candidate dialects is joined
+with the counts of its values and numbers of places, whatever their frequency. Only the
+characters' codes go to the tasks, one per code point that occurs.
+
+Fields with one delimiter and without quotes have one dialect only and are split in the JVM.
+Distinct fields, not rows, are counted and scored.
 
 Defined results: NULL, empty or blank features and values that are empty or ``*`` have
 no row; repeated identical rows count once; extra columns are ignored.
@@ -18,11 +22,14 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from copy import copy
+from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tsumugi.runtime import durable, spread
@@ -30,7 +37,6 @@ from tsumugi.runtime import durable, spread
 # Delimiters that occur between values.
 DELIMITERS = ",;|\t、，；｜"
 QUOTES = "\"'"
-TABLE = 4096  # values, characters and place counts that get a code of their own
 SHARE = 5040  # a field's weight in the counts, divided among its candidate parses
 REMEMBERED = 20000  # distinct features whose parse a task keeps
 
@@ -75,20 +81,36 @@ def candidates(feature: str) -> list[tuple[str, bool]]:
 
 
 class Codes:
-    """Code lengths in bits, from counts of values (v), characters (c) and numbers of places (n)."""
+    """Code lengths in bits, from counts of values (v), characters (c) and numbers of places (n).
+
+    ``totals`` are the summed weights by kind and ``rare`` that of the values seen once or
+    twice, where ``counts`` are not all there are.
+    """
+
+    def __init__(self, counts: list[tuple[str, str, int]], totals: dict[str, int] | None = None, rare: int | None = None):
+        if totals is None:
+            totals = Counter()
+            for kind, _, weight in counts:
+                totals[kind] += weight
+            rare = sum(w for k, _, w in counts if k == "v" and w <= 2 * SHARE)
+        self.totals = {k: totals.get(k, 0) + 1 for k in "vcn"}
+        self.least = {k: math.log2(n * 2.0) for k, n in self.totals.items()}
+        self.escape = math.log2(self.totals["v"] / (rare + (self.totals["v"] - 1) * 0.05 + 1))
+        self.characters = {s: math.log2(self.totals["c"] / w) for k, s, w in counts if k == "c"}
+        self.bits = self._bits(counts)
+
+    def _bits(self, counts: list[tuple[str, str, int]]) -> dict[tuple[str, str], float]:
+        return {(k, s): math.log2(self.totals[k] / w) for k, s, w in counts if k != "c"}
 
-    def __init__(self, counts: list[tuple[str, str, int]]):
-        total = Counter()
-        for kind, _, weight in counts:
-            total[kind] += weight
-        self.bits = {(k, s): math.log2((total[k] + 1) / w) for k, s, w in counts}
-        self.least = {k: math.log2((total[k] + 1) * 2.0) for k in "vcn"}
-        single = sum(w for k, _, w in counts if k == "v" and w <= 2 * SHARE)
-        self.escape = math.log2((total["v"] + 1) / (single + total["v"] * 0.05 + 1))
+    def having(self, counts: list[tuple[str, str, int]]) -> Codes:
+        """The same characters with the codes of these values and numbers of places only."""
+        other = copy(self)
+        other.bits = self._bits(counts)
+        return other
 
     def literal(self, value: str) -> float:
-        character, least = self.bits, self.least["c"]
-        return self.escape + sum(character.get(("c", x), least) for x in value) + 4.0
+        character, least = self.characters, self.least["c"]
+        return self.escape + sum(character.get(x, least) for x in value) + 4.0
 
     def length(self, values: list[str], delimiters: str, quoting: bool) -> float:
         bits = self.bits.get(("n", str(len(values))), self.least["n"]) + 2.0 * len(delimiters) + (0.0 if quoting else 1.0)
@@ -104,84 +126,157 @@ class Codes:
             bits += cost
         return bits
 
-    def best(self, feature: str) -> list[str]:
-        """The values under the cheapest dialect; of equally cheap ones the first, with the fewest delimiters."""
+    def choice(self, feature: str) -> int:
+        """Which candidate is cheapest; of equally cheap ones the first, with the fewest delimiters."""
         options = candidates(feature)
-        parsed = [split(feature, *option) for option in options]
         if len(options) == 1:
-            return parsed[0]
-        return min(zip(options, parsed), key=lambda x: self.length(x[1], *x[0]))[1]
+            return 0
+        lengths = [self.length(split(feature, *option), *option) for option in options]
+        return lengths.index(min(lengths))
+
+    def best(self, feature: str) -> list[str]:
+        """The values under the cheapest dialect."""
+        return split(feature, *candidates(feature)[self.choice(feature)])
+
+
+def shares(feature: str) -> Counter:
+    """Weights that one field adds to the counts: values without delimiters, characters and numbers of places.
+
+    What holds a delimiter is spelt out, never a code of its own.
+    """
+    options = candidates(feature)
+    weight = max(1, SHARE // len(options))
+    counts: Counter = Counter()
+    for option in options:
+        parsed = split(feature, *option)
+        counts["n", str(len(parsed))] += weight
+        for value in parsed:
+            if ATOMIC.fullmatch(value):
+                counts["v", value] += weight
+            for x in value:
+                counts["c", x] += weight
+    return counts
+
+
+def _others(feature: str, n: int, counts: list[tuple[str, str, int]]) -> list[tuple[str, str, int]]:
+    """Counts without what the field itself, which occurs ``n`` times, adds to them."""
+    own = shares(feature)
+    return [(k, s, w - n * own[k, s]) for k, s, w in counts if w > n * own[k, s]]
+
+
+@dataclass(frozen=True)
+class CodeBook:
+    """Counts (kind, key, weight) over all fields, as a table, and the codes of characters."""
+
+    counts: DataFrame
+    codes: Codes
+
+    def best(self, feature: str, n: int = 1) -> list[str]:
+        """The values of one field that occurs ``n`` times, for inspection."""
+        wanted = [s for k, s in shares(feature) if k != "c"]
+        found = self.counts.where(F.col("key").isin(wanted) & (F.col("kind") != "c")).collect()
+        return self.codes.having(_others(feature, n, [(r.kind, r.key, r.weight) for r in found])).best(feature)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    values, characters, places = Counter(), Counter(), Counter()
+    counts: Counter = Counter()
 
     def flush() -> pa.RecordBatch:
-        rows = [(k, s, w) for k, c in (("v", values), ("c", characters), ("n", places)) for s, w in c.items()]
-        for c in (values, characters, places):
-            c.clear()
-        kinds, keys, weights = zip(*rows) if rows else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(keys, pa.string()), pa.array(weights, pa.int64())], names=["kind", "key", "weight"])
+        kinds, keys = zip(*counts) if counts else ((), ())
+        columns = [pa.array(kinds, pa.string()), pa.array(keys, pa.string()), pa.array(list(counts.values()), pa.int64())]
+        counts.clear()
+        return pa.RecordBatch.from_arrays(columns, names=["kind", "key", "weight"])
 
     for batch in batches:
-        for item in batch.column(0).value_counts().to_pylist():
-            feature, n = item["values"], item["counts"]
-            options = candidates(feature)
-            weight = max(1, SHARE // len(options)) * n
-            for option in options:
-                parsed = split(feature, *option)
-                places[str(len(parsed))] += weight
-                for value in parsed:
-                    if ATOMIC.fullmatch(value):  # what holds a delimiter is spelt out, never a code of its own
-                        values[value] += weight
-                    for x in value:
-                        characters[x] += weight
-        if len(values) > 200_000:
+        for feature, n in zip(*(c.to_pylist() for c in batch.columns)):
+            for key, weight in shares(feature).items():
+                counts[key] += weight * n
+        if len(counts) > 200_000:
             yield flush()
     yield flush()
 
 
-def learn_codes(fields: DataFrame, column: str = "feature") -> Codes:
-    """Code lengths from all rows; what reaches the driver is bounded by 3 x TABLE entries."""
-    counted = spread(fields.select(column).where(F.col(column).isNotNull())).mapInArrow(_count, "kind string, key string, weight long")
-    summed = durable(counted.groupBy("kind", "key").agg(F.sum("weight").alias("weight")))
-    top = None
-    for kind in "vcn":
-        part = summed.where(F.col("kind") == kind).orderBy(F.desc("weight"), "key").limit(TABLE)
-        top = part if top is None else top.unionByName(part)
-    return Codes([(r.kind, r.key, r.weight) for r in top.collect()])
+def learn_codes(fields: DataFrame, column: str = "feature") -> CodeBook:
+    """Counts over all rows; of them only the characters (one row per code point) and sums reach the driver."""
+    features = fields.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    counted = spread(features).mapInArrow(_count, "kind string, key string, weight long")
+    counts = durable(counted.groupBy("kind", "key").agg(F.sum("weight").alias("weight")))
+    rare = F.sum(F.when(F.col("weight") <= 2 * SHARE, F.col("weight")).otherwise(0))
+    sums = {r.kind: r for r in counts.groupBy("kind").agg(F.sum("weight").alias("total"), rare.alias("rare")).collect()}
+    characters = [(r.kind, r.key, r.weight) for r in counts.where(F.col("kind") == "c").collect()]
+    return CodeBook(counts, Codes(characters, {k: r.total for k, r in sums.items()}, sums["v"].rare if "v" in sums else 0))
+
+
+def _single(column: str) -> Column:
+    """Whether a field has at most one kind of delimiter and no quotes: then it has one dialect."""
+    kinds = reduce(lambda a, b: a + b, [F.col(column).contains(d).cast("int") for d in DELIMITERS])
+    quoted = reduce(lambda a, b: a | b, [F.col(column).contains(q) for q in QUOTES])
+    return (kinds <= 1) & ~quoted
+
+
+def _fingerprint(column: str) -> list[Column]:
+    """128 bits that stand for a field's text."""
+    return [F.xxhash64(column).alias("_f1"), F.xxhash64(F.lit(1), F.col(column)).alias("_f2")]
+
 
+def choices(features: DataFrame, book: CodeBook, column: str = "feature") -> DataFrame:
+    """_f1, _f2 and the place of the cheapest candidate of every distinct field that has several."""
+    shared = features.sparkSession.sparkContext.broadcast(book.codes)
+    wanted = "_f1 long, _f2 long, kind string, key string, n long"
 
-def split_packed(fields: DataFrame, codes: Codes, keys: list[str], column: str = "feature") -> DataFrame:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for feature, n, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+                if len(candidates(feature)) > 1:
+                    rows.append((a, b, "f", feature, n))
+                    rows.extend((a, b, *key, None) for key in shares(feature) if key[0] != "c")
+            columns = list(zip(*rows)) if rows else [[]] * 5
+            types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["_f1", "_f2", "kind", "key", "n"])
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = shared.value
+        for batch in batches:
+            firsts, seconds, texts, ns, found = (c.to_pylist() for c in batch.columns)
+            chosen = [codes.having(_others(text, n, [(x["kind"], x["key"], x["weight"]) for x in counts])).choice(text) for text, n, counts in zip(texts, ns, found)]
+            yield pa.RecordBatch.from_arrays([pa.array(firsts, pa.int64()), pa.array(seconds, pa.int64()), pa.array(chosen, pa.int32())], names=["_f1", "_f2", "_choice"])
+
+    distinct = features.where(F.col(column).isNotNull() & ~_single(column)).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    asked = spread(distinct.select(column, "n", *_fingerprint(column))).mapInArrow(ask, wanted)
+    answered = asked.join(book.counts, ["kind", "key"], "left").groupBy("_f1", "_f2").agg(
+        F.max(F.when(F.col("kind") == "f", F.col("key"))).alias("text"), F.max("n").alias("n"), F.collect_list(F.when(F.col("weight").isNotNull(), F.struct("kind", "key", "weight"))).alias("found")
+    )
+    return answered.mapInArrow(choose, "_f1 long, _f2 long, _choice int")
+
+
+def split_packed(fields: DataFrame, book: CodeBook, keys: list[str], column: str = "feature") -> DataFrame:
     """One row per value: the ``keys`` columns, pos_no (place from 0) and item_value."""
     source = fields.select(*keys, column)
     out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields[:-1]) + ", pos_no int, item_value string"
-    shared = fields.sparkSession.sparkContext.broadcast(codes)
+    rows = source.where(F.col(column).isNotNull() & (F.trim(column) != ""))
+
+    blank = r"[\s\x1c-\x1f&&[^\t]]"  # a tab is a delimiter
+    bare = F.regexp_replace(column, rf"(?U)^{blank}+|{blank}+$", "")
+    values = F.split(bare, rf"(?U){blank}*[{DELIMITERS}]{blank}*", -1)
+    plain = rows.where(_single(column)).dropDuplicates().select(*keys, F.posexplode(values).alias("pos_no", "item_value"))
+    plain = plain.where((F.col("item_value") != "") & (F.col("item_value") != "*"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list[tuple[int, str]]] = {}
-        best = shared.value.best
+        known: dict[tuple[str, int | None], list[tuple[int, str]]] = {}
         for batch in batches:
-            encoded = batch.column(len(keys)).dictionary_encode()
             parsed = []
-            for feature in encoded.dictionary.to_pylist():
-                if (hit := known.get(feature)) is None:
-                    hit = [(i, v) for i, v in enumerate(best(feature)) if v and v != "*"]
+            for field in zip(*(batch.column(len(keys) + i).to_pylist() for i in range(2))):
+                if (hit := known.get(field)) is None:
+                    hit = [(i, v) for i, v in enumerate(split(field[0], *candidates(field[0])[field[1] or 0])) if v and v != "*"]
                     if len(known) < REMEMBERED:
-                        known[feature] = hit
+                        known[field] = hit
                 parsed.append(hit)
-            lengths = np.fromiter(map(len, parsed), np.int64, len(parsed))
-            starts = np.concatenate(([0], np.cumsum(lengths)[:-1])) if len(parsed) else np.zeros(0, np.int64)
-            index = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            of_row = lengths[index] if len(index) else np.zeros(0, np.int64)
-            parent = np.repeat(np.arange(len(index)), of_row)
-            within = np.arange(len(parent)) - np.repeat(np.cumsum(of_row) - of_row, of_row)
-            child = pa.array(np.repeat(starts[index] if len(index) else index, of_row) + within)
-            flat = [x for hit in parsed for x in hit]
-            places = pa.array([p for p, _ in flat], pa.int32()).take(child)
-            values = pa.array([v for _, v in flat], pa.string()).take(child)
-            at = pa.array(parent)
+            at = pa.array(np.repeat(np.arange(len(parsed)), np.fromiter(map(len, parsed), np.int64, len(parsed))))
+            places = pa.array([p for hit in parsed for p, _ in hit], pa.int32())
+            values = pa.array([v for hit in parsed for _, v in hit], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(len(keys))), places, values], names=[*keys, "pos_no", "item_value"])
 
-    rows = source.where(F.col(column).isNotNull() & (F.trim(column) != "")).dropDuplicates()
-    return spread(rows).mapInArrow(run, out)
+    several = rows.where(~_single(column)).dropDuplicates().select(*keys, column, *_fingerprint(column))
+    chosen = several.join(choices(source, book, column), ["_f1", "_f2"], "left").select(*keys, column, "_choice")
+    return plain.unionByName(chosen.mapInArrow(run, out))
