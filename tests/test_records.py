@@ -116,6 +116,9 @@ def test_choices_by_joined_counts_agree_with_counts_in_memory(spark):
     counts = Counter()
     for f in fields:
         counts.update(pv.shares(f))
+        for option in pv.candidates(f):
+            for v in pv.split(f, *option):
+                counts.update({("c", x): pv.SHARE // len(pv.candidates(f)) * v.count(x) for x in set(v)})
     assert {(r.kind, r.key): r.weight for r in book.counts.collect()} == counts
     got = {}
     for r in pv.split_packed(df, book, ["rec_id"]).collect():
@@ -127,7 +130,7 @@ def test_choices_by_joined_counts_agree_with_counts_in_memory(spark):
     rare = sum(w for (k, _), w in counts.items() if k == "v" and w <= 2 * pv.SHARE)
     for i, f in enumerate(fields):
         own = pv.shares(f)
-        others = [(k, s, w - (of[f] * own[k, s] if k != "c" else 0)) for (k, s), w in counts.items()]
+        others = [(k, s, w - of[f] * own[k, s]) for (k, s), w in counts.items()]
         codes = pv.Codes([x for x in others if x[2] > 0], totals, rare)
         assert got.get(i, {}) == {p: v for p, v in enumerate(codes.best(f)) if v and v != "*"}, f
 

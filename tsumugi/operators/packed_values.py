@@ -40,6 +40,8 @@ QUOTES = "\"'"
 SHARE = 5040  # a field's weight in the counts, divided among its candidate parses
 REMEMBERED = 20000  # distinct features whose parse a task keeps
 
+BLANK = r"[\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"  # Python's white space, for Java
+BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c != "\t")  # a tab is a delimiter
 ENCLOSED = re.compile(rf"(?:^|[{DELIMITERS}])\s*([\"'])(?:(?!\1).|\1\1)*\1\s*(?:[{DELIMITERS}]|$)")
 ATOMIC = re.compile(f"[^{DELIMITERS}]*")
 
@@ -47,23 +49,30 @@ _patterns: dict[tuple[str, bool], re.Pattern] = {}
 
 
 def _pattern(delimiters: str, quoting: bool) -> re.Pattern:
+    """One place with its delimiter, if the field is quoted; else only the delimiters."""
     key = (delimiters, quoting)
     if key not in _patterns:
-        stop = f"[{re.escape(delimiters)}]" if delimiters else "(?!)"
-        blank = f"(?:(?!{stop})\\s)*"
-        quoted = "\"(?:[^\"]|\"\")*\"|'(?:[^']|'')*'|" if quoting else ""
-        _patterns[key] = re.compile(f"{blank}({quoted}(?:(?!{stop}).)*?){blank}({stop}|\\Z)", re.S)
+        stop, other, blank = (f"[{re.escape(delimiters)}]", f"[^{re.escape(delimiters)}]", f"[^\\S{re.escape(delimiters)}]*") if delimiters else ("(?!)", r"[\s\S]", r"\s*")
+        quoted = "\"(?:[^\"]|\"\")*\"|'(?:[^']|'')*'"
+        _patterns[key] = re.compile(f"{blank}({quoted}|{other}*?){blank}({stop}|\\Z)" if quoting else stop)
     return _patterns[key]
 
 
+def _unquoted(value: str) -> str:
+    if len(value) > 1 and value[0] in QUOTES and value[-1] == value[0] and re.fullmatch(f"(?:[^{value[0]}]|{value[0]}{value[0]})*", value[1:-1]):
+        return value[1:-1].replace(value[0] * 2, value[0]).strip()
+    return value
+
+
 def split(feature: str, delimiters: str, quoting: bool = True) -> list[str]:
     """Values of a field under one dialect, empty places included."""
+    quotes = '"' in feature or "'" in feature
+    if not quotes or not quoting:
+        values = [v.strip() for v in _pattern(delimiters, False).split(feature)]
+        return [_unquoted(v) for v in values] if quotes else values
     values = []
-    for m in _pattern(delimiters, quoting).finditer(feature):
-        value = m[1]
-        if len(value) > 1 and value[0] in QUOTES and value[-1] == value[0] and re.fullmatch(f"(?:[^{value[0]}]|{value[0]}{value[0]})*", value[1:-1]):
-            value = value[1:-1].replace(value[0] * 2, value[0]).strip()
-        values.append(value)
+    for m in _pattern(delimiters, True).finditer(feature):
+        values.append(_unquoted(m[1]))
         if not m[2]:
             break
     return values
@@ -140,7 +149,7 @@ class Codes:
 
 
 def shares(feature: str) -> Counter:
-    """Weights that one field adds to the counts: values without delimiters, characters and numbers of places.
+    """Weights that one field adds to the counts of values without delimiters and of numbers of places.
 
     What holds a delimiter is spelt out, never a code of its own.
     """
@@ -153,8 +162,6 @@ def shares(feature: str) -> Counter:
         for value in parsed:
             if ATOMIC.fullmatch(value):
                 counts["v", value] += weight
-            for x in value:
-                counts["c", x] += weight
     return counts
 
 
@@ -173,25 +180,38 @@ class CodeBook:
 
     def best(self, feature: str, n: int = 1) -> list[str]:
         """The values of one field that occurs ``n`` times, for inspection."""
-        wanted = [s for k, s in shares(feature) if k != "c"]
+        wanted = [s for _, s in shares(feature)]
         found = self.counts.where(F.col("key").isin(wanted) & (F.col("kind") != "c")).collect()
         return self.codes.having(_others(feature, n, [(r.kind, r.key, r.weight) for r in found])).best(feature)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
+    """Weights of values, characters and numbers of places over distinct fields that occur n times."""
+    values, characters, places = Counter(), Counter(), Counter()
 
     def flush() -> pa.RecordBatch:
-        kinds, keys = zip(*counts) if counts else ((), ())
-        columns = [pa.array(kinds, pa.string()), pa.array(keys, pa.string()), pa.array(list(counts.values()), pa.int64())]
-        counts.clear()
-        return pa.RecordBatch.from_arrays(columns, names=["kind", "key", "weight"])
+        rows = [(k, s, w) for k, c in (("v", values), ("c", characters), ("n", places)) for s, w in c.items()]
+        for c in (values, characters, places):
+            c.clear()
+        kinds, keys, weights = zip(*rows) if rows else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(keys, pa.string()), pa.array(weights, pa.int64())], names=["kind", "key", "weight"])
 
     for batch in batches:
+        spelt: dict[int, list[str]] = {}
         for feature, n in zip(*(c.to_pylist() for c in batch.columns)):
-            for key, weight in shares(feature).items():
-                counts[key] += weight * n
-        if len(counts) > 200_000:
+            options = candidates(feature)
+            weight = max(1, SHARE // len(options)) * n
+            texts = spelt.setdefault(weight, [])
+            for option in options:
+                parsed = split(feature, *option)
+                places[str(len(parsed))] += weight
+                texts += parsed
+                for value in parsed if len(options) == 1 and '"' not in feature and "'" not in feature else filter(ATOMIC.fullmatch, parsed):
+                    values[value] += weight
+        for weight, texts in spelt.items():
+            for x, n in Counter("".join(texts)).items():
+                characters[x] += weight * n
+        if len(values) > 200_000:
             yield flush()
     yield flush()
 
@@ -202,16 +222,21 @@ def learn_codes(fields: DataFrame, column: str = "feature") -> CodeBook:
     counted = spread(features).mapInArrow(_count, "kind string, key string, weight long")
     counts = durable(counted.groupBy("kind", "key").agg(F.sum("weight").alias("weight")))
     rare = F.sum(F.when(F.col("weight") <= 2 * SHARE, F.col("weight")).otherwise(0))
-    sums = {r.kind: r for r in counts.groupBy("kind").agg(F.sum("weight").alias("total"), rare.alias("rare")).collect()}
-    characters = [(r.kind, r.key, r.weight) for r in counts.where(F.col("kind") == "c").collect()]
-    return CodeBook(counts, Codes(characters, {k: r.total for k, r in sums.items()}, sums["v"].rare if "v" in sums else 0))
+    sums = counts.groupBy("kind", F.when(F.col("kind") == "c", F.col("key")).alias("key")).agg(F.sum("weight").alias("total"), rare.alias("rare")).collect()
+    characters = [(r.kind, r.key, r.total) for r in sums if r.kind == "c"]
+    totals = {r.kind: r.total for r in sums if r.kind != "c"} | {"c": sum(w for *_, w in characters)}
+    return CodeBook(counts, Codes(characters, totals, next((r.rare for r in sums if r.kind == "v"), 0)))
+
+
+def _quoted(column: str) -> Column:
+    return reduce(lambda a, b: a | b, [F.col(column).contains(q) for q in QUOTES])
 
 
 def _single(column: str) -> Column:
-    """Whether a field has at most one kind of delimiter and no quotes: then it has one dialect."""
+    """Whether a field has one candidate dialect: one kind of delimiter at most, and no quotes or such that fill a place."""
     kinds = reduce(lambda a, b: a + b, [F.col(column).contains(d).cast("int") for d in DELIMITERS])
-    quoted = reduce(lambda a, b: a | b, [F.col(column).contains(q) for q in QUOTES])
-    return (kinds <= 1) & ~quoted
+    filled = F.col(column).rlike(ENCLOSED.pattern.replace(r"\s", BLANK))
+    return (kinds <= 1) & (~_quoted(column) | filled)
 
 
 def _fingerprint(column: str) -> list[Column]:
@@ -228,9 +253,8 @@ def choices(features: DataFrame, book: CodeBook, column: str = "feature") -> Dat
         for batch in batches:
             rows = []
             for feature, n, a, b in zip(*(c.to_pylist() for c in batch.columns)):
-                if len(candidates(feature)) > 1:
-                    rows.append((a, b, "f", feature, n))
-                    rows.extend((a, b, *key, None) for key in shares(feature) if key[0] != "c")
+                rows.append((a, b, "f", feature, n))
+                rows.extend((a, b, *key, None) for key in shares(feature))
             columns = list(zip(*rows)) if rows else [[]] * 5
             types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["_f1", "_f2", "kind", "key", "n"])
@@ -256,11 +280,9 @@ def split_packed(fields: DataFrame, book: CodeBook, keys: list[str], column: str
     out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields[:-1]) + ", pos_no int, item_value string"
     rows = source.where(F.col(column).isNotNull() & (F.trim(column) != ""))
 
-    blank = r"[\s\x1c-\x1f&&[^\t]]"  # a tab is a delimiter
-    bare = F.regexp_replace(column, rf"(?U)^{blank}+|{blank}+$", "")
-    values = F.split(bare, rf"(?U){blank}*[{DELIMITERS}]{blank}*", -1)
-    plain = rows.where(_single(column)).dropDuplicates().select(*keys, F.posexplode(values).alias("pos_no", "item_value"))
-    plain = plain.where((F.col("item_value") != "") & (F.col("item_value") != "*"))
+    plain = rows.where(_single(column) & ~_quoted(column)).dropDuplicates()
+    values = F.transform(F.split(column, f"[{DELIMITERS}]", -1), lambda v: F.btrim(v, F.lit(BLANKS)))
+    plain = plain.select(*keys, F.posexplode(values).alias("pos_no", "item_value")).where((F.col("item_value") != "") & (F.col("item_value") != "*"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple[str, int | None], list[tuple[int, str]]] = {}
@@ -277,6 +299,7 @@ def split_packed(fields: DataFrame, book: CodeBook, keys: list[str], column: str
             values = pa.array([v for hit in parsed for _, v in hit], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(len(keys))), places, values], names=[*keys, "pos_no", "item_value"])
 
+    quoted = rows.where(_single(column) & _quoted(column)).dropDuplicates().select(*keys, column, F.lit(None).cast("int").alias("_choice"))
     several = rows.where(~_single(column)).dropDuplicates().select(*keys, column, *_fingerprint(column))
     chosen = several.join(choices(source, book, column), ["_f1", "_f2"], "left").select(*keys, column, "_choice")
-    return plain.unionByName(chosen.mapInArrow(run, out))
+    return plain.unionByName(quoted.unionByName(chosen).mapInArrow(run, out))
