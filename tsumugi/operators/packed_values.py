@@ -40,7 +40,6 @@ QUOTES = "\"'"
 SHARE = 5040  # a field's weight in the counts, divided among its candidate parses
 REMEMBERED = 20000  # distinct features whose parse a task keeps
 
-BLANK = r"[\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"  # Python's white space, for Java
 BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c != "\t")  # a tab is a delimiter
 ENCLOSED = re.compile(rf"(?:^|[{DELIMITERS}])\s*([\"'])(?:(?!\1).|\1\1)*\1\s*(?:[{DELIMITERS}]|$)")
 ATOMIC = re.compile(f"[^{DELIMITERS}]*")
@@ -107,19 +106,26 @@ class Codes:
         self.escape = math.log2(self.totals["v"] / (rare + (self.totals["v"] - 1) * 0.05 + 1))
         self.characters = {s: math.log2(self.totals["c"] / w) for k, s, w in counts if k == "c"}
         self.bits = self._bits(counts)
+        self.spelt: dict[str, float] = {}  # of one field at a time
 
     def _bits(self, counts: list[tuple[str, str, int]]) -> dict[tuple[str, str], float]:
         return {(k, s): math.log2(self.totals[k] / w) for k, s, w in counts if k != "c"}
 
-    def having(self, counts: list[tuple[str, str, int]]) -> Codes:
-        """The same characters with the codes of these values and numbers of places only."""
+    def having(self, counts: list[tuple[str, str, int]], parsed: list[list[str]] | None = None, n: int = 0) -> Codes:
+        """The same characters with the codes of these values and numbers of places only, less
+        what the parses of a field add to the counts that occurs ``n`` times."""
+        own = _shares(parsed) if parsed and n else {}
         other = copy(self)
-        other.bits = self._bits(counts)
+        left = ((k, s, w - n * own.get((k, s), 0)) for k, s, w in counts)
+        other.bits, other.spelt = self._bits([x for x in left if x[2] > 0]), {}
         return other
 
     def literal(self, value: str) -> float:
-        character, least = self.characters, self.least["c"]
-        return self.escape + sum(character.get(x, least) for x in value) + 4.0
+        cost = self.spelt.get(value)
+        if cost is None:
+            character, least = self.characters, self.least["c"]
+            cost = self.spelt[value] = self.escape + sum(character.get(x, least) for x in value) + 4.0
+        return cost
 
     def length(self, values: list[str], delimiters: str, quoting: bool) -> float:
         bits = self.bits.get(("n", str(len(values))), self.least["n"]) + 2.0 * len(delimiters) + (0.0 if quoting else 1.0)
@@ -135,17 +141,27 @@ class Codes:
             bits += cost
         return bits
 
-    def choice(self, feature: str) -> int:
-        """Which candidate is cheapest; of equally cheap ones the first, with the fewest delimiters."""
-        options = candidates(feature)
-        if len(options) == 1:
-            return 0
-        lengths = [self.length(split(feature, *option), *option) for option in options]
+    def choice(self, parsed: list[list[str]], options: list[tuple[str, bool]]) -> int:
+        """Which of the parses is cheapest; of equally cheap ones the first, with the fewest delimiters."""
+        lengths = [self.length(values, *option) for values, option in zip(parsed, options)]
         return lengths.index(min(lengths))
 
     def best(self, feature: str) -> list[str]:
         """The values under the cheapest dialect."""
-        return split(feature, *candidates(feature)[self.choice(feature)])
+        options = candidates(feature)
+        parsed = [split(feature, *option) for option in options]
+        return parsed[self.choice(parsed, options)]
+
+
+def _shares(parsed: list[list[str]]) -> Counter:
+    weight = max(1, SHARE // len(parsed))
+    counts: Counter = Counter()
+    for values in parsed:
+        counts["n", str(len(values))] += weight
+        for value in values:
+            if ATOMIC.fullmatch(value):
+                counts["v", value] += weight
+    return counts
 
 
 def shares(feature: str) -> Counter:
@@ -153,22 +169,13 @@ def shares(feature: str) -> Counter:
 
     What holds a delimiter is spelt out, never a code of its own.
     """
-    options = candidates(feature)
-    weight = max(1, SHARE // len(options))
-    counts: Counter = Counter()
-    for option in options:
-        parsed = split(feature, *option)
-        counts["n", str(len(parsed))] += weight
-        for value in parsed:
-            if ATOMIC.fullmatch(value):
-                counts["v", value] += weight
-    return counts
+    return _shares([split(feature, *option) for option in candidates(feature)])
 
 
-def _others(feature: str, n: int, counts: list[tuple[str, str, int]]) -> list[tuple[str, str, int]]:
-    """Counts without what the field itself, which occurs ``n`` times, adds to them."""
-    own = shares(feature)
-    return [(k, s, w - n * own[k, s]) for k, s, w in counts if w > n * own[k, s]]
+def keys_of(feature: str) -> list[tuple[str, str]]:
+    """All that the parses of a field may look up: its pieces between delimiters, and numbers of places up to theirs."""
+    pieces = [split(feature, DELIMITERS, quoting) for quoting in (True, False)]
+    return [("v", v) for v in dict.fromkeys(pieces[0] + pieces[1])] + [("n", str(i)) for i in range(1, len(pieces[1]) + 1)]
 
 
 @dataclass(frozen=True)
@@ -180,9 +187,10 @@ class CodeBook:
 
     def best(self, feature: str, n: int = 1) -> list[str]:
         """The values of one field that occurs ``n`` times, for inspection."""
-        wanted = [s for _, s in shares(feature)]
-        found = self.counts.where(F.col("key").isin(wanted) & (F.col("kind") != "c")).collect()
-        return self.codes.having(_others(feature, n, [(r.kind, r.key, r.weight) for r in found])).best(feature)
+        found = self.counts.where(F.col("key").isin([s for _, s in keys_of(feature)]) & (F.col("kind") != "c")).collect()
+        options = candidates(feature)
+        parsed = [split(feature, *option) for option in options]
+        return parsed[self.codes.having([(r.kind, r.key, r.weight) for r in found], parsed, n).choice(parsed, options)]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,15 +236,10 @@ def learn_codes(fields: DataFrame, column: str = "feature") -> CodeBook:
     return CodeBook(counts, Codes(characters, totals, next((r.rare for r in sums if r.kind == "v"), 0)))
 
 
-def _quoted(column: str) -> Column:
-    return reduce(lambda a, b: a | b, [F.col(column).contains(q) for q in QUOTES])
-
-
-def _single(column: str) -> Column:
-    """Whether a field has one candidate dialect: one kind of delimiter at most, and no quotes or such that fill a place."""
+def _plain(column: str) -> Column:
+    """Whether a field has one kind of delimiter at most and no quotes, and so one dialect."""
     kinds = reduce(lambda a, b: a + b, [F.col(column).contains(d).cast("int") for d in DELIMITERS])
-    filled = F.col(column).rlike(ENCLOSED.pattern.replace(r"\s", BLANK))
-    return (kinds <= 1) & (~_quoted(column) | filled)
+    return (kinds <= 1) & ~reduce(lambda a, b: a | b, [F.col(column).contains(q) for q in QUOTES])
 
 
 def _fingerprint(column: str) -> list[Column]:
@@ -253,8 +256,9 @@ def choices(features: DataFrame, book: CodeBook, column: str = "feature") -> Dat
         for batch in batches:
             rows = []
             for feature, n, a, b in zip(*(c.to_pylist() for c in batch.columns)):
-                rows.append((a, b, "f", feature, n))
-                rows.extend((a, b, *key, None) for key in shares(feature))
+                if len(candidates(feature)) > 1:
+                    rows.append((a, b, "f", feature, n))
+                    rows.extend((a, b, *key, None) for key in keys_of(feature))
             columns = list(zip(*rows)) if rows else [[]] * 5
             types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["_f1", "_f2", "kind", "key", "n"])
@@ -263,10 +267,14 @@ def choices(features: DataFrame, book: CodeBook, column: str = "feature") -> Dat
         codes = shared.value
         for batch in batches:
             firsts, seconds, texts, ns, found = (c.to_pylist() for c in batch.columns)
-            chosen = [codes.having(_others(text, n, [(x["kind"], x["key"], x["weight"]) for x in counts])).choice(text) for text, n, counts in zip(texts, ns, found)]
+            chosen = []
+            for text, n, counts in zip(texts, ns, found):
+                options = candidates(text)
+                parsed = [split(text, *option) for option in options]
+                chosen.append(codes.having([(x["kind"], x["key"], x["weight"]) for x in counts], parsed, n).choice(parsed, options))
             yield pa.RecordBatch.from_arrays([pa.array(firsts, pa.int64()), pa.array(seconds, pa.int64()), pa.array(chosen, pa.int32())], names=["_f1", "_f2", "_choice"])
 
-    distinct = features.where(F.col(column).isNotNull() & ~_single(column)).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    distinct = features.where(F.col(column).isNotNull() & ~_plain(column)).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
     asked = spread(distinct.select(column, "n", *_fingerprint(column))).mapInArrow(ask, wanted)
     answered = asked.join(book.counts, ["kind", "key"], "left").groupBy("_f1", "_f2").agg(
         F.max(F.when(F.col("kind") == "f", F.col("key"))).alias("text"), F.max("n").alias("n"), F.collect_list(F.when(F.col("weight").isNotNull(), F.struct("kind", "key", "weight"))).alias("found")
@@ -280,7 +288,7 @@ def split_packed(fields: DataFrame, book: CodeBook, keys: list[str], column: str
     out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields[:-1]) + ", pos_no int, item_value string"
     rows = source.where(F.col(column).isNotNull() & (F.trim(column) != ""))
 
-    plain = rows.where(_single(column) & ~_quoted(column)).dropDuplicates()
+    plain = rows.where(_plain(column)).dropDuplicates()
     values = F.transform(F.split(column, f"[{DELIMITERS}]", -1), lambda v: F.btrim(v, F.lit(BLANKS)))
     plain = plain.select(*keys, F.posexplode(values).alias("pos_no", "item_value")).where((F.col("item_value") != "") & (F.col("item_value") != "*"))
 
@@ -299,7 +307,6 @@ def split_packed(fields: DataFrame, book: CodeBook, keys: list[str], column: str
             values = pa.array([v for hit in parsed for _, v in hit], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(len(keys))), places, values], names=[*keys, "pos_no", "item_value"])
 
-    quoted = rows.where(_single(column) & _quoted(column)).dropDuplicates().select(*keys, column, F.lit(None).cast("int").alias("_choice"))
-    several = rows.where(~_single(column)).dropDuplicates().select(*keys, column, *_fingerprint(column))
+    several = rows.where(~_plain(column)).dropDuplicates().select(*keys, column, *_fingerprint(column))
     chosen = several.join(choices(source, book, column), ["_f1", "_f2"], "left").select(*keys, column, "_choice")
-    return plain.unionByName(quoted.unionByName(chosen).mapInArrow(run, out))
+    return plain.unionByName(chosen.mapInArrow(run, out))
