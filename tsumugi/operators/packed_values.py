@@ -25,7 +25,7 @@ from collections.abc import Iterator
 from copy import copy
 from dataclasses import dataclass
 from functools import reduce
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -155,13 +155,9 @@ class Codes:
 
 def _shares(parsed: list[list[str]]) -> Counter:
     weight = max(1, SHARE // len(parsed))
-    counts: Counter = Counter()
-    for values in parsed:
-        counts["n", str(len(values))] += weight
-        for value in values:
-            if ATOMIC.fullmatch(value):
-                counts["v", value] += weight
-    return counts
+    times = Counter(("n", str(len(values))) for values in parsed)
+    times.update(("v", value) for value in chain.from_iterable(parsed))
+    return Counter({key: weight * n for key, n in times.items() if key[0] == "n" or ATOMIC.fullmatch(key[1])})
 
 
 def shares(feature: str) -> Counter:
@@ -266,18 +262,19 @@ def choices(features: DataFrame, book: CodeBook, column: str = "feature") -> Dat
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = shared.value
         for batch in batches:
-            firsts, seconds, texts, ns, found = (c.to_pylist() for c in batch.columns)
+            firsts, seconds, texts, ns, keys, weights = (c.to_pylist() for c in batch.columns)
             chosen = []
-            for text, n, counts in zip(texts, ns, found):
+            for text, n, names, counted in zip(texts, ns, keys, weights):
                 options = candidates(text)
                 parsed = [split(text, *option) for option in options]
-                chosen.append(codes.having([(x["kind"], x["key"], x["weight"]) for x in counts], parsed, n).choice(parsed, options))
+                chosen.append(codes.having([(k[0], k[1:], w) for k, w in zip(names, counted)], parsed, n).choice(parsed, options))
             yield pa.RecordBatch.from_arrays([pa.array(firsts, pa.int64()), pa.array(seconds, pa.int64()), pa.array(chosen, pa.int32())], names=["_f1", "_f2", "_choice"])
 
     distinct = features.where(F.col(column).isNotNull() & ~_plain(column)).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
     asked = spread(distinct.select(column, "n", *_fingerprint(column))).mapInArrow(ask, wanted)
+    found = F.col("weight").isNotNull()
     answered = asked.join(book.counts, ["kind", "key"], "left").groupBy("_f1", "_f2").agg(
-        F.max(F.when(F.col("kind") == "f", F.col("key"))).alias("text"), F.max("n").alias("n"), F.collect_list(F.when(F.col("weight").isNotNull(), F.struct("kind", "key", "weight"))).alias("found")
+        F.max(F.when(F.col("kind") == "f", F.col("key"))).alias("text"), F.max("n").alias("n"), F.collect_list(F.when(found, F.concat("kind", "key"))).alias("keys"), F.collect_list(F.when(found, F.col("weight"))).alias("weights")
     )
     return answered.mapInArrow(choose, "_f1 long, _f2 long, _choice int")
 
@@ -289,8 +286,8 @@ def split_packed(fields: DataFrame, book: CodeBook, keys: list[str], column: str
     rows = source.where(F.col(column).isNotNull() & (F.trim(column) != ""))
 
     plain = rows.where(_plain(column)).dropDuplicates()
-    values = F.transform(F.split(column, f"[{DELIMITERS}]", -1), lambda v: F.btrim(v, F.lit(BLANKS)))
-    plain = plain.select(*keys, F.posexplode(values).alias("pos_no", "item_value")).where((F.col("item_value") != "") & (F.col("item_value") != "*"))
+    plain = plain.select(*keys, F.posexplode(F.split(column, f"[{DELIMITERS}]", -1)).alias("pos_no", "item_value"))
+    plain = plain.withColumn("item_value", F.btrim("item_value", F.lit(BLANKS))).where((F.col("item_value") != "") & (F.col("item_value") != "*"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple[str, int | None], list[tuple[int, str]]] = {}
