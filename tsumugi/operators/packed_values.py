@@ -40,7 +40,7 @@ QUOTES = "\"'"
 SHARE = 5040  # a field's weight in the counts, divided among its candidate parses
 REMEMBERED = 20000  # distinct features whose parse a task keeps
 
-BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c != "\t")  # a tab is a delimiter
+BLANK = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in map(chr, range(0x3001)) if c.isspace() and c != "\t") + "]"  # a tab is a delimiter
 ENCLOSED = re.compile(rf"(?:^|[{DELIMITERS}])\s*([\"'])(?:(?!\1).|\1\1)*\1\s*(?:[{DELIMITERS}]|$)")
 ATOMIC = re.compile(f"[^{DELIMITERS}]*")
 
@@ -286,8 +286,9 @@ def split_packed(fields: DataFrame, book: CodeBook, keys: list[str], column: str
     rows = source.where(F.col(column).isNotNull() & (F.trim(column) != ""))
 
     plain = rows.where(_plain(column)).dropDuplicates()
-    plain = plain.select(*keys, F.posexplode(F.split(column, f"[{DELIMITERS}]", -1)).alias("pos_no", "item_value"))
-    plain = plain.withColumn("item_value", F.btrim("item_value", F.lit(BLANKS))).where((F.col("item_value") != "") & (F.col("item_value") != "*"))
+    close = F.regexp_replace(F.regexp_replace(column, f"{BLANK}*([{DELIMITERS}]){BLANK}*", "$1"), f"^{BLANK}+|{BLANK}+$", "")
+    values = F.split(F.when(F.col(column).rlike(BLANK), close).otherwise(F.col(column)), f"[{DELIMITERS}]", -1)
+    plain = plain.select(*keys, F.posexplode(values).alias("pos_no", "item_value")).where((F.col("item_value") != "") & (F.col("item_value") != "*"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple[str, int | None], list[tuple[int, str]]] = {}
