@@ -159,7 +159,8 @@ def brute(line):
     if not isinstance(entity, dict):
         return []
     rows = []
-    leaf = lambda x, m: x.get(m) if isinstance(x, dict) else x
+    text = lambda x: x if x is None or isinstance(x, str) else json.dumps(x, separators=(",", ":"))
+    leaf = lambda x, m: text(x.get(m)) if isinstance(x, dict) else None if isinstance(x, list) else text(x)
     many = lambda x: x if isinstance(x, list) else [] if x is None else [x]
     for k, v in (entity.get("labels") or {}).items() if isinstance(entity.get("labels"), dict) else ():
         rows.append(("label", k, 0, leaf(v, "value")))
@@ -175,12 +176,16 @@ def test_entities_against_a_plain_parser(spark):
     lines = [
         '{"id":"Q1","labels":{"ja":{"language":"ja","value":"東京"},"en":"Tokyo","de":null},"aliases":{"ja":[{"value":"a"},{"value":null},"b",{}],"en":{"value":"one"},"fr":"bare","es":null,"ko":[]}},',
         '[{"id":"Q2","sitelinks":{"jawiki":{"title":"東","badges":["Q5",null,"Q6"]},"enwiki":"plain","dewiki":{"title":null,"badges":"Q7"},"frwiki":{"badges":null}}}',
+        '{"labels":{"ja":{"value":"a"},"en":{"value":{"x":1}},"de":7,"fr":{"value":3}},"sitelinks":{"a":{"title":"t","badges":[{"value":"Q1"},["Q2"],"Q3",null,4]},"b":{"badges":["{x","[y"]},"c":null,"d":{}}}',
+        '{"labels":{"ja":{"value":"b"},"en":null},"aliases":{"ja":[{"value":"c"},null,{"x":1}],"en":null},"sitelinks":{"w":{"title":"t","badges":["Q1",null,"Q2"]},"x":{"title":null,"badges":null},"y":{}}}',
         "[", "]", "", None, '{"id":"Q3","labels":{"ja":', '"Q4"', "[]", '{"labels":[],"aliases":null,"sitelinks":{}}', ' {"labels":{"ja":{"value":""}}} ]',
     ]
     df = spark.createDataFrame([(i, x, "k") for i, x in enumerate(lines)] + [(0, lines[0], "k")], "line_id long, line string, kind string")
     got = sorted((r.line_id, r.kind, r.map_key, r.ord_no, r.leaf_value) for r in ne.flatten_entities(df).collect())
     assert got == sorted((i, *r) for i, x in enumerate(lines) for r in brute(x))
     assert ne.flatten_entities(df.limit(0)).count() == 0
+    twice = spark.createDataFrame([(1, '{"labels":{"ja":{"value":"a","value":"b"},"ja":{"value":"c"}},"aliases":{"ja":["x"]}}')], "line_id long, line string")
+    assert sorted((r.kind, r.leaf_value) for r in ne.flatten_entities(twice).collect()) == [("alias", "x"), ("label", "c")]
 
 
 @pytest.mark.parametrize("size", [1, 255, 256, 257])

@@ -5,8 +5,11 @@ the flattening itself works on Arrow buffers: list offsets give parent indices,
 arrays are concatenated buffers, and keys reach the children by ``take``. No record is
 visited one by one in Python.
 
-Defined results: a line without one complete JSON object (NULL, blank, cut off, an array,
-or with duplicate keys in one object) has no rows; members that are missing or null have no row;
+Maps whose entries all have the usual shape are cast as a whole; only lines with another
+shape are looked at entry by entry.
+
+Defined results: a line without one complete JSON object (NULL, blank, cut off or an array)
+has no rows; of members repeated in one object the last counts; members that are missing or null have no row;
 a single item in place of an array is an array of one; a bare string in place of an object
 is its value. Repeated identical rows count once; extra columns are ignored.
 """
@@ -21,12 +24,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and not "\x1c" <= c <= "\x1f")
 FLAT = "line_id long, kind string, map_key string, ord_no int, leaf_value string"
 
 
 def entity_json(line: Column) -> Column:
     """The line without the dump's array brackets, commas and blanks around its entity."""
-    return F.regexp_replace(line, r"(?U)^[\s\[,\x{FEFF}]+|[\s\],]+$", "")
+    return F.rtrim(F.ltrim(line, F.lit(WHITE + "[,\ufeff")), F.lit(WHITE + "],"))
 
 
 def _leaf(x: str, member: str) -> str:
@@ -48,24 +52,48 @@ def _items(x: str, member: str) -> str:
     )
 
 
-def _entries(name: str, shaped: str) -> Column:
-    """The entries of map member ``name`` of v, each with its key k and what ``shaped`` makes of e.value."""
-    entries = f"map_entries(try_variant_get(v, '$.{name}', 'map<string,variant>'))"
-    return F.expr(f"transform({entries}, e -> named_struct('k', e.key, {shaped}))").alias(name)
+def _badges(x: str) -> str:
+    """SQL for badges ``x``, mostly an array of bare values; objects and lists in it would be cast to text."""
+    bare = f"try_variant_get({x}, '$', 'array<string>')"
+    return f"case when {x} is null then cast(array() as array<string>) when {bare} is not null and not exists({bare}, b -> b like '{{%' or b like '[%') then {bare} else {_items(x, 'value')} end"
+
+
+def _entries(name: str, usual: str, usual_fields: str, fields: str, fits: str) -> Column:
+    """The entries of map member ``name`` of v: key k and fields made of e.value.
+
+    ``usual`` is the type of a map's values in the usual shape and ``usual_fields`` what is
+    made of them if the map has that type and ``fits``; ``fields`` work on any variant.
+    """
+    cast = f"try_variant_get(v, '$.{name}', 'map<string,{usual}>')"
+    any_shape = f"map_entries(try_variant_get(v, '$.{name}', 'map<string,variant>'))"
+    return F.expr(
+        f"case when {cast} is not null and {fits.format(cast)} then transform(map_entries({cast}), e -> named_struct('k', e.key, {usual_fields})) "
+        f"else transform({any_shape}, e -> named_struct('k', e.key, {fields})) end"
+    ).alias(name)
 
 
 def shape_entities(lines: DataFrame) -> DataFrame:
-    """line_id with the entries of labels, aliases and sitelinks as arrays of structs."""
+    """line_id with the entries of labels, aliases and sitelinks as arrays of structs.
+
+    Sets ``spark.sql.variant.allowDuplicateKeys`` in the session, so that an object with a
+    repeated key does not cost its line.
+    """
+    lines.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     rows = lines.select(F.col("line_id").cast("long").alias("line_id"), entity_json(F.col("line")).alias("entity"))
     rows = rows.where(F.col("entity").startswith("{")).dropDuplicates()
     parsed = rows.select("line_id", F.expr("try_parse_json(entity)").alias("v"))
-    badges = _items("try_variant_get(e.value, '$.badges', 'variant')", "value")
+    member = "try_variant_get(e.value, '$.badges', 'variant')"
+    there = "not exists(map_values({0}), x -> x is null)"  # a value of another shape is NULL in the cast, as null itself
+    items = "not exists(map_values({0}), x -> x is null or exists(x, i -> i is null))"
     return parsed.where("v is not null and schema_of_variant(v) like 'OBJECT%'").select(
         "line_id",
-        _entries("labels", f"'v', {_leaf('e.value', 'value')}"),
-        _entries("aliases", f"'v', {_items('e.value', 'value')}"),
-        _entries("sitelinks", f"'t', {_leaf('e.value', 'title')}, 'b', case when schema_of_variant(e.value) like 'OBJECT%' then {badges} end"),
-    )
+        _entries("labels", "struct<value:string>", "'v', e.value.value", f"'v', {_leaf('e.value', 'value')}", there),
+        _entries("aliases", "array<struct<value:string>>", "'v', transform(e.value, i -> i.value)", f"'v', {_items('e.value', 'value')}", items),
+        _entries(
+            "sitelinks", "struct<title:string,badges:variant>", f"'t', e.value.title, 'b', {_badges('e.value.badges')}",
+            f"'t', {_leaf('e.value', 'title')}, 'b', case when schema_of_variant(e.value) like 'OBJECT%' then {_items(member, 'value')} end", there,
+        ),
+    )
 
 
 def _level(parent: np.ndarray, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
