@@ -99,6 +99,21 @@ def test_one_form_for_the_same_look(spark):
     assert clash.columns.count("form") == 1
 
 
+def test_accents_over_look_alikes():
+    canonical = lo.Canonical(lo.Scores([("ca", 3)]))
+    for texts in (["café", "caf\u0435\u0301", "cafe\u0301", "с\u0430fé"], ["ópera", "\u03bf\u0301pera", "όpera", "о\u0301pera"], ["è", "ѐ", "е\u0300"], ["Á", "А\u0301"], ["Ї", "Ï", "I\u0308"], ["ベ", "べ", "へ\u3099", "ヘ\u3099"], ["한", "\u1112\u1161\u11ab"]):
+        assert len({canonical(t) for t in texts}) == 1, texts
+    assert len({canonical(t) for t in ("cafe", "café", "cafè", "cafê", "ヘ", "ベ", "ペ")}) == 7
+
+
+def test_copies_of_a_spelling_are_not_paired(spark):
+    df = spark.range(0, 3000).select(F.lit("f").alias("field"), "id", F.when(F.col("id") == 7, "А").otherwise("A").alias("text"))
+    members, pairs = lo.same_look_spellings(df, lo.Scores([("ab", 1)]))
+    assert pairs.count() == 1 and members.count() == 3000
+    got = lo.same_look_pairs(df, lo.Scores([("ab", 1)]))
+    assert got.count() == 2999 and got.where("id_a >= id_b or (id_a <> 7 and id_b <> 7)").count() == 0
+
+
 def test_forms_do_not_depend_on_the_spelling():
     canonical = lo.Canonical(lo.Scores([("ab", 3), ("カー", 9)]))
     rng = random.Random(6)

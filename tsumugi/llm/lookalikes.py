@@ -6,8 +6,10 @@
    class. The characters of a text thus form a lattice, and Viterbi search picks the path
    with the best sum of character-bigram scores and script consistency.
 
-Strings that look the same have the same lattice, hence the same best path; strings that
-differ visibly differ in a class or in a character without a class. The lattice is cut at
+Strings that look the same have the same lattice, hence the same best path: which strings are
+equal is settled by the lattice, and the search only picks the spelling that is shown. Strings
+that differ visibly differ in a class or in a character without a class. Accents and voicing
+marks stand apart from their letters in the lattice and are composed again afterwards. The lattice is cut at
 characters without look-alikes, so its pieces are short and repeat.
 
 Bigram scores are counted over all texts; the TABLE most frequent are used.
@@ -33,8 +35,8 @@ from tsumugi.runtime import durable, spread
 CLASSES = (
     "AΑА BΒВ CϹС EΕЕ HΗН IΙІ JЈ KΚК MΜМ NΝ OΟО PΡР SЅ TΤТ XΧХ YΥҮ ZΖ "
     "aа cϲс eе hһ iі jј oοо pρр qԛ sѕ vν wԝ xх yу dԁ "
-    "ÄӒ ËЁ ÏЇ äӓ ëё ïї ÖӦ öӧ "
-    "タ夕 カ力 ロ口囗 ニ二 ハ八 エ工 ト卜 ヘへ ベべ ペぺ ノ丿 ム厶 ー一—―─ "
+    "QԚ WԜ gɡ lӏ "
+    "タ夕 カ力 ロ口囗 ニ二 ハ八 エ工 ト卜 ヘへ ノ丿 ム厶 ー一—―─ "
     "·‧⋅∙ :∶ /∕⁄ |∣ǀ ~〜∼"
 ).split()
 HYPHENS = "‐‑‒–−⁃﹣－"
@@ -74,9 +76,8 @@ _folding = _Folding()
 
 
 def fold(text: str) -> str:
-    """Compatibility folding of same-look forms, without ignorable characters."""
-    folded = unicodedata.normalize("NFC", unicodedata.normalize("NFD", text.translate(_folding)))
-    return folded.strip()
+    """Compatibility folding of same-look forms, decomposed and without ignorable characters."""
+    return unicodedata.normalize("NFD", text.translate(_folding)).strip()
 
 
 def script(c: str) -> str:
@@ -138,21 +139,26 @@ class Canonical:
             j = i
             while j < n and folded[j] in CLASS_OF:
                 j += 1
-            piece = (folded[i - 1] if i else "", tuple(CLASS_OF[x] for x in folded[i:j]), folded[j] if j < n else "")
+            left, right = i - 1, j
+            while left >= 0 and unicodedata.combining(folded[left]):
+                left -= 1
+            while right < n and unicodedata.combining(folded[right]):
+                right += 1
+            piece = (folded[left] if left >= 0 else "", tuple(CLASS_OF[x] for x in folded[i:j]), folded[right] if right < n else "")
             if (form := self.known.get(piece)) is None:
                 form = self.scores.best(*piece)
                 if len(self.known) < REMEMBERED:
                     self.known[piece] = form
             out.append(form)
             i = j
-        return "".join(out)
+        return unicodedata.normalize("NFC", "".join(out))
 
 
 def _bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            folded = fold(text)
+            folded = unicodedata.normalize("NFC", fold(text))
             counts.update(map("".join, zip(folded, folded[1:])))
     yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["bigram", "n"])
 
@@ -182,16 +188,32 @@ def with_forms(texts: DataFrame, column: str, scores: Scores, form: str = "form"
     return spread(texts).mapInArrow(run, schema)
 
 
-def same_look_pairs(records: DataFrame, scores: Scores) -> DataFrame:
-    """Pairs (field, id_a, id_b) of records (field, id, text) that differ in characters but look the same.
+def same_look_spellings(records: DataFrame, scores: Scores) -> tuple[DataFrame, DataFrame]:
+    """The records (field, id, text, form) whose form occurs in several spellings, and the
+    distinct pairs (field, text_a, text_b) of such spellings.
 
-    Only forms that occur in at least two spellings are joined, so copies of one spelling
-    never meet each other.
+    Rows are those of the records plus the pairs of different spellings of one form: copies of
+    a spelling are never paired. With it, classes can be had without listing pairs of records.
     """
     forms = with_forms(records.select("field", "id", "text").where(F.col("text").isNotNull()).dropDuplicates(), "text", scores)
     forms = durable(forms.where(F.col("form").isNotNull()))
-    several = forms.groupBy("field", "form").agg(F.min("text").alias("_lo"), F.max("text").alias("_hi")).where(F.col("_lo") != F.col("_hi")).select("field", "form")
-    members = forms.join(several, ["field", "form"])
-    a = members.select("field", "form", F.col("id").alias("id_a"), F.col("text").alias("text_a"))
-    b = members.select("field", "form", F.col("id").alias("id_b"), F.col("text").alias("text_b"))
-    return a.join(b, ["field", "form"]).where((F.col("id_a") < F.col("id_b")) & (F.col("text_a") != F.col("text_b"))).select("field", "id_a", "id_b")
+    spellings = forms.select("field", "form", "text").distinct()
+    several = spellings.groupBy("field", "form").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("field", "form")
+    spellings = durable(spellings.join(several, ["field", "form"]))
+    a = spellings.select("field", "form", F.col("text").alias("text_a"))
+    b = spellings.select("field", "form", F.col("text").alias("text_b"))
+    pairs = a.join(b, ["field", "form"]).where(F.col("text_a") < F.col("text_b")).select("field", "text_a", "text_b")
+    return forms.join(several, ["field", "form"]), pairs
+
+
+def same_look_pairs(records: DataFrame, scores: Scores) -> DataFrame:
+    """Pairs (field, id_a, id_b) of records (field, id, text) that differ in characters but look the same.
+
+    Spellings are paired first and then spread to their records, so copies of one spelling
+    never meet each other; the adaptive planner splits the records of a hot spelling.
+    """
+    members, pairs = same_look_spellings(records, scores)
+    a = members.select("field", F.col("id").alias("_a"), F.col("text").alias("text_a"))
+    b = members.select("field", F.col("id").alias("_b"), F.col("text").alias("text_b"))
+    both = pairs.join(a, ["field", "text_a"]).join(b, ["field", "text_b"]).where(F.col("_a") != F.col("_b"))
+    return both.select("field", F.least("_a", "_b").alias("id_a"), F.greatest("_a", "_b").alias("id_b"))
