@@ -121,6 +121,9 @@ def test_forms_do_not_depend_on_the_spelling():
         classes = [rng.randrange(len(lo.CLASSES)) for _ in range(rng.randrange(1, 9))]
         spell = lambda: "".join(rng.choice(lo.CLASSES[k]) for k in classes)
         assert canonical(spell()) == canonical(spell())
+        marks = [rng.choice(["", "", "\u3099", "\u0301\u0308"]) for _ in classes]
+        marked = lambda: "".join(rng.choice(lo.CLASSES[k]) + m for k, m in zip(classes, marks))
+        assert canonical(marked()) == canonical(marked())
 
 
 def brute_leaks(documents, items):

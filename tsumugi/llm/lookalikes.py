@@ -21,6 +21,7 @@ invisible and dropped; line breaks are visible and kept.
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -48,6 +49,9 @@ CLASS_OF = {c: i for i, members in enumerate(CLASSES) for c in members}
 MEMBERS = [tuple(members) for members in CLASSES]
 
 
+_MARKS = re.compile("[" + "".join(c for c in map(chr, range(0x10000)) if unicodedata.combining(c)) + "]+")
+
+
 class _Folding(dict):
     """str.translate table filled as characters occur."""
 
@@ -128,6 +132,19 @@ class Canonical:
     def __call__(self, text: str | None) -> str | None:
         if text is None or not (folded := fold(text)):
             return None
+        if not _MARKS.search(folded):
+            return unicodedata.normalize("NFC", self._best(folded))
+        # Marks stand between the characters of a lattice without cutting it.
+        letters = self._best(_MARKS.sub("", folded))
+        out, at, before = [], 0, 0
+        for m in _MARKS.finditer(folded):
+            out += [letters[at : m.start() - before], m[0]]
+            at = m.start() - before
+            before += len(m[0])
+        return unicodedata.normalize("NFC", "".join(out) + letters[at:])
+
+    def _best(self, folded: str) -> str:
+        """The best path through a text without marks."""
         out: list[str] = []
         i, n = 0, len(folded)
         while i < n:
@@ -139,19 +156,14 @@ class Canonical:
             j = i
             while j < n and folded[j] in CLASS_OF:
                 j += 1
-            left, right = i - 1, j
-            while left >= 0 and unicodedata.combining(folded[left]):
-                left -= 1
-            while right < n and unicodedata.combining(folded[right]):
-                right += 1
-            piece = (folded[left] if left >= 0 else "", tuple(CLASS_OF[x] for x in folded[i:j]), folded[right] if right < n else "")
+            piece = (folded[i - 1] if i else "", tuple(CLASS_OF[x] for x in folded[i:j]), folded[j] if j < n else "")
             if (form := self.known.get(piece)) is None:
                 form = self.scores.best(*piece)
                 if len(self.known) < REMEMBERED:
                     self.known[piece] = form
             out.append(form)
             i = j
-        return unicodedata.normalize("NFC", "".join(out))
+        return "".join(out)
 
 
 def _bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,13 +209,13 @@ def same_look_spellings(records: DataFrame, scores: Scores) -> tuple[DataFrame,
     """
     forms = with_forms(records.select("field", "id", "text").where(F.col("text").isNotNull()).dropDuplicates(), "text", scores)
     forms = durable(forms.where(F.col("form").isNotNull()))
-    spellings = forms.select("field", "form", "text").distinct()
-    several = spellings.groupBy("field", "form").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("field", "form")
-    spellings = durable(spellings.join(several, ["field", "form"]))
+    several = forms.groupBy("field", "form").agg(F.min("text").alias("_lo"), F.max("text").alias("_hi")).where(F.col("_lo") != F.col("_hi")).select("field", "form")
+    members = durable(forms.join(several, ["field", "form"]))
+    spellings = members.select("field", "form", "text").distinct()
     a = spellings.select("field", "form", F.col("text").alias("text_a"))
     b = spellings.select("field", "form", F.col("text").alias("text_b"))
     pairs = a.join(b, ["field", "form"]).where(F.col("text_a") < F.col("text_b")).select("field", "text_a", "text_b")
-    return forms.join(several, ["field", "form"]), pairs
+    return members, pairs
 
 
 def same_look_pairs(records: DataFrame, scores: Scores) -> DataFrame:
