@@ -26,6 +26,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +48,8 @@ REMEMBERED = 200_000
 
 CLASS_OF = {c: i for i, members in enumerate(CLASSES) for c in members}
 MEMBERS = [tuple(members) for members in CLASSES]
+_FIRSTS = {ord(c): members[0] for members in CLASSES for c in members}
+_RUNS = re.compile("[" + re.escape("".join(members[0] for members in CLASSES)) + "]+")
 
 
 _MARKS = re.compile("[" + "".join(c for c in map(chr, range(0x10000)) if unicodedata.combining(c)) + "]+")
@@ -145,34 +148,29 @@ class Canonical:
 
     def _best(self, folded: str) -> str:
         """The best path through a text without marks."""
-        out: list[str] = []
-        i, n = 0, len(folded)
-        while i < n:
-            c = folded[i]
-            if c not in CLASS_OF:
-                out.append(c)
-                i += 1
-                continue
-            j = i
-            while j < n and folded[j] in CLASS_OF:
-                j += 1
-            piece = (folded[i - 1] if i else "", tuple(CLASS_OF[x] for x in folded[i:j]), folded[j] if j < n else "")
-            if (form := self.known.get(piece)) is None:
-                form = self.scores.best(*piece)
-                if len(self.known) < REMEMBERED:
-                    self.known[piece] = form
-            out.append(form)
-            i = j
-        return "".join(out)
+        firsts = folded.translate(_FIRSTS)
+        known = self.known
+
+        def form(m: re.Match) -> str:
+            piece = (firsts[m.start() - 1 : m.start()], m[0], firsts[m.end() : m.end() + 1])
+            if (found := known.get(piece)) is None:
+                found = self.scores.best(piece[0], tuple(CLASS_OF[x] for x in piece[1]), piece[2])
+                if len(known) < REMEMBERED:
+                    known[piece] = found
+            return found
+
+        return _RUNS.sub(form, firsts)
 
 
 def _bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            folded = unicodedata.normalize("NFC", fold(text))
-            counts.update(map("".join, zip(folded, folded[1:])))
-    yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["bigram", "n"])
+        texts = unicodedata.normalize("NFC", fold("\n\0\n".join(batch.column(0).to_pylist())))
+        points = np.frombuffer(texts.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        pairs, n = np.unique(points[:-1] << np.uint64(21) | points[1:], return_counts=True)
+        counts.update(dict(zip(pairs.tolist(), n.tolist())))
+    split = {chr(p >> 21) + chr(p & 0x1FFFFF): n for p, n in counts.items() if p >> 21 and p & 0x1FFFFF}
+    yield pa.RecordBatch.from_arrays([pa.array(list(split), pa.string()), pa.array(list(split.values()), pa.int64())], names=["bigram", "n"])
 
 
 def learn_scores(texts: DataFrame, column: str) -> Scores:
