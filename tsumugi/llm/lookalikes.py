@@ -87,6 +87,12 @@ def fold(text: str) -> str:
     return unicodedata.normalize("NFD", text.translate(_folding)).strip()
 
 
+def fold_all(texts: list[str]) -> list[str]:
+    """``fold`` of many texts in one pass."""
+    parts = unicodedata.normalize("NFD", "\0".join(texts).translate(_folding)).split("\0")
+    return [p.strip() for p in parts] if len(parts) == len(texts) else [fold(t) for t in texts]
+
+
 def script(c: str) -> str:
     o = ord(c)
     if o < 0x80:
@@ -133,7 +139,10 @@ class Canonical:
         self.known: dict[tuple, str] = {}
 
     def __call__(self, text: str | None) -> str | None:
-        if text is None or not (folded := fold(text)):
+        return None if text is None else self.of_folded(fold(text))
+
+    def of_folded(self, folded: str) -> str | None:
+        if not folded:
             return None
         if not _MARKS.search(folded):
             return unicodedata.normalize("NFC", self._best(folded))
@@ -191,7 +200,7 @@ def with_forms(texts: DataFrame, column: str, scores: Scores, form: str = "form"
         canonical = Canonical(shared.value)
         for batch in batches:
             encoded = batch.column(at).dictionary_encode()
-            forms = pa.array([canonical(t) for t in encoded.dictionary.to_pylist()], pa.string())
+            forms = pa.array([canonical.of_folded(t) for t in fold_all(encoded.dictionary.to_pylist())], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, forms.take(encoded.indices)], names=names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields) + f", `{form}` string"
