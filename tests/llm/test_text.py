@@ -48,6 +48,12 @@ def test_line_breaks_by_language(model):
     assert cut("今日は晴れ\n明日は雨", model) == ["今日は晴れ", "明日は雨"]
     assert cut("one\ntwo\n\nthree", model) == ["one\ntwo", "three"]
     assert cut("ไปตลาด กินข้าว", model) == ["ไปตลาด", "กินข้าว"]
+    assert cut("URL は example.org/docs/index.html\n最後の行", model) == ["URL は example.org/docs/index.html", "最後の行"]
+    assert cut("see the word 辞書\nfor more", model) == ["see the word 辞書\nfor more"]
+    long = "ก" * 200
+    assert cut(f"{long} x{long} yes", model) == [long, "x" + long, "yes"]
+    assert cut("「" + "長い引用です。" * 60, model) == ["「" + "長い引用です。" * 60]
+    assert cut("「開いた引用\n\n" + "次の文です。" * 3, model) == ["「開いた引用", *["次の文です。"] * 3]
     assert cut("", model) == [] and cut(" \n　", model) == [] and cut("終わり", model) == ["終わり"]
 
 
@@ -79,6 +85,18 @@ def test_streams_in_pieces(spark, model):
     assert got == {i: se.split(t, model) for i, t in texts.items() if t}
 
 
+def test_a_stream_of_many_blocks_is_numbered_through(spark, model, monkeypatch):
+    monkeypatch.setattr(se, "BLOCK", 4)
+    rng = random.Random(4)
+    text = "\n\n".join(" ".join(rng.sample(SPACED["en"], 3)) for _ in range(12))
+    pieces = [text[i : i + 37] for i in range(0, len(text), 37)]
+    reads = spark.createDataFrame([(1, n, p, f"2030-01-01 00:00:{n % 60:02d}") for n, p in enumerate(pieces)], "stream_id long, read_no int, text string, received_at string")
+    parts = se.stream_paragraphs(reads).select(F.lit("s").alias("src"), "rec_id", "shift", "text")
+    spans = se.number_sentences(se.split_texts(parts, model).drop("shift"), width=50)
+    got = sorted((r.sent_no, r.start_pos, r.end_pos) for r in spans.collect())
+    assert got == [(n, a, b) for n, (a, b) in enumerate(se.split(text, model), 1)]
+
+
 def test_one_form_for_the_same_look(spark):
     same = ["パネル", "ﾊﾟﾈﾙ", "パネル", "パ​ネル", "パネル﻿", "­パネル "]
     same2 = ["Corpus No-5", "Ｃｏｒｐｕｓ　Ｎｏ－５", "Cоrpus No‑5", "Сorpus Nο‐5"]

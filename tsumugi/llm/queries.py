@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tsumugi.llm import languages, leaks, lookalikes, packing, sentences
@@ -82,9 +82,8 @@ def p1_found(spark: SparkSession, base: str) -> DataFrame:
     requests = requests.where(F.col("text").isNotNull()).dropDuplicates()
     model = sentences.train(table(spark, base, "parse_requests").select(F.col("request_id").alias("rec_id"), "text"))
     streams = sentences.stream_paragraphs(table(spark, base, "sentence_reads")).select(F.lit("sentence_reads").alias("src"), "rec_id", "shift", "text")
-    in_streams = sentences.split_texts(streams, model)
-    numbered = in_streams.withColumn("sent_no", F.row_number().over(Window.partitionBy("rec_id").orderBy("start_pos")))
-    return sentences.split_texts(requests, model).unionByName(numbered).drop("shift")
+    in_streams = sentences.number_sentences(sentences.split_texts(streams, model).drop("shift"))
+    return sentences.split_texts(requests, model).drop("shift").unionByName(in_streams)
 
 
 def _looks(spark: SparkSession, base: str) -> DataFrame:

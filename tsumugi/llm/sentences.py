@@ -31,15 +31,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tsumugi.llm.boundary_seed import JOINED, SPACED
-from tsumugi.runtime import spread
+from tsumugi.runtime import durable, spread
 
 SAMPLE = 4_000  # texts whose own reliable boundaries join the training set
 FEATURES = 1 << 15
+LONGEST = 20_000  # characters of a sampled text; of a longer one a stretch chosen by hash
+NEAR = 40  # characters to the left in which the neighbouring tokens are looked for
 EPOCHS = 40
 
 # Closing punctuation, quotes and brackets by role.
 STOPS = ".!?。！？．।॥…‥؟۔｡"
-ALWAYS = "。！？।॥｡"
 OPENERS = {"「": "」", "『": "』", "（": "）", "(": ")", "[": "]", "【": "】", "〔": "〕", "《": "》", "〈": "〉", "«": "»", "“": "”", "„": "“", "｢": "｣", "［": "］"}
 CLOSERS = set(OPENERS.values()) | {'"', "”", "’", "'"}
 VOWELS = frozenset("aeiouyäöüáéíóúàèìòùâêîôû")
@@ -53,6 +54,7 @@ CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿ｦ-ﾟ々〆〇]")
 THAI = re.compile(r"[฀-๿]")
 BREAK = re.compile(r"\n[^\S\n]*(?:\n\s*)+|\r\n[^\S\n]*(?:\r?\n\s*)+")
 STOP_RUN = re.compile(f"[{re.escape(STOPS)}](?:[^\\S\\n]?[!?！？][^\\S\\n]?|[{re.escape(STOPS)}])*")
+LAST_STOP = re.compile(r"[。！？．｡]|[.!?](?=\s)")
 WORD = re.compile(r"[\w'’\-]+(?:\.[\w'’\-]+)*\Z")
 TOKEN = re.compile(r"[^\W_]+")
 
@@ -95,11 +97,20 @@ def _enclosures(text: str) -> list[tuple[int, int]]:
             pairs.append((stack.pop()[1], i))
         elif c in OPENERS:
             stack.append((OPENERS[c], i))
-    # An opening that is never closed holds the rest only near the end, where the text was cut off.
-    pairs.extend((i, len(text)) for _, i in stack if len(text) - i < 160)
+    # An opening that is never closed holds the rest only in the last paragraph, where the text was cut off.
+    last = max((m.end() for m in BREAK.finditer(text)), default=0) if stack else 0
+    pairs.extend((i, len(text)) for _, i in stack if i >= last)
     return sorted(pairs)
 
 
+def _breaks_lines(line: str, text_is_cjk: bool) -> bool:
+    """Whether a line break behind ``line`` ends a sentence: if the line's last sentence is
+    Japanese or Chinese, by its letters against words in other scripts."""
+    rest = LAST_STOP.split(line)[-1]
+    letters = len(CJK.findall(rest))
+    return letters > 0 and (text_is_cjk or letters > len(CJK.sub(" ", rest).split()))
+
+
 def _goes_on(text: str, at: int, opened: dict[int, int]) -> bool:
     """Whether the sentence goes on at position ``at``, right behind a closing quote or bracket."""
     n = len(text)
@@ -135,17 +146,16 @@ def candidates(text: str) -> tuple[list[int], list[tuple[int, int]]]:
     hard = {len(text)}
     for m in BREAK.finditer(text):
         hard.add(m.start())
-    for m in re.finditer("\n", text):
-        i = m.start()
-        before = text[max(0, i - 24) : i].rstrip()[-12:]
-        if CJK.search(before):
-            hard.add(i)
-    if THAI.search(text):
-        for m in re.finditer(r"\s+", text):
-            left = re.search(r"\S*\Z", text[max(0, m.start() - 80) : m.start()])[0]
-            right = re.match(r"\S*", text[m.end() : m.end() + 80])[0]
-            if THAI.search(left) or THAI.search(right):
+    if "\n" in text and CJK.search(text):
+        cjk = len(CJK.findall(text)) > len(CJK.sub(" ", text).split())
+        at = 0
+        for m in re.finditer("\n", text):
+            if _breaks_lines(text[at : m.start()], cjk):
                 hard.add(m.start())
+            at = m.end()
+    if THAI.search(text):
+        words = [(m.start(), m.end(), bool(THAI.search(m[0]))) for m in re.finditer(r"\S+", text)]
+        hard.update(end for (_, end, thai), (_, _, follows) in zip(words, words[1:]) if thai or follows)
     pairs = _enclosures(text)
     opened = dict(pairs)
     closed = {j for _, j in pairs}
@@ -182,7 +192,7 @@ def features(text: str, start: int, end: int, begun: int, follow: int | None = N
     """Features of a candidate; ``begun`` is where its sentence began, ``follow`` where the next text begins."""
     mark = text[start:end]
     stop = "..." if "..." in mark or "…" in mark or "‥" in mark else "!?" if any(c in "!?！？" for c in mark) else mark[0]
-    left = text[max(begun, start - 40) : start].rstrip() if stop == "!?" else text[max(begun, start - 40) : start]
+    left = text[max(begun, start - NEAR) : start].rstrip() if stop == "!?" else text[max(begun, start - NEAR) : start]
     m = WORD.search(left)
     word = m[0] if m else ""
     earlier = TOKEN.findall(left[: m.start()] if m else left)
@@ -302,7 +312,8 @@ def train(texts: DataFrame | None = None, key: str = "rec_id", column: str = "te
     """The boundary model, from the seed and from ``sample`` texts chosen by hash."""
     own: list[str] = []
     if texts is not None:
-        chosen = texts.select(column, F.xxhash64(F.col(key)).alias("_h")).where(F.col(column).contains("\n\n") & (F.length(column) < 20_000)).orderBy("_h", column).limit(sample)
+        at = F.pmod(F.xxhash64(F.col(key), F.lit("stretch")), F.greatest(F.lit(1), F.length(column) - (LONGEST - 1))).cast("int") + 1
+        chosen = texts.where(F.col(column).contains("\n\n")).select(F.substring(column, at, F.lit(LONGEST)).alias(column), F.xxhash64(F.col(key)).alias("_h")).orderBy("_h", column).limit(sample)
         own = [r[0] for r in chosen.collect()]
     return fit(seed_examples() + own_examples(own))
 
@@ -316,8 +327,7 @@ def split(text: str, model: Model) -> list[tuple[int, int]]:
         while h < len(hard) and hard[h] < start:
             begun = max(begun, hard[h])
             h += 1
-        mark = text[start:end]
-        if mark[0] in ALWAYS or model.score(features(text, start, end, begun)) > 0:
+        if model.score(features(text, start, end, begun)) > 0:
             ends.append(end)
             begun = end
     spans = []
@@ -351,22 +361,44 @@ def split_texts(texts: DataFrame, model: Model) -> DataFrame:
     return spread(texts).mapInArrow(run, SPANS)
 
 
+BLOCK = 1024  # pieces of a stream whose running sums are formed in one task
+
+
 def stream_paragraphs(reads: DataFrame) -> DataFrame:
     """Texts of streams (stream_id, read_no, text, received_at), one row per stretch between empty lines.
 
     An empty line ends every sentence, so a stream is put together only from one piece that
-    holds an empty line to the next: a stream of any length stays distributed. Offsets of
-    the stretches come from running sums that spill.
+    holds an empty line to the next. Offsets of the stretches are running sums within blocks of
+    BLOCK pieces plus the sums of the blocks before, so a stream of any length stays distributed.
     """
-    last = reads.groupBy("stream_id", "read_no").agg(F.max(F.struct("received_at", "text")).alias("r")).select("stream_id", "read_no", F.coalesce("r.text", F.lit("")).alias("text"))
+    block = (F.col("read_no") / BLOCK).cast("long")
+    placed = reads.select("stream_id", "read_no", "text", "received_at", block.alias("_block")).repartition("stream_id", "_block")
+    last = placed.groupBy("stream_id", "_block", "read_no").agg(F.max(F.struct("received_at", "text")).alias("r")).select("stream_id", "_block", "read_no", F.coalesce("r.text", F.lit("")).alias("text"))
     head = F.regexp_extract("text", r"(?s)^(.*\n[^\S\n]*\n\s*)(.*)$", 1)
-    parts = last.select("stream_id", "read_no", F.explode(F.array(F.struct(F.lit(0).alias("part"), head.alias("text")), F.struct(F.lit(1).alias("part"), F.substring("text", F.length(head) + 1, F.length("text")).alias("text")))).alias("p"), (F.length(head) > 0).alias("cut"))
-    parts = parts.select("stream_id", "read_no", "p.part", "p.text", "cut").where((F.col("part") == 1) | F.col("cut"))
-    order = Window.partitionBy("stream_id").orderBy("read_no", "part").rowsBetween(Window.unboundedPreceding, 0)
-    placed = parts.select(
-        "stream_id", "read_no", "part", "text",
-        F.sum(F.when(F.col("cut") & (F.col("part") == 1), 1).otherwise(0)).over(order).alias("stretch"),
-        (F.sum(F.length("text")).over(order) - F.length("text")).alias("shift"),
-    )
-    pieces = placed.groupBy("stream_id", "stretch").agg(F.min("shift").alias("shift"), F.array_sort(F.collect_list(F.struct("read_no", "part", "text"))).alias("pieces"))
+    parts = last.select("stream_id", "_block", "read_no", F.explode(F.array(F.struct(F.lit(0).alias("part"), head.alias("text")), F.struct(F.lit(1).alias("part"), F.substring("text", F.length(head) + 1, F.length("text")).alias("text")))).alias("p"), (F.length(head) > 0).alias("cut"))
+    parts = parts.select("stream_id", "_block", "read_no", "p.part", "p.text", "cut").where((F.col("part") == 1) | F.col("cut"))
+    opens = F.when(F.col("cut") & (F.col("part") == 1), 1).otherwise(0)
+    order = Window.partitionBy("stream_id", "_block").orderBy("read_no", "part").rowsBetween(Window.unboundedPreceding, 0)
+    within = parts.select("stream_id", "_block", "read_no", "part", "text", F.sum(opens).over(order).alias("stretch"), (F.sum(F.length("text")).over(order) - F.length("text")).alias("shift"))
+    blocks = parts.groupBy("stream_id", "_block").agg(F.sum(opens).alias("_opened"), F.sum(F.length("text")).alias("_length"))
+    before = Window.partitionBy("stream_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
+    offsets = blocks.select("stream_id", "_block", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("_opened", "_length")])
+    joined = within.join(offsets, ["stream_id", "_block"]).select("stream_id", "read_no", "part", "text", (F.col("stretch") + F.col("_opened")).alias("stretch"), (F.col("shift") + F.col("_length")).alias("shift"))
+    pieces = joined.groupBy("stream_id", "stretch").agg(F.min("shift").alias("shift"), F.array_sort(F.collect_list(F.struct("read_no", "part", "text"))).alias("pieces"))
     return pieces.select(F.col("stream_id").alias("rec_id"), F.col("shift").cast("long").alias("shift"), F.array_join(F.col("pieces.text"), "").alias("text"))
+
+
+def number_sentences(spans: DataFrame, width: int = 65_536) -> DataFrame:
+    """Spans with sent_no counted through each (src, rec_id) in order of start_pos.
+
+    Numbers are places within a stretch of ``width`` characters plus the sentences of the
+    stretches before, so the sentences of one record need not meet in a task. The spans are
+    written once.
+    """
+    spans = durable(spans.withColumn("_at", (F.col("start_pos") / width).cast("long")))
+    key = ["src", "rec_id", "_at"]
+    counts = spans.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("src", "rec_id").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)  # one row per stretch
+    offsets = counts.select(*key, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("start_pos"))
+    return spans.withColumn("sent_no", place).join(offsets, key).withColumn("sent_no", (F.col("sent_no") + F.col("_before")).cast("int")).drop("_at", "_before")
