@@ -38,6 +38,7 @@ FEATURES = 1 << 15
 LONGEST = 20_000  # characters of a sampled text; of a longer one a stretch chosen by hash
 NEAR = 40  # characters to the left in which the neighbouring tokens are looked for
 EPOCHS = 40
+REMEMBERED = 100_000  # feature slots and contexts that a task keeps
 
 # Closing punctuation, quotes and brackets by role.
 STOPS = ".!?。！？．।॥…‥؟۔｡"
@@ -55,7 +56,7 @@ THAI = re.compile(r"[฀-๿]")
 BREAK = re.compile(r"\n[^\S\n]*(?:\n\s*)+|\r\n[^\S\n]*(?:\r?\n\s*)+")
 STOP_RUN = re.compile(f"[{re.escape(STOPS)}](?:[^\\S\\n]?[!?！？][^\\S\\n]?|[{re.escape(STOPS)}])*")
 LAST_STOP = re.compile(r"[。！？．｡]|[.!?](?=\s)")
-WORD = re.compile(r"[\w'’\-]+(?:\.[\w'’\-]+)*\Z")
+WORD = re.compile(r"[\w'’\-]+(?:\.[\w'’\-]+)*")  # matched backwards
 TOKEN = re.compile(r"[^\W_]+")
 
 
@@ -188,16 +189,15 @@ def candidates(text: str) -> tuple[list[int], list[tuple[int, int]]]:
     return sorted(hard), soft
 
 
-def features(text: str, start: int, end: int, begun: int, follow: int | None = None) -> list[str]:
-    """Features of a candidate; ``begun`` is where its sentence began, ``follow`` where the next text begins."""
+def context(text: str, start: int, end: int, begun: int, follow: int | None = None) -> tuple:
+    """What the features of a candidate depend on; ``begun`` is where its sentence began, ``follow`` where the next text begins."""
     mark = text[start:end]
     stop = "..." if "..." in mark or "…" in mark or "‥" in mark else "!?" if any(c in "!?！？" for c in mark) else mark[0]
-    left = text[max(begun, start - NEAR) : start].rstrip() if stop == "!?" else text[max(begun, start - NEAR) : start]
-    m = WORD.search(left)
-    word = m[0] if m else ""
-    earlier = TOKEN.findall(left[: m.start()] if m else left)
-    before = earlier[-1].lower() if earlier else "^"
-    low = word.lower()
+    left = text[max(begun, start - NEAR) : start]
+    if stop == "!?":
+        left = left.rstrip()
+    m = WORD.match(left[::-1])
+    word = m[0][::-1] if m else ""
     shape = "none" if not word else "num" if word[0].isdigit() else "initial" if len(word) == 1 and word.isupper() else "dotted" if "." in word else "cap" if word[0].isupper() else "low"
     script = _kind(word[-1]) if word else "-"
     j = end if follow is None else follow
@@ -209,22 +209,37 @@ def features(text: str, start: int, end: int, begun: int, follow: int | None = N
         quoted = "o"
         j += 1
     after = _kind(text[j]) if j < len(text) else "E"
-    m = TOKEN.match(text, j)
-    after_word = m[0].lower() if m else ""
-    short = str(min(len(word), 5))
-    closer = "q" if mark[-1] in CLOSERS else ""
-    few = "few" if len(earlier) + bool(word) <= 2 and len(text[begun:start].split()) <= 2 else "many"
+    basic = (stop, "q" if mark[-1] in CLOSERS else "", shape, script, gap, quoted, after)
+    if stop == ".":
+        before = month = ""
+        if shape == "num":
+            earlier = TOKEN.findall(left[: len(left) - len(word)])
+            before = earlier[-1].lower() if earlier else "^"
+            following = TOKEN.match(text, j)
+            month = str(bool(following) and following[0].lower() in MONTHS)
+        return (*basic, word.lower(), len(word), before, month, bool(start) and text[start - 1] in CLOSERS)
+    if stop == "...":
+        earlier = TOKEN.findall(left[: len(left) - len(word)])
+        return (*basic, "few" if len(earlier) + bool(word) <= 2 and len(text[begun:start].split()) <= 2 else "many")
+    return basic
+
+
+def features(known: tuple) -> list[str]:
+    """Names of the features of a candidate's context."""
+    stop, closer, shape, script, gap, quoted, after = known[:7]
     f = [f"s={stop}{closer}", f"s={stop}{gap}", f"s={stop}|n={quoted}{after}{gap}", f"s={stop}|sh={shape}|n={after}", f"s={stop}|sc={script}|n={after}{gap}"]
     if stop == ".":
-        f += [f"shut={text[start - 1] in CLOSERS if start else False}|n={after}", f"w={low}", f"w={low}|n={after}", f"len={short}|{shape}|n={after}", f"sh={shape}|n={after}{gap}", f"script={script}"]
+        low, length, before, month, shut = known[7:]
+        short = str(min(length, 5))
+        f += [f"shut={shut}|n={after}", f"w={low}", f"w={low}|n={after}", f"len={short}|{shape}|n={after}", f"sh={shape}|n={after}{gap}", f"script={script}"]
         vowels = "e" if low[-1:] in VOWELS and low else "v" if any(c in VOWELS for c in low) else "-"
         f += [f"vowel={vowels}|{shape}|n={after}", f"vowel={vowels}|len={short}|{shape}"]
         if shape == "num":
-            f += [f"num{min(len(word), 3)}|n={after}", f"num|b={before}", f"num|month={after_word in MONTHS}"]
+            f += [f"num{min(length, 3)}|n={after}", f"num|b={before}", f"num|month={month}"]
         if shape == "initial":
             f.append(f"initial|n={after}")
     if stop == "...":
-        f += [f"dots|{few}", f"dots|{few}|n={after}", f"dots|gap={gap}"]
+        f += [f"dots|{known[7]}", f"dots|{known[7]}|n={after}", f"dots|gap={gap}"]
     return f
 
 
@@ -234,6 +249,7 @@ class Model:
     def __init__(self, weights: np.ndarray):
         self.weights = weights
         self.known: dict[str, int] = {}
+        self.scores: dict[tuple, float] = {}
 
     def slots(self, names: list[str]) -> list[int]:
         out = []
@@ -241,17 +257,23 @@ class Model:
             slot = self.known.get(name)
             if slot is None:
                 slot = zlib.crc32(name.encode()) % FEATURES
-                if len(self.known) < 100_000:
+                if len(self.known) < REMEMBERED:
                     self.known[name] = slot
             out.append(slot)
         return out
 
-    def score(self, names: list[str]) -> float:
-        w = self.weights
-        return float(sum(w[i] for i in self.slots(names)))
+    def score(self, known: tuple) -> float:
+        """Log-odds that a candidate in this context ends a sentence; contexts recur."""
+        score = self.scores.get(known)
+        if score is None:
+            w = self.weights
+            score = float(sum(w[i] for i in self.slots(features(known))))
+            if len(self.scores) < REMEMBERED:
+                self.scores[known] = score
+        return score
 
     def __getstate__(self) -> dict:
-        return {"weights": self.weights, "known": {}}
+        return {"weights": self.weights, "known": {}, "scores": {}}
 
 
 def fit(examples: list[tuple[list[str], int, float]], epochs: int = EPOCHS) -> Model:
@@ -286,7 +308,7 @@ def seed_examples() -> list[tuple[list[str], int, float]]:
                     text = sentence + joined + other
                     for start, end in candidates(text)[1]:
                         if end <= len(sentence):
-                            examples.append((features(text, start, end, 0), int(end == len(sentence)), 1.0))
+                            examples.append((features(context(text, start, end, 0)), int(end == len(sentence)), 1.0))
     return examples
 
 
@@ -301,10 +323,10 @@ def own_examples(texts: list[str]) -> list[tuple[list[str], int, float]]:
             nxt = end + len(rest)
             if "\n" in rest and re.search(r"\n\s*\n", rest) and nxt < len(text):
                 if text[start:end] != "..." and "…" not in text[start:end]:
-                    examples.append((features(text, start, end, begun, follow=nxt), 1, 0.2))
+                    examples.append((features(context(text, start, end, begun, follow=nxt)), 1, 0.2))
                 begun = nxt
             elif nxt < len(text) and text[nxt].islower() and rest and start and _kind(text[start - 1]) in "Ul":
-                examples.append((features(text, start, end, begun), 0, 0.2))
+                examples.append((features(context(text, start, end, begun)), 0, 0.2))
     return examples
 
 
@@ -327,7 +349,7 @@ def split(text: str, model: Model) -> list[tuple[int, int]]:
         while h < len(hard) and hard[h] < start:
             begun = max(begun, hard[h])
             h += 1
-        if model.score(features(text, start, end, begun)) > 0:
+        if model.score(context(text, start, end, begun)) > 0:
             ends.append(end)
             begun = end
     spans = []
