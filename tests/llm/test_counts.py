@@ -56,6 +56,23 @@ def test_counts_against_a_counter(spark, monkeypatch):
     assert bc.count_terms(df.limit(0), "word_ids", 0, 10).count() == 0
 
 
+def test_text_terms_against_a_counter(spark, monkeypatch):
+    monkeypatch.setattr(bc, "LEAF", 8)
+    monkeypatch.setattr(bc, "HELD", 100)
+    rng = random.Random(5)
+    pool = ["", "a", "ab", "日本", "日本語", "http://www.example.org/", *[f"http://www.example.org/{i}" for i in range(300)], *[chr(0x3041 + i) * rng.randrange(1, 9) for i in range(60)]]
+    lists = [([rng.choice([*pool, None]) for _ in range(rng.randrange(30))],) for _ in range(400)] + [(None,), ([],), (["hot"] * 1000,)]
+    df = spark.createDataFrame(lists, "words array<string>").repartition(5)
+    occurrences, records = Counter(), Counter()
+    for (words,) in lists:
+        good = [w for w in words or [] if w is not None]
+        occurrences.update(good)
+        records.update(set(good))
+    rows = bc.count_texts(df, "words").collect()
+    assert {r.term: r.occurrences for r in rows} == occurrences and {r.term: r.records for r in rows} == records
+    assert len(rows) == len(occurrences) and bc.count_texts(df.limit(0), "words").count() == 0
+
+
 def test_trie_bursts_and_merges():
     rng = np.random.default_rng(0)
     trie, want = bc.BurstTrie(), Counter()
