@@ -1,14 +1,16 @@
 """Lattices and paths against brute force over all segmentations."""
 
 import random
+from dataclasses import replace
 
+import pytest
 from pyspark.sql import functions as F
 
 from tsumugi.operators import exports as ex
 from tsumugi.operators import lattice as la
 from tsumugi.operators import paths as pa
 from tsumugi.operators import viterbi as vi
-from tsumugi.operators.lexicon import NO_CONNECTION, UNKNOWN_COST, category, category_sql, example_lexicon
+from tsumugi.operators.lexicon import NO_CONNECTION, UNKNOWN, UNKNOWN_COST, category, category_sql, example_lexicon
 
 
 def lexicon(spark, seed=1):
@@ -64,6 +66,41 @@ def test_best_and_k_best_paths(spark):
                 assert "".join(path) == text and (cost, path) in brute(text, words, cells)
 
 
+def test_the_two_solvers_agree_on_ties_and_templates(spark):
+    rng = random.Random(9)
+    words = [(w, rng.randrange(3), rng.randrange(3), rng.randrange(3)) for w in ("a", "ab", "b", "ba", "bab", "東", "東京", "ab", "あい")]
+    lex = example_lexicon(spark, words, [(r, c, rng.randrange(2)) for r in range(3) for c in range(3)])
+    unknown = spark.createDataFrame([("ALPHA", 0, 1, 2, 7, 2, "x"), ("ALPHA", 1, 0, 1, 8, 1, "y"), ("HIRAGANA", 0, 2, 2, 9, 3, "z"), ("KANJI", 0, 1, 1, 6, 4, "k")], UNKNOWN)
+    characters = spark.createDataFrame([(ord(c), k, g) for c, k, g in [("z", "ALPHA", True), ("A", "ALPHA", True), ("あ", "HIRAGANA", True), ("い", "HIRAGANA", True), ("ー", "HIRAGANA", True), ("漢", "KANJI", False), ("京", "KANJI", False), ("q", "GREEK", True), (" ", "SPACE", False)]], "codepoint int, category string, `group` boolean")
+    lex = replace(lex, unknown=unknown, characters=characters)
+    texts = ["".join(rng.choice("abzqあいー東京漢 é😀") for _ in range(rng.randrange(1, 14))) for _ in range(120)] + ["z" * 300, "あ" * 50 + "ー" * 50]
+    df = spark.createDataFrame(list(enumerate(texts)), "text_id long, text string")
+    for k, compat in ((1, False), (1, True), (3, False)):
+        rows = [sorted(map(tuple, vi.tokenize(df, lex, k, compat, most).collect()), key=repr) for most in (2_000_000, 1)]
+        if k == 1:
+            assert rows[0] == rows[1]
+        else:  # of equally dear paths either may come first
+            assert [sorted({(r[0], r[1], r[2]) for r in x}) for x in rows][0] == sorted({(r[0], r[1], r[2]) for r in rows[1]})
+    spans = {(r.text_id, r.start_pos, r.end_pos, r.category) for r in la.lattice_nodes(df, lex).join(la.positions(df, lex), ["text_id", "start_pos"]).where("is_unknown").collect()}
+    assert any(b - a > 1 and c == "HIRAGANA" for _, a, b, c in spans) and not any(b - a > 1 and c in ("KANJI", "DEFAULT", "GREEK") for _, a, b, c in spans)
+
+
+def test_a_matrix_too_large_is_refused(spark, monkeypatch):
+    _, lex, cells = lexicon(spark)
+    m = vi.Matrix.of(lex.connections)
+    assert all(m.cost(r, c) == x for (r, c), x in cells.items()) and m.cost(9, 0) == m.cost(0, 9) == NO_CONNECTION
+    monkeypatch.setattr(vi, "MOST_CELLS", 3)
+    with pytest.raises(ValueError):
+        vi.Matrix.of(lex.connections)
+
+
+def test_long_runs_are_linear(spark):
+    _, lex, _ = lexicon(spark)
+    df = spark.createDataFrame([(1, "x" * 30_000), (2, "x" * 30_000 + "ab")], "text_id long, text string")
+    assert [r.surface for r in vi.tokenize(df, lex).where("text_id = 1").collect()] == ["x" * 30_000]
+    assert vi.tokenize(df, lex, k=3).where("text_id = 2 and token_ix = 0").count() == 3
+
+
 def test_textbook_and_compatible_ends(spark):
     lex = example_lexicon(spark, [("ab", 1, 1, 10), ("c", 1, 1, 10)], [(0, 1, 0), (1, 1, 0), (1, 0, 5)])
     df = spark.createDataFrame([(1, "abc")], "text_id long, text string")

@@ -7,7 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tsumugi.operators.lexicon import Lexicon
 from tsumugi.operators.nested import flatten_entities
+from tsumugi.operators.viterbi import tokenize
 from tsumugi.plans.streams import drain
 from tsumugi.sources import binary as bi
 from tsumugi.sources import files as fi
@@ -41,6 +43,40 @@ def test_matrix_and_characters(spark, tmp_path):
     assert (r.category, r.length, r.group, r.invoke) == ("HIRAGANA", 2, True, True)
 
 
+def test_a_dictionary_folder(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        Lexicon.load(spark, str(tmp_path))
+    (tmp_path / "sys.dic").write_bytes(bi.encode_dictionary(WORDS))
+    (tmp_path / "unk.dic").write_bytes(bi.encode_dictionary([("HIRAGANA", 1, 1, 9, 5, "名詞,未知"), ("HIRAGANA", 2, 2, 9, 9, "名詞,未知二"), ("KANJI", 1, 1, 9, 7, "名詞,漢")], 2))
+    (tmp_path / "matrix.bin").write_bytes(struct.pack("<HH36h", 6, 6, *range(36)))
+    table = np.zeros(bi.TABLE_SIZE, "<u4")
+    for c in "あいー":
+        table[ord(c)] = 1 << 18 | 1 << 30
+    table[ord("漢")] = 2 << 18
+    (tmp_path / "char.bin").write_bytes(struct.pack("<I", 3) + b"".join(n.ljust(32, b"\0") for n in (b"DEFAULT", b"HIRAGANA", b"KANJI")) + table.tobytes())
+    lexicon = Lexicon.load(spark, str(tmp_path))
+    assert lexicon.entities is None and lexicon.categories().grouping == {"HIRAGANA"} and lexicon.categories()("ー") == "HIRAGANA"
+    df = spark.createDataFrame([(1, "東京あいー漢")], "text_id long, text string")
+    tokens = [(r.surface, r.feature, r.is_unknown) for r in tokenize(df, lexicon).orderBy("token_ix").collect()]
+    assert tokens == [("東京", "名詞,b", False), ("あいー", "名詞,未知", True), ("漢", "名詞,漢", True)]
+    (tmp_path / "semantic.bin").write_bytes(bi.encode_pool([("http://www.wikidata.org/entity/Q1490", 1.0)]))
+    assert Lexicon.load(spark, str(tmp_path)).entities.count() == 0
+    (tmp_path / "surface_map.json").write_text('{"東京": [["http://www.wikidata.org/entity/Q1490", 1.5], ["x:y", 0.25]]}')
+    entities = Lexicon.load(spark, str(tmp_path)).entities.orderBy("ord").collect()
+    assert [(r.surface, r.uri, r.confidence) for r in entities] == [("東京", "http://www.wikidata.org/entity/Q1490", 1.0), ("東京", "x:y", 0.25)]
+
+
+def test_vectors_of_other_types(spark, tmp_path):
+    m = np.array([[1.5, -2.0], [0.25, 3.0]], np.float32)
+    for kind in (0, 1):
+        assert (bi.decode_vectors(bi.encode_vectors(m, kind)) == m).all()
+    assert bi.decode_vectors(bi.encode_vectors(np.array([[-3, 7]]), 2)).tolist() == [[-3.0, 7.0]]
+    (tmp_path / "h.bin").write_bytes(bi.encode_vectors(m, 1))
+    assert bi.read_vectors(spark, str(tmp_path / "h.bin")).orderBy("word_id").first().embedding == [1.5, -2.0]
+    with pytest.raises(ValueError):
+        bi.decode_vectors(bi.encode_vectors(m)[:12] + struct.pack("<I", 3) + bi.encode_vectors(m)[16:])
+
+
 def test_vectors_and_pool(spark, tmp_path):
     m = np.arange(6, dtype=np.float32).reshape(3, 2)
     (tmp_path / "v.bin").write_bytes(bi.encode_vectors(m))

@@ -15,15 +15,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tsumugi.operators.lexicon import GROUPING, NO_CONNECTION, UNKNOWN_COST, Lexicon, category_sql
+from tsumugi.operators.lexicon import NO_CONNECTION, UNKNOWN_COST, Lexicon
 
 NODE = ["text_id", "start_pos", "end_pos", "surface", "layer", "word_id", "left_id", "right_id", "pos_id", "wcost", "feature", "is_unknown"]
 
 
-def positions(texts: DataFrame) -> DataFrame:
+def positions(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
     """text_id, start_pos, one character and its category for every position."""
     spots = texts.select("text_id", "text", F.explode(F.sequence(F.lit(0), F.char_length("text") - 1)).alias("start_pos")).where(F.char_length("text") > 0)
-    return spots.withColumn("c", F.expr("substring(text, start_pos + 1, 1)")).withColumn("category", F.expr(category_sql("c")))
+    return lexicon.with_category(spots.withColumn("c", F.expr("substring(text, start_pos + 1, 1)")))
 
 
 def dictionary_nodes(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -37,28 +37,29 @@ def dictionary_nodes(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 def unknown_nodes(texts: DataFrame, lexicon: Lexicon, known: DataFrame) -> DataFrame:
     """Nodes for positions without an entry: one character per template, and grouped runs of 2 or more."""
-    spots = positions(texts.select("text_id", "text"))
+    spots = positions(texts.select("text_id", "text"), lexicon)
+    grouping = sorted(lexicon.categories().grouping)
     by_text = Window.partitionBy("text_id").orderBy("start_pos")
     island = F.sum(F.when(F.lag("category").over(by_text) == F.col("category"), 0).otherwise(1)).over(by_text)
     spots = spots.withColumn("island", island)
     spots = spots.withColumn("run", F.max("start_pos").over(Window.partitionBy("text_id", "island")) - F.col("start_pos") + 1)
     bare = spots.join(known.select("text_id", "start_pos").distinct(), ["text_id", "start_pos"], "left_anti")
-    lengths = F.when(F.col("category").isin(*GROUPING) & (F.col("run") > 1), F.sequence(F.lit(1), F.col("run"))).otherwise(F.array(F.lit(1)))
+    lengths = F.when(F.col("category").isin(*grouping) & (F.col("run") > 1), F.sequence(F.lit(1), F.col("run"))).otherwise(F.array(F.lit(1)))
     spans = bare.select("text_id", "text", "start_pos", "category", F.explode(lengths).alias("n"))
     nodes = spans.join(lexicon.unknown, "category", "left").where((F.col("n") == 1) | F.coalesce(F.col("entry_ix") == 0, F.lit(True)))
     return nodes.select(
         "text_id", "start_pos", (F.col("start_pos") + F.col("n")).alias("end_pos"), F.expr("substring(text, start_pos + 1, n)").alias("surface"), F.lit(1).alias("layer"), F.lit(None).cast("long").alias("word_id"),
         F.coalesce("left_id", F.lit(0)).alias("left_id"), F.coalesce("right_id", F.lit(0)).alias("right_id"), F.coalesce("pos_id", F.lit(0)).alias("pos_id"),
-        F.coalesce("wcost", F.lit(UNKNOWN_COST)).alias("wcost"), F.coalesce("feature", F.concat(F.lit("未知語,"), F.col("category"))).alias("feature"), F.lit(True).alias("is_unknown"),
+        F.coalesce("wcost", F.lit(UNKNOWN_COST)).alias("wcost"), F.coalesce("feature", F.concat(F.lit("未知語,"), F.col("category"))).alias("feature"), F.lit(True).alias("is_unknown"), F.coalesce("entry_ix", F.lit(0)).alias("_template"),
     )
 
 
 def lattice_nodes(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
     """All nodes of (text_id, text), with node_ix among the nodes that end at one position."""
     known = dictionary_nodes(texts, lexicon)
-    nodes = known.unionByName(unknown_nodes(texts, lexicon, known))
-    order = Window.partitionBy("text_id", "end_pos").orderBy("start_pos", "layer", "is_unknown", F.coalesce("word_id", F.lit(-1)), "wcost", "left_id", "feature")
-    return nodes.withColumn("node_ix", F.row_number().over(order) - 1)
+    nodes = known.withColumn("_template", F.lit(0)).unionByName(unknown_nodes(texts, lexicon, known))
+    order = Window.partitionBy("text_id", "end_pos").orderBy("start_pos", "layer", "is_unknown", "_template", F.coalesce("word_id", F.lit(-1)), "wcost", "left_id", "feature")
+    return nodes.withColumn("node_ix", F.row_number().over(order) - 1).drop("_template")
 
 
 def lattice_edges(nodes: DataFrame, texts: DataFrame, lexicon: Lexicon) -> DataFrame:

@@ -34,6 +34,11 @@ KANJI_NUMERALS = "〇一二三四五六七八九十百千万億兆"
 GROUPING = frozenset("DEFAULT SPACE SYMBOL NUMERIC ALPHA HIRAGANA KATAKANA KANJINUMERIC GREEK CYRILLIC".split())
 
 
+# The character whose flag says whether its category groups runs, and the last code point of a table.
+SAMPLES = {"DEFAULT": " ", "SPACE": " ", "KANJI": "漢", "SYMBOL": "!", "NUMERIC": "0", "ALPHA": "A", "HIRAGANA": "あ", "KATAKANA": "ア", "KANJINUMERIC": "一", "GREEK": "Α", "CYRILLIC": "А"}
+LAST_CODE_POINT = 0xFFFE
+
+
 @lru_cache(maxsize=65536)
 def category(character: str) -> str:
     """Category of a character; beyond the basic plane and outside all ranges DEFAULT."""
@@ -50,16 +55,65 @@ def category_sql(character: str) -> str:
     return f"CASE WHEN instr('{KANJI_NUMERALS}', {character}) > 0 THEN 'KANJINUMERIC' {cases} ELSE 'DEFAULT' END"
 
 
+@dataclass(frozen=True)
+class Categories:
+    """Categories of characters by a table of code points (None: the ranges above) and which of them group runs."""
+
+    by_point: dict[int, str] | None = None
+    grouping: frozenset[str] = GROUPING
+
+    def __call__(self, character: str) -> str:
+        return category(character) if self.by_point is None else self.by_point.get(ord(character), "DEFAULT")
+
+
 @dataclass(frozen=True)
 class Lexicon:
-    """entries (ENTRY), connections (CONNECTION) and unknown-word templates (UNKNOWN)."""
+    """entries (ENTRY), connections (CONNECTION) and unknown-word templates (UNKNOWN).
+
+    ``characters`` (codepoint, category, group) is the character table of a dictionary; without
+    one the ranges above hold. ``entities`` (surface, uri, confidence) come with a semantic pool.
+    """
 
     entries: DataFrame
     connections: DataFrame
     unknown: DataFrame
+    characters: DataFrame | None = None
+    entities: DataFrame | None = None
 
     @classmethod
-    def of(cls, entries: DataFrame, connections: DataFrame | None = None, unknown: DataFrame | None = None) -> Lexicon:
+    def load(cls, spark: SparkSession, folder: str | None = None, semantics: str | None = None) -> Lexicon:
+        """The compiled dictionary of a folder (the default one without), with the semantic pool
+        ``semantics`` or the one in the folder, if there is one."""
+        from tsumugi.sources import binary, files
+
+        folder = folder or files.default_dictionary()
+        path = lambda name: f"{folder.rstrip('/')}/{name}"
+        for name in (files.SYSTEM, files.MATRIX, files.CHARACTERS, files.UNKNOWN_WORDS):
+            if not files.exists(spark, path(name)):
+                raise FileNotFoundError(path(name))
+        templates = binary.read_dictionary(spark, path(files.UNKNOWN_WORDS), 2)
+        unknown = templates.select(F.col("surface").alias("category"), F.col("word_id").cast("int").alias("entry_ix"), "left_id", "right_id", "pos_id", "wcost", "feature")
+        first = unknown.groupBy("category").agg(F.min("entry_ix").alias("_first"))
+        unknown = unknown.join(first, "category").withColumn("entry_ix", F.col("entry_ix") - F.col("_first")).drop("_first")
+        characters = binary.read_characters(spark, path(files.CHARACTERS))
+        lexicon = cls.of(binary.read_dictionary(spark, path(files.SYSTEM), 0), binary.read_matrix(spark, path(files.MATRIX)), unknown, characters)
+        pool = semantics or (path(files.POOL) if files.exists(spark, path(files.POOL)) else None)
+        return lexicon if pool is None else lexicon.with_semantics(pool)
+
+    def with_semantics(self, pool: str) -> Lexicon:
+        """With the entities of the surface map that lies beside a pool file: uris and their
+        confidence, within 0 to 1. Without a map there are no entities."""
+        from tsumugi.sources import files
+
+        spark = self.entries.sparkSession
+        names = f"{pool.rpartition('/')[0] or '.'}/{files.SURFACE_MAP}"
+        if not files.exists(spark, names):
+            return replace(self, entities=spark.createDataFrame([], "surface string, uri string, confidence float, ord int"))
+        confidence = F.greatest(F.lit(0.0).cast("float"), F.least(F.lit(1.0).cast("float"), F.col("confidence")))
+        return replace(self, entities=files.surface_map(spark, names).withColumn("confidence", confidence))
+
+    @classmethod
+    def of(cls, entries: DataFrame, connections: DataFrame | None = None, unknown: DataFrame | None = None, characters: DataFrame | None = None) -> Lexicon:
         spark = entries.sparkSession
         if "layer" not in entries.columns:
             entries = entries.withColumn("layer", F.lit(1))
@@ -68,8 +122,26 @@ class Lexicon:
             entries.select(*columns),
             connections if connections is not None else spark.createDataFrame([], CONNECTION),
             unknown if unknown is not None else spark.createDataFrame([], UNKNOWN),
+            characters,
         )
 
+    def categories(self) -> Categories:
+        """The categories as the solvers hold them; the table has one row per code point of the basic plane at most."""
+        if self.characters is None:
+            return Categories()
+        rows = self.characters.where(F.col("codepoint").between(0, LAST_CODE_POINT)).select("codepoint", "category", "group").collect()
+        flags = {r.codepoint: r.group for r in rows}
+        grouping = frozenset(name for name, c in SAMPLES.items() if flags.get(ord(c)))
+        return Categories({r.codepoint: r.category for r in rows if r.category != "DEFAULT"}, grouping)
+
+    def with_category(self, rows: DataFrame, character: str = "c") -> DataFrame:
+        """Rows with the category of a column of single characters."""
+        if self.characters is None:
+            return rows.withColumn("category", F.expr(category_sql(character)))
+        points = self.characters.where(F.col("codepoint").between(0, LAST_CODE_POINT)).select("codepoint", F.col("category").alias("_category"))
+        joined = rows.withColumn("_point", F.ascii(character)).join(points, F.col("_point") == F.col("codepoint"), "left")
+        return joined.withColumn("category", F.coalesce("_category", F.lit("DEFAULT"))).drop("_point", "codepoint", "_category")
+
     def with_entries(self, words: DataFrame) -> Lexicon:
         """Words of a layer above the system entries: they come first among equals."""
         added = words.withColumn("word_id", F.lit(None).cast("long")).withColumn("layer", F.lit(0))

@@ -143,20 +143,24 @@ def character_rows(data: bytes) -> list[tuple]:
     return [(i, names[k] if k < n else "DEFAULT", p & 0x3FFFF, p >> 26 & 0xF, bool(p >> 30 & 1), bool(p >> 31 & 1)) for i, (p, k) in enumerate(zip(packed.tolist(), kinds))]
 
 
+VECTOR_TYPES = {0: "<f4", 1: "<f2", 2: "i1"}  # fixed values: element types of a vector store
+
+
 def decode_vectors(data: bytes) -> np.ndarray:
-    """The (words, dimensions) matrix of a vector store of 32-bit floats."""
+    """The (words, dimensions) matrix of a vector store, as 32-bit floats; bytes are their number as such."""
     if len(data) < VECTOR_HEADER:
         raise ValueError("vector store too small")
     magic, words, dim, kind = struct.unpack_from("<4I", data)
-    if magic != VECTOR_MAGIC or kind != 0:
-        raise ValueError("no vector store of 32-bit floats")
-    if len(data) != VECTOR_HEADER + words * dim * 4:
+    if magic != VECTOR_MAGIC or kind not in VECTOR_TYPES:
+        raise ValueError("no vector store of a known element type")
+    element = np.dtype(VECTOR_TYPES[kind])
+    if len(data) != VECTOR_HEADER + words * dim * element.itemsize:
         raise ValueError("vector store size does not match its heading")
-    return np.frombuffer(data, "<f4", words * dim, VECTOR_HEADER).reshape(words, dim)
+    return np.frombuffer(data, element, words * dim, VECTOR_HEADER).reshape(words, dim).astype(np.float32)
 
 
-def encode_vectors(matrix: np.ndarray) -> bytes:
-    return struct.pack("<4I16x", VECTOR_MAGIC, *matrix.shape, 0) + matrix.astype("<f4").tobytes()
+def encode_vectors(matrix: np.ndarray, kind: int = 0) -> bytes:
+    return struct.pack("<4I16x", VECTOR_MAGIC, *matrix.shape, kind) + matrix.astype(VECTOR_TYPES[kind]).tobytes()
 
 
 def pool_rows(data: bytes) -> list[tuple[int, str, float, int]]:
