@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tsumugi.operators import exports as ex
 from tsumugi.operators import lattice as la
 from tsumugi.operators import paths as pa
+from tsumugi.operators import solver as so
 from tsumugi.operators import viterbi as vi
 from tsumugi.operators.lexicon import NO_CONNECTION, UNKNOWN, UNKNOWN_COST, category, category_sql, example_lexicon
 
@@ -82,6 +83,7 @@ def test_the_two_solvers_agree_on_ties_and_templates(spark):
         else:  # of equally dear paths either may come first
             assert [sorted({(r[0], r[1], r[2]) for r in x}) for x in rows][0] == sorted({(r[0], r[1], r[2]) for r in rows[1]})
     spans = {(r.text_id, r.start_pos, r.end_pos, r.category) for r in la.lattice_nodes(df, lex).join(la.positions(df, lex), ["text_id", "start_pos"]).where("is_unknown").collect()}
+    assert sorted(map(tuple, la.joined_nodes(df, lex).select(*la.NODE, "node_ix").collect()), key=repr) == sorted(map(tuple, la.lattice_nodes(df, lex).select(*la.NODE, "node_ix").collect()), key=repr)
     assert any(b - a > 1 and c == "HIRAGANA" for _, a, b, c in spans) and not any(b - a > 1 and c in ("KANJI", "DEFAULT", "GREEK") for _, a, b, c in spans)
 
 
@@ -89,7 +91,7 @@ def test_a_matrix_too_large_is_refused(spark, monkeypatch):
     _, lex, cells = lexicon(spark)
     m = vi.Matrix.of(lex.connections)
     assert all(m.cost(r, c) == x for (r, c), x in cells.items()) and m.cost(9, 0) == m.cost(0, 9) == NO_CONNECTION
-    monkeypatch.setattr(vi, "MOST_CELLS", 3)
+    monkeypatch.setattr(so, "MOST_CELLS", 3)
     with pytest.raises(ValueError):
         vi.Matrix.of(lex.connections)
 

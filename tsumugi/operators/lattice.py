@@ -1,7 +1,8 @@
 """Word lattices as tables: nodes, edges, and their statistics.
 
-The common-prefix search of a lexicon over a text is written as an equi-join: every
-substring that is no longer than the longest surface is a candidate key. Positions at
+A lexicon that fits into a task is searched along each text. For a larger one the
+common-prefix search is an equi-join: every substring that is no longer than the longest
+surface is a candidate key. Positions at
 which no entry starts get nodes from the unknown-word templates of their category, runs of
 one category found as islands.
 
@@ -12,10 +13,16 @@ words, shorter before longer, then by word id), which decides ties.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tsumugi.operators.lexicon import NO_CONNECTION, UNKNOWN_COST, Lexicon
+from tsumugi.operators.solver import Words, fits
+from tsumugi.runtime import spread
 
 NODE = ["text_id", "start_pos", "end_pos", "surface", "layer", "word_id", "left_id", "right_id", "pos_id", "wcost", "feature", "is_unknown"]
 
@@ -54,14 +61,48 @@ def unknown_nodes(texts: DataFrame, lexicon: Lexicon, known: DataFrame) -> DataF
     )
 
 
-def lattice_nodes(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """All nodes of (text_id, text), with node_ix among the nodes that end at one position."""
+def joined_nodes(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """All nodes of (text_id, text) by joins, for a lexicon of any size."""
     known = dictionary_nodes(texts, lexicon)
     nodes = known.withColumn("_template", F.lit(0)).unionByName(unknown_nodes(texts, lexicon, known))
     order = Window.partitionBy("text_id", "end_pos").orderBy("start_pos", "layer", "is_unknown", "_template", F.coalesce("word_id", F.lit(-1)), "wcost", "left_id", "feature")
     return nodes.withColumn("node_ix", F.row_number().over(order) - 1).drop("_template")
 
 
+def lattice_nodes(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """All nodes of (text_id, text), with node_ix among the nodes that end at one position.
+
+    Texts are read where they lie if the lexicon fits into a task, and joined with it else.
+    """
+    if not fits(lexicon):
+        return joined_nodes(texts, lexicon)
+    rows = texts.select("text_id", "text").where(F.col("text").isNotNull() & (F.col("text") != ""))
+    shared = texts.sparkSession.sparkContext.broadcast(Words.of(lexicon))
+    key = rows.schema.fields[0].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value.prepare()
+        for batch in batches:
+            whose, starts, ends, places, nodes, surfaces = ([] for _ in range(6))
+            for n, text in enumerate(batch.column(1).to_pylist()):
+                for end, found in enumerate(words.nodes(text)):
+                    whose += [n] * len(found)
+                    ends += [end] * len(found)
+                    places += range(len(found))
+                    for start, node in found:
+                        starts.append(start)
+                        nodes.append(node)
+                        surfaces.append(text[start:end])
+            members = words.members().select(["layer", "word_id", "left_id", "right_id", "pos_id", "wcost", "feature"]).take(pa.array(nodes, pa.int64())).combine_chunks()
+            unknown = pa.array(np.array(nodes, np.int64) >= words.known)
+            number = lambda c: pa.array(c, pa.int32())
+            columns = [batch.column(0).take(pa.array(whose, pa.int64())), number(starts), number(ends), pa.array(surfaces, pa.string()), *(members.column(i).combine_chunks() for i in range(7)), unknown, number(places)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*NODE, "node_ix"])
+
+    schema = f"text_id {key}, start_pos int, end_pos int, surface string, layer int, word_id long, left_id int, right_id int, pos_id int, wcost int, feature string, is_unknown boolean, node_ix int"
+    return spread(rows).mapInArrow(run, schema)
+
+
 def lattice_edges(nodes: DataFrame, texts: DataFrame, lexicon: Lexicon) -> DataFrame:
     """Edges between nodes that meet, from the begin (node_ix -1 at 0) and to the end of each text, with costs."""
     ends = texts.select("text_id", F.char_length("text").alias("n"))
