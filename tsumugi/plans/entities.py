@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -127,6 +129,14 @@ def entity_mentions(spark: SparkSession, base: str) -> DataFrame:
     return rows.where(F.col("predicate") == f"<{NAMESPACE}entity>").groupBy("object").agg(F.count(F.lit(1)).alias("n_mentions"))
 
 
+def mention_tokens(spark: SparkSession, base: str) -> DataFrame:
+    """Tokens that mention the first or the last of the linked uris, found over the triples table, as the SPARQL text asks."""
+    rows = ex.triples(mentioned_tokens(spark, base))
+    ends = en.disambiguate(candidates(spark, base), ["surface"], "highest", "entry_id").agg(F.min("uri"), F.max("uri")).first()
+    found = [ex.mentions(rows, uri).select("text_id", "token_ix", "surface", F.lit(uri).alias("uri")) for uri in ends if uri is not None]
+    return reduce(DataFrame.unionByName, found).distinct() if found else spark.createDataFrame([], "text_id long, token_ix int, surface string, uri string")
+
+
 _CAND = """c AS (SELECT * FROM (SELECT DISTINCT entry_id, surface, uri, greatest(0::FLOAT, least(1::FLOAT, confidence)) AS confidence FROM semantic_entries WHERE surface IS NOT NULL AND uri IS NOT NULL AND confidence IS NOT NULL AND NOT isnan(confidence))
   QUALIFY row_number() OVER (PARTITION BY surface, uri ORDER BY entry_id) = 1)"""
 _SOURCE = "CASE WHEN contains(uri, 'wikidata.org') THEN 'Wikidata' WHEN contains(uri, 'dbpedia.org') THEN 'DBpedia' WHEN contains(uri, 'schema.org') THEN 'SchemaOrg' ELSE 'Custom' END"
@@ -160,7 +170,7 @@ _TURTLE_HEAD = "'@base <" + ex.BASE + "> .' || chr(10) || " + " || ".join(f"'@pr
 QUERIES = {
     f.__name__: f
     for f in (knowledge_base, knowledge_base_size, candidate_index, merge_lexicon, entity_link, disambiguate_highest, disambiguate_prior, disambiguate_context, disambiguate_none, pool_entries, pool_stats)
-    + (export_plain, export_plain_ipa, export_dump, export_json, export_wakati, export_word_ids, export_triples, export_ntriples, export_nquads, export_turtle, export_jsonld, entity_mentions)
+    + (export_plain, export_plain_ipa, export_dump, export_json, export_wakati, export_word_ids, export_triples, export_ntriples, export_nquads, export_turtle, export_jsonld, entity_mentions, mention_tokens)
 }
 _KB = ENTITY_SQL + """, ids AS (SELECT line_id, nullif(regexp_extract(line, '"id"\\s*:\\s*"(Q[0-9]+)"', 1), '') AS entity_id FROM wikidata_lines), first AS (SELECT entity_id, min(line_id) AS line_id FROM ids WHERE entity_id IS NOT NULL GROUP BY 1),
 f AS (SELECT entity_id, kind, map_key, leaf_value FROM flat JOIN first USING (line_id) WHERE leaf_value IS NOT NULL), names AS (SELECT DISTINCT entity_id, leaf_value AS surface FROM f WHERE kind IN ('label', 'alias') AND map_key = 'ja'),
@@ -203,5 +213,6 @@ UNION ALL SELECT text_id, token_ix, '<{ex.BASE}#token' || token_ix || '>', '<{NA
     "export_turtle": f"""WITH {_CAND}, {_BEST}, {_TOK}, l AS (SELECT text_id, token_ix, '<#token' || token_ix || '> a tok:Token ;' || chr(10) || concat_ws(' ;' || chr(10), '    tok:surface "' || {_esc('surface')} || '"', '    tok:pos "' || {_esc('p[1]')} || '"',
   '    tok:reading "' || {_esc("nullif(p[8], '*')")} || '"', '    tok:entity <' || uri || '>') || ' .' || chr(10) || chr(10) AS line FROM t LEFT JOIN b USING (surface))
 SELECT text_id, {_TURTLE_HEAD} || string_agg(line, '' ORDER BY token_ix, line) AS turtle FROM l GROUP BY text_id""",
+    "mention_tokens": f"""WITH {_CAND}, {_BEST}, {_MENTIONED} SELECT DISTINCT m.text_id, m.token_ix, '"' || {_esc('t.surface')} || '"' AS surface, uri FROM t m JOIN b USING (surface) JOIN t ON t.text_id = m.text_id AND t.token_ix = m.token_ix WHERE uri IN (SELECT min(uri) FROM b UNION SELECT max(uri) FROM b)""",
     "entity_mentions": f"WITH {_CAND}, {_BEST}, {_MENTIONED} SELECT '<' || uri || '>' AS object, count(*) AS n_mentions FROM t JOIN b USING (surface) GROUP BY uri",
 }

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tsumugi.operators import exports as ex
 from tsumugi.operators import lattice as la
 from tsumugi.operators import paths as pa
 from tsumugi.operators import viterbi as vi
-from tsumugi.operators.lexicon import CATEGORIES, ENTRY, GROUPING, KANJI_NUMERALS, NO_CONNECTION, UNKNOWN_COST, Lexicon, example_lexicon
+from tsumugi.operators.lexicon import CATEGORIES, ENTRY, GROUPING, KANJI_NUMERALS, NO_CONNECTION, SAMPLES, UNKNOWN, UNKNOWN_COST, Lexicon, example_lexicon
 from tsumugi.runtime import table
 
 # A lexicon of our own: whole words of part names and shorter words they also divide into.
@@ -107,11 +108,66 @@ def path_diversity_part(spark: SparkSession, base: str) -> DataFrame:
 
 def unknown_nodes_requests(spark: SparkSession, base: str) -> DataFrame:
     """Unknown-word nodes of the requests under an empty lexicon: every run of one category, all prefixes of it."""
-    texts = table(spark, base, "parse_requests").select(F.col("request_id").alias("text_id"), "text").where(F.col("text").isNotNull()).dropDuplicates()
+    texts = request_texts(spark, base)
     nodes = la.lattice_nodes(texts, Lexicon.of(spark.createDataFrame([], ENTRY)))
     return nodes.groupBy("text_id", "feature").agg(F.count(F.lit(1)).alias("n_nodes"), F.max(F.col("end_pos") - F.col("start_pos")).alias("longest"))
 
 
+# Templates and a character table of our own: two templates for KANJI, none for SYMBOL; kana of both kinds are one category.
+TEMPLATES = [("HIRAGANA", 0, 1, 2, 900, "名詞,未知,かな"), ("KANJI", 0, 2, 1, 700, "名詞,未知,漢字"), ("KANJI", 1, 3, 3, 650, "名詞,未知,別"), ("ALPHA", 0, 1, 1, 800, "名詞,未知,英字"), ("NUMERIC", 0, 2, 2, 300, "名詞,数"), ("DEFAULT", 0, 0, 0, 4000, "記号,未知")]
+POINTS = ((0x41, 0x5A, "ALPHA", True), (0x61, 0x7A, "ALPHA", True), (0x30, 0x39, "NUMERIC", True), (0x3041, 0x30FF, "HIRAGANA", True), (0x4E00, 0x9FFF, "KANJI", False), (0x3001, 0x3002, "SYMBOL", True), (0x20, 0x21, "SYMBOL", True))
+
+
+def template_lexicon(spark: SparkSession) -> Lexicon:
+    """The words of the parts with templates for unknown words and a character table."""
+    lexicon = part_lexicon(spark)
+    unknown = spark.createDataFrame([(k, i, left, right, 9, cost, f) for k, i, left, right, cost, f in TEMPLATES], UNKNOWN)
+    ranges = spark.createDataFrame([*POINTS], "lo int, hi int, category string, `group` boolean")
+    characters = ranges.select(F.explode(F.sequence("lo", "hi")).alias("codepoint"), "category", "group")
+    return Lexicon.of(lexicon.entries, lexicon.connections, unknown, characters)
+
+
+def unknown_templates_requests(spark: SparkSession, base: str) -> DataFrame:
+    """Unknown-word nodes of the requests under templates and a character table."""
+    nodes = la.lattice_nodes(request_texts(spark, base), template_lexicon(spark)).where("is_unknown")
+    return nodes.groupBy("text_id", "feature").agg(F.count(F.lit(1)).alias("n_nodes"), F.max(F.col("end_pos") - F.col("start_pos")).alias("longest"), F.sum("wcost").alias("cost"))
+
+
+def request_texts(spark: SparkSession, base: str) -> DataFrame:
+    return table(spark, base, "parse_requests").select(F.col("request_id").alias("text_id"), "text").where(F.col("text").isNotNull()).dropDuplicates()
+
+
+def request_costs(spark: SparkSession, base: str) -> DataFrame:
+    """Cost of the best segmentation of every request, unknown words by templates and a character table."""
+    return vi.tokenize(request_texts(spark, base), template_lexicon(spark)).select("text_id", F.col("path_cost").alias("cost")).distinct()
+
+
+def n_best_part(spark: SparkSession, base: str) -> DataFrame:
+    """The k best paths of every part as text, over its distinct names."""
+    names = part_texts(spark, base).groupBy("text").agg(F.min("text_id").alias("text_id"))
+    return ex.n_best(vi.tokenize(names, part_lexicon(spark), 2))
+
+
+def dot_part(spark: SparkSession, base: str) -> DataFrame:
+    """The lattice of every distinct part name as a graph description."""
+    names = part_texts(spark, base).groupBy("text").agg(F.min("text_id").alias("text_id")).select("text_id", "text")
+    lexicon = part_lexicon(spark)
+    nodes = la.lattice_nodes(names, lexicon)
+    return ex.dot(nodes, la.lattice_edges(nodes, names, lexicon))
+
+
+def k_shortest_part(spark: SparkSession, base: str) -> DataFrame:
+    """The k cheapest paths through the lattice of every distinct part name, by the general search over edge tables."""
+    names = part_texts(spark, base).groupBy("text").agg(F.min("text_id").alias("text_id")).select("text_id", "text")
+    lexicon = part_lexicon(spark)
+    edges = la.lattice_edges(la.lattice_nodes(names, lexicon), names, lexicon)
+    node = lambda end, ix: F.when((F.col(end) == 0) & (F.col(ix) == -1), 0).when(F.col(ix) == -1, 1).otherwise(F.col(end) * 1000 + F.col(ix) + 2)
+    steps = edges.select(F.col("text_id").alias("graph_id"), node("from_end", "from_ix").alias("src"), node("to_end", "to_ix").alias("dst"), F.col("ccost").alias("cost"), "wcost")
+    costs = steps.select("graph_id", F.col("dst").alias("node"), F.col("wcost").alias("cost")).distinct()
+    starts = names.select(F.col("text_id").alias("graph_id"), F.lit(0).alias("node"), F.lit(0).alias("cost"))
+    return pa.k_shortest(costs.unionByName(starts), steps.drop("wcost"), 0, 1, K).select("graph_id", "rank_no", "cost")
+
+
 def request_lexicon(spark: SparkSession, base: str) -> Lexicon:
     """Words of the analysed requests, with run-time words and connection costs by part of speech."""
     morphemes = table(spark, base, "morphemes").where((F.col("word_id") != 4294967295) & F.col("wcost").isNotNull())
@@ -163,10 +219,32 @@ nodes AS (SELECT *, row_number() OVER (PARTITION BY text_id, end_pos ORDER BY st
 _CATEGORY = f"CASE WHEN contains('{KANJI_NUMERALS}', c) THEN 'KANJINUMERIC' " + " ".join(f"WHEN unicode(c) BETWEEN {lo} AND {hi} THEN '{name}'" for lo, hi, name in CATEGORIES) + " ELSE 'DEFAULT' END"
 _GROUPING = ", ".join(f"'{g}'" for g in sorted(GROUPING))
 
+_SAMPLES = ", ".join(f"('{kind}', '{c}')" for kind, c in SAMPLES.items())
+_POINTS = ", ".join(f"({lo}, {hi}, '{kind}', {group})" for lo, hi, kind, group in POINTS)
+_TEMPLATES = ", ".join(f"('{kind}', {i}, {left}, {right}, {cost}, '{f}')" for kind, i, left, right, cost, f in TEMPLATES)
+# Nodes of the requests under the words of the parts, the templates and the character table.
+REQUEST_NODES_SQL = f"""
+WITH RECURSIVE words(w, lid, rid, wcost) AS (VALUES {_WORDS}), cells(rid, lid, cost) AS (VALUES {_CELLS}), points(lo, hi, cat, grp) AS (VALUES {_POINTS}), templates(cat, ix, lid, rid, wcost, feature) AS (VALUES {_TEMPLATES}), samples(cat, c) AS (VALUES {_SAMPLES}),
+grouping_cats AS (SELECT s.cat FROM samples s JOIN points p ON unicode(s.c) BETWEEN p.lo AND p.hi WHERE p.grp),
+t AS (SELECT DISTINCT request_id AS text_id, text FROM parse_requests WHERE text IS NOT NULL),
+spots AS (SELECT text_id, text, i, substr(text, i + 1, 1) AS c FROM (SELECT text_id, text, unnest(range(length(text))) AS i FROM t)),
+k AS (SELECT s.*, coalesce(p.cat, 'DEFAULT') AS cat FROM spots s LEFT JOIN points p ON unicode(s.c) BETWEEN p.lo AND p.hi),
+b AS (SELECT *, CASE WHEN lag(cat) OVER (PARTITION BY text_id ORDER BY i) = cat THEN 0 ELSE 1 END AS b FROM k),
+g AS (SELECT *, sum(b) OVER (PARTITION BY text_id ORDER BY i) AS isl FROM b),
+r AS (SELECT *, max(i) OVER (PARTITION BY text_id, isl) - i + 1 AS run FROM g),
+known AS (SELECT s.text_id, s.i AS st, s.i + length(d.w) AS en, d.lid, d.rid, d.wcost FROM spots s JOIN words d ON substr(s.text, s.i + 1, length(d.w)) = d.w),
+bare AS (SELECT r.* FROM r ANTI JOIN known k ON k.text_id = r.text_id AND k.st = r.i),
+unknown AS (
+  SELECT b.text_id, b.i AS st, b.i + n AS en, coalesce(x.lid, 0) AS lid, coalesce(x.rid, 0) AS rid, coalesce(x.wcost, {UNKNOWN_COST}) AS wcost, coalesce(x.feature, '未知語,' || b.cat) AS feature
+  FROM (SELECT *, unnest(range(1, CASE WHEN cat IN (SELECT cat FROM grouping_cats) THEN run ELSE 1 END + 1)) AS n FROM bare) b LEFT JOIN templates x ON x.cat = b.cat AND (n = 1 OR x.ix = 0)
+)
+"""
+
 QUERIES = {
     f.__name__: f
     for f in (viterbi_part_tokens, viterbi_part_costs, wakati_part, kbest_part, lattice_nodes_part, lattice_edges_part, lattice_stats_part, best_path_edges_part, what_if_cost, path_analysis_part)
     + (path_comparison_part, segmentation_report, token_distribution, connection_stats, path_diversity_part, unknown_nodes_requests, tokenize_requests)
+    + (unknown_templates_requests, request_costs, n_best_part, dot_part, k_shortest_part)
 }
 SQL = {
     "viterbi_part_tokens": PATHS_SQL + "SELECT text_id, token_ix, t.w AS surface, t.wcost AS wcost, t.ccost AS ccost FROM tokens",
@@ -197,6 +275,31 @@ n AS (SELECT text_id, count(DISTINCT v) AS n_nodes FROM (SELECT text_id, unnest(
 e AS (SELECT text_id, count(DISTINCT v) AS n_edges FROM (SELECT text_id, unnest(list_zip(path[:-2], path[2:])) AS v FROM p WHERE len(path) > 1) GROUP BY text_id),
 d AS (SELECT a.text_id, avg(1 - len(list_intersect(a.path, b.path)) / len(list_distinct(list_concat(a.path, b.path)))::DOUBLE) AS m FROM p a JOIN p b ON a.text_id = b.text_id AND a.path_no < b.path_no GROUP BY a.text_id)
 SELECT n.text_id AS graph_id, n_nodes, coalesce(n_edges, 0) AS n_edges, coalesce(m, 0.0) AS mean_distance FROM n LEFT JOIN e USING (text_id) LEFT JOIN d USING (text_id)""",
+    "unknown_templates_requests": REQUEST_NODES_SQL + "SELECT text_id, feature, count(*) AS n_nodes, max(en - st) AS longest, sum(wcost)::BIGINT AS cost FROM unknown GROUP BY ALL",
+    "request_costs": REQUEST_NODES_SQL + f""",
+nodes AS (SELECT text_id, st, en, lid, rid, min(wcost) AS wcost FROM (SELECT text_id, st, en, lid, rid, wcost FROM known UNION ALL SELECT text_id, st, en, lid, rid, wcost FROM unknown) GROUP BY ALL),
+rights AS (SELECT DISTINCT rid FROM nodes UNION SELECT 0), lefts AS (SELECT DISTINCT lid FROM nodes UNION SELECT 0),
+price AS (SELECT r.rid, l.lid, coalesce(c.cost, {NO_CONNECTION}) AS cost FROM rights r CROSS JOIN lefts l LEFT JOIN cells c ON c.rid = r.rid AND c.lid = l.lid),
+walk(text_id, pos, rid, cost) USING KEY (text_id, pos, rid) AS (
+  SELECT text_id, 0::BIGINT, 0, 0::BIGINT FROM t WHERE text <> ''
+  UNION
+  SELECT n.text_id, n.en, n.rid, min(w.cost + p.cost + n.wcost) AS cost FROM walk w JOIN nodes n ON n.text_id = w.text_id AND n.st = w.pos JOIN price p ON p.rid = w.rid AND p.lid = n.lid
+  LEFT JOIN recurring.walk o ON o.text_id = n.text_id AND o.pos = n.en AND o.rid = n.rid
+  GROUP BY n.text_id, n.en, n.rid HAVING min(w.cost + p.cost + n.wcost) < min(coalesce(o.cost, 9e15::BIGINT))
+)
+SELECT t.text_id, min(w.cost + p.cost)::BIGINT AS cost FROM t JOIN walk w ON w.text_id = t.text_id AND w.pos = length(t.text) JOIN price p ON p.rid = w.rid AND p.lid = 0 WHERE t.text <> '' GROUP BY t.text_id""",
+    "n_best_part": PATHS_SQL + """, first AS (SELECT text, min(text_id) AS text_id FROM texts GROUP BY text),
+lines AS (SELECT text, path_no, cost, array_to_string(list_transform(toks, lambda x: x.w || chr(9) || CASE WHEN x.wcost = 10000 THEN '未知語,ALPHA' ELSE '名詞,一般,*,*,*,*,' || x.w || ',' || x.w || ',' || x.w END), chr(10)) AS body FROM ranked WHERE path_no <= 2)
+SELECT text_id, string_agg('# ' || path_no || ' (cost=' || cost || ')' || chr(10) || body || chr(10) || 'EOS' || chr(10), '' ORDER BY path_no) AS n_best FROM first JOIN lines USING (text) GROUP BY text_id""",
+    "dot_part": NODES_SQL + f""", cells(rid, lid, cost) AS (VALUES {_CELLS}), first AS (SELECT min(text_id) AS text_id, length(text) AS n FROM texts GROUP BY text), own AS (SELECT n.* FROM nodes n JOIN first USING (text_id)),
+a AS (SELECT text_id, end_pos AS e, node_ix::VARCHAR AS ix, rid FROM own UNION ALL SELECT text_id, 0, 'b', 0 FROM first),
+b AS (SELECT text_id, start_pos, end_pos AS e, node_ix::VARCHAR AS ix, lid FROM own UNION ALL SELECT text_id, n, n + 1, 'b', 0 FROM first),
+l AS (
+  SELECT text_id, 0 AS k, '  n' || end_pos || '_' || node_ix || ' [label="' || surface || chr(92) || 'ncost=' || wcost || '", shape=box' || CASE WHEN u THEN ', style=filled, fillcolor=yellow' ELSE '' END || '];' AS line FROM own
+  UNION ALL SELECT text_id, 0, '  n0_b [label="BOS", shape=diamond];' FROM first UNION ALL SELECT text_id, 0, '  n' || (n + 1) || '_b [label="EOS", shape=diamond];' FROM first
+  UNION ALL SELECT a.text_id, 1, '  n' || a.e || '_' || a.ix || ' -> n' || b.e || '_' || b.ix || ' [label="' || coalesce(c.cost, {NO_CONNECTION}) || '"];' FROM a JOIN b ON a.text_id = b.text_id AND a.e = b.start_pos LEFT JOIN cells c ON c.rid = a.rid AND c.lid = b.lid)
+SELECT text_id, 'digraph lattice {{' || chr(10) || '  rankdir=LR;' || chr(10) || string_agg(line, chr(10) ORDER BY k, line) || chr(10) || '}}' || chr(10) AS dot FROM l GROUP BY text_id""",
+    "k_shortest_part": PATHS_SQL + f", first AS (SELECT text, min(text_id) AS graph_id FROM texts GROUP BY text) SELECT graph_id, path_no AS rank_no, cost FROM first JOIN ranked USING (text) WHERE path_no <= {K}",
     "unknown_nodes_requests": f"""
 WITH t AS (SELECT DISTINCT request_id AS text_id, text FROM parse_requests WHERE text IS NOT NULL),
 c AS (SELECT text_id, i, substr(text, i + 1, 1) AS c FROM (SELECT text_id, text, unnest(range(length(text))) AS i FROM t)),

@@ -143,6 +143,14 @@ SQL = {
     "context_windows": f"WITH {_TEXTS}, {_sentences(se.MULTILINGUAL)} SELECT text_id, ord, coalesce(array_to_string(list(sentence) OVER (PARTITION BY text_id ORDER BY ord ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), ''), '') AS context FROM s",
     "overlapping_chunks": f"""WITH d AS (SELECT doc_id, text, CASE WHEN octet_length(encode(text)) <= {MOST} THEN 0 ELSE greatest(0, ceil((length(text) - {MOST}) / {MOST - OVERLAP}::DOUBLE))::INTEGER END AS last FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, i AS chunk_no, CASE WHEN octet_length(encode(text)) <= {MOST} THEN text ELSE substr(text, i * {MOST - OVERLAP} + 1, {MOST}) END AS chunk FROM (SELECT doc_id, text, unnest(range(last + 1)) AS i FROM d)""",
+    "boundary_chunks": f"""WITH RECURSIVE {_TEXTS},
+w(text_id, text, i, now, chunk_no, chunk) AS (
+  SELECT text_id, text, 0, '', 0, NULL::VARCHAR FROM t
+  UNION ALL
+  SELECT text_id, text, i + 1, CASE WHEN cut THEN '' ELSE n END, chunk_no + cut::INTEGER, CASE WHEN cut THEN n END
+  FROM (SELECT *, (contains('。！？', c) AND octet_length(encode(n)) >= 32 OR octet_length(encode(n)) >= 64) AND regexp_matches(n, '[^{WS[1:-1]}]') AS cut FROM (SELECT *, substr(text, i + 1, 1) AS c, now || substr(text, i + 1, 1) AS n FROM w WHERE i < length(text)))
+)
+SELECT text_id, chunk_no - 1 AS chunk_no, chunk FROM w WHERE chunk IS NOT NULL UNION ALL SELECT text_id, chunk_no, now FROM w WHERE i = length(text) AND regexp_matches(now, '[^{WS[1:-1]}]')""",
     "stream_progress": f"""WITH {_TEXTS}, {_sentences(se.JAPANESE)}, g AS (SELECT * FROM s WHERE NOT contains(sentence, '…')) SELECT (SELECT sum(octet_length(encode(sentence))) FROM g)::BIGINT AS n_bytes, (SELECT count(*) FROM g) AS n_sentences,
 (SELECT sum(length(sentence)) FROM g)::BIGINT AS n_tokens, (SELECT count(*) FROM s WHERE contains(sentence, '…')) AS n_errors, (SELECT avg(octet_length(encode(sentence))) FROM g) AS bytes_per_sentence, (SELECT avg(length(sentence)) FROM g) AS tokens_per_sentence""",
     "vocabulary": f"""WITH {_CORPUS}, w AS (SELECT unnest(ids) AS word_id FROM c), n AS (SELECT word_id, count(*) AS n FROM w GROUP BY 1), f AS (SELECT *, n / (SELECT sum(n) FROM n)::DOUBLE AS f FROM n WHERE n >= {MIN_COUNT})
