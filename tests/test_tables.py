@@ -1,6 +1,7 @@
 """Dictionaries, entities, exports, segments, vectors and metrics."""
 
 import json
+import random
 
 import numpy as np
 import pytest
@@ -203,3 +204,19 @@ def test_numbers_are_consecutive(spark):
     df = spark.range(0, 500).withColumn("k", F.col("id") % 7)
     rows = numbered(df, [F.desc("k"), F.col("id")], "n").orderBy("n").collect()
     assert [r.n for r in rows] == list(range(500)) and [(-r.k, r.id) for r in rows] == sorted((-r.k, r.id) for r in rows)
+
+
+def test_memory_never_falls_below_zero(spark):
+    rng = random.Random(11)
+    changes = [rng.randrange(-50, 50) for _ in range(500)]
+    current = peak = 0
+    for c in changes:
+        current = max(0, current + c)
+        peak = max(peak, current)
+    df = spark.createDataFrame(list(enumerate(changes)), "ord long, change long").repartition(4)
+    assert tuple(me.memory(df).first()) == (current, peak) and tuple(me.memory(df.limit(0)).first()) == (0, 0)
+
+
+def test_rests_of_buffers(spark):
+    df = spark.createDataFrame([(1, "これは。残り\nも"), (2, "全部。"), (3, ""), (4, None)], "text_id long, text string")
+    assert {r.text_id: (r.pending, r.has_pending, r.pending_len) for r in se.pending(df).collect()} == {1: ("残り\nも", True, 10), 2: ("", False, 0), 3: ("", False, 0)}

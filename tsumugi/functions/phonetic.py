@@ -12,23 +12,31 @@ from pyspark.sql import functions as F
 
 from tsumugi.functions.text import HIRAGANA, KATAKANA, _text
 
+# Rows of kana with one onset each, onsets of the rows, sounds that deviate, kana before small ya, yu, yo and their onsets.
 ROWS = ("あいうえお", "かきくけこ", "さしすせそ", "たちつてと", "なにぬねの", "はひふへほ", "まみむめも", "らりるれろ", "がぎぐげご", "ざじずぜぞ", "だぢづでど", "ばびぶべぼ", "ぱぴぷぺぽ")
-GLIDES = "きしちにひみりぎじびぴ"
-SMALL = "ゃゅょ"
-
-
-def _table(vowels: str, onsets: str, irregular: str, glides: str) -> dict[str, str]:
-    table = {kana: onset.strip("-") + vowel for row, onset in zip(ROWS, onsets.split()) for kana, vowel in zip(row, vowels)}
-    table |= dict(pair.split("=") for pair in irregular.split())
+SMALL = ("ゃ", "ゅ", "ょ")
+ROMAJI_ONSETS = ("", "k", "s", "t", "n", "h", "m", "r", "g", "z", "d", "b", "p")
+ROMAJI_OTHERS = {"し": "shi", "ち": "chi", "つ": "tsu", "ふ": "fu", "じ": "ji", "ぢ": "ji", "づ": "zu", "や": "ya", "ゆ": "yu", "よ": "yo", "わ": "wa", "を": "wo", "ん": "n"}
+ROMAJI_GLIDES = {"き": "ky", "し": "sh", "ち": "ch", "に": "ny", "ひ": "hy", "み": "my", "り": "ry", "ぎ": "gy", "じ": "j", "び": "by", "ぴ": "py"}
+IPA_ONSETS = ("", "k", "s", "t", "n", "h", "m", "ɾ", "ɡ", "dz", "d", "b", "p")
+IPA_OTHERS = {"し": "ɕi", "ち": "tɕi", "つ": "tsɯ", "に": "ɲi", "ひ": "çi", "ふ": "ɸɯ", "じ": "dʑi", "ぢ": "dʑi", "づ": "dzɯ", "や": "ja", "ゆ": "jɯ", "よ": "jo", "わ": "wa", "を": "o", "ん": "ɴ"}
+IPA_GLIDES = {"き": "kʲ", "し": "ɕ", "ち": "tɕ", "に": "ɲ", "ひ": "ç", "み": "mʲ", "り": "ɾʲ", "ぎ": "ɡʲ", "じ": "dʑ", "び": "bʲ", "ぴ": "pʲ"}
+XSAMPA_ONSETS = ("", "k", "s", "t", "n", "h", "m", "4", "g", "z", "d", "b", "p")
+XSAMPA_OTHERS = {"し": "Ci", "ち": "tCi", "つ": "tsM", "に": "Ji", "ひ": "Ci", "ふ": "p\\M", "じ": "dZi", "ぢ": "dZi", "づ": "zM", "や": "ja", "ゆ": "jM", "よ": "jo", "わ": "wa", "を": "o", "ん": "N"}
+
+
+def _table(vowels: str, onsets: tuple[str, ...], others: dict[str, str], glides: dict[str, str]) -> dict[str, str]:
+    """Sounds by kana: onset and vowel of each row, then what deviates, then kana with small ya, yu, yo."""
+    table = {kana: onset + vowel for row, onset in zip(ROWS, onsets) for kana, vowel in zip(row, vowels)}
+    table |= others
     a, u, o = vowels[0], vowels[2], vowels[4]
-    table |= {kana + small: onset + vowel for kana, onset in zip(GLIDES, glides.split()) for small, vowel in zip(SMALL, (a, u, o))}
+    table |= {kana + small: onset + vowel for kana, onset in glides.items() for small, vowel in zip(SMALL, (a, u, o))}
     return table
 
 
-# Onsets of the rows, sounds that deviate, onsets before small ya, yu, yo.
-ROMAJI = _table("aiueo", "- k s t n h m r g z d b p", "し=shi ち=chi つ=tsu ふ=fu じ=ji ぢ=ji づ=zu や=ya ゆ=yu よ=yo わ=wa を=wo ん=n", "ky sh ch ny hy my ry gy j by py")
-IPA = _table("aiɯeo", "- k s t n h m ɾ ɡ dz d b p", "し=ɕi ち=tɕi つ=tsɯ に=ɲi ひ=çi ふ=ɸɯ じ=dʑi ぢ=dʑi づ=dzɯ や=ja ゆ=jɯ よ=jo わ=wa を=o ん=ɴ", "kʲ ɕ tɕ ɲ ç mʲ ɾʲ ɡʲ dʑ bʲ pʲ")
-XSAMPA = _table("aiMeo", "- k s t n h m 4 g z d b p", "し=Ci ち=tCi つ=tsM に=Ji ひ=Ci ふ=p\\M じ=dZi ぢ=dZi づ=zM や=ja ゆ=jM よ=jo わ=wa を=o ん=N", "")
+ROMAJI = _table("aiueo", ROMAJI_ONSETS, ROMAJI_OTHERS, ROMAJI_GLIDES)
+IPA = _table("aiɯeo", IPA_ONSETS, IPA_OTHERS, IPA_GLIDES)
+XSAMPA = _table("aiMeo", XSAMPA_ONSETS, XSAMPA_OTHERS, {})
 IPA_VOWELS = "aeioɯ"
 PARTICLES = {"ハ": "wa", "ヘ": "e", "ヲ": "o"}
 
@@ -52,7 +60,7 @@ def geminations(table: dict[str, str], silent: str = "") -> dict[str, str]:
 
 def _spell(x: Column, table: dict[str, str]) -> Column:
     pairs = [k for k in table if len(k) == 2]
-    pattern = "(?s)" + (f"[{''.join(sorted({p[0] for p in pairs}))}][{SMALL}]|" if pairs else "") + "."
+    pattern = "(?s)" + (f"[{''.join(sorted({p[0] for p in pairs}))}][{''.join(SMALL)}]|" if pairs else "") + "."
     lookup = F.create_map(*[F.lit(v) for item in table.items() for v in item])
     pieces = F.regexp_extract_all(x, F.lit(pattern), F.lit(0))
     return F.array_join(F.transform(pieces, lambda p: F.coalesce(F.element_at(lookup, p), p)), "")

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,9 +69,30 @@ def suite_summary(results: DataFrame) -> DataFrame:
 
 
 def memory(events: DataFrame) -> DataFrame:
-    """Current and peak bytes of (ord, change), never below zero in between."""
-    step = F.sum("change").over(Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
-    return events.withColumn("_now", step).agg(F.coalesce(F.max_by("_now", "ord"), F.lit(0)).alias("current"), F.greatest(F.coalesce(F.max("_now"), F.lit(0)), F.lit(0)).alias("peak"))
+    """Current and peak bytes of (ord, change), never below zero in between; 0 over nothing.
+
+    Each range of ``ord`` is summed up by its total, its lowest and highest running sum and its
+    greatest rise; the driver combines one such row per partition.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = low = high = rise = 0
+        for batch in batches:
+            sums = total + np.cumsum(batch.column(0).to_numpy(zero_copy_only=False))
+            if len(sums):
+                lows = np.minimum(np.minimum.accumulate(sums), low)
+                high, rise = max(high, int(sums.max())), max(rise, int((sums - lows).max()))
+                total, low = int(sums[-1]), int(lows[-1])
+        row = (TaskContext.get().partitionId(), total, low, high, rise)
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in row], names=["p", "total", "low", "high", "rise"])
+
+    rows = events.where(F.col("change").isNotNull()).select("ord", F.col("change").cast("long").alias("change"))
+    ordered = rows.repartitionByRange("ord", "change").sortWithinPartitions("ord", "change").select("change")
+    current = peak = 0
+    for r in sorted(ordered.mapInArrow(run, "p long, total long, low long, high long, rise long").collect()):
+        peak = max(peak, current + r.high, r.rise)
+        current = max(current + r.total, r.total - r.low)
+    return events.sparkSession.createDataFrame([(current, peak)], "current long, peak long")
 
 
 def throughput(items: Column, size: Column, seconds: Column) -> Column:

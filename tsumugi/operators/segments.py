@@ -18,6 +18,13 @@ def sentences(texts: DataFrame, boundary: str = JAPANESE) -> DataFrame:
     return texts.where(F.col("text").isNotNull()).select("text_id", F.posexplode(kept).alias("ord", "sentence"))
 
 
+def pending(texts: DataFrame, boundary: str = JAPANESE) -> DataFrame:
+    """text_id, the rest behind the last boundary, whether there is one, and its bytes."""
+    rest = F.regexp_extract("text", f"(?s)[^{re.escape(boundary)}]*\\z", 0)
+    rows = texts.where(F.col("text").isNotNull()).select("text_id", rest.alias("pending"))
+    return rows.select("text_id", "pending", (F.col("pending") != "").alias("has_pending"), F.octet_length("pending").alias("pending_len"))
+
+
 def context_window(rows: DataFrame, n: int) -> DataFrame:
     """Each sentence with the ``n`` before it, joined."""
     before = Window.partitionBy("text_id").orderBy("ord").rowsBetween(-n, -1)

@@ -25,6 +25,13 @@ def boundary_sentences(spark: SparkSession, base: str) -> DataFrame:
     return se.sentences(texts(spark, base))
 
 
+def pending_rests(spark: SparkSession, base: str) -> DataFrame:
+    """What sentence buffers still hold after all pieces of each stream."""
+    reads = table(spark, base, "sentence_reads").where(F.col("text").isNotNull()).select("stream_id", "read_no", "text").distinct()
+    streams = reads.groupBy(F.col("stream_id").alias("text_id")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("read_no", "text"))).getField("text"), "").alias("text"))
+    return se.pending(streams)
+
+
 def context_windows(spark: SparkSession, base: str) -> DataFrame:
     return se.context_window(se.sentences(texts(spark, base), se.MULTILINGUAL), 2).select("text_id", "ord", "context")
 
@@ -135,11 +142,13 @@ _US = "epoch_us({0})"
 
 QUERIES = {
     f.__name__: f
-    for f in (boundary_sentences, context_windows, overlapping_chunks, boundary_chunks, stream_progress, vocabulary, context_pairs, mean_pooling, cosine_to_mean, embedding_lookup, word2vec)
+    for f in (boundary_sentences, pending_rests, context_windows, overlapping_chunks, boundary_chunks, stream_progress, vocabulary, context_pairs, mean_pooling, cosine_to_mean, embedding_lookup, word2vec)
     + (histogram_events, log_histogram_orders, percentiles_events, parse_stats, stream_laps, suite_summary, memory_stats)
 }
 SQL = {
     "boundary_sentences": f"WITH {_TEXTS}, {_sentences(se.JAPANESE)} SELECT text_id, ord, sentence FROM s",
+    "pending_rests": """WITH s AS (SELECT stream_id AS text_id, string_agg(text, '' ORDER BY read_no) AS text FROM (SELECT DISTINCT stream_id, read_no, text FROM sentence_reads WHERE text IS NOT NULL) GROUP BY stream_id),
+r AS (SELECT text_id, regexp_extract(text, '[^。！？]*$') AS pending FROM s) SELECT text_id, pending, pending <> '' AS has_pending, octet_length(encode(pending)) AS pending_len FROM r""",
     "context_windows": f"WITH {_TEXTS}, {_sentences(se.MULTILINGUAL)} SELECT text_id, ord, coalesce(array_to_string(list(sentence) OVER (PARTITION BY text_id ORDER BY ord ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), ''), '') AS context FROM s",
     "overlapping_chunks": f"""WITH d AS (SELECT doc_id, text, CASE WHEN octet_length(encode(text)) <= {MOST} THEN 0 ELSE greatest(0, ceil((length(text) - {MOST}) / {MOST - OVERLAP}::DOUBLE))::INTEGER END AS last FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, i AS chunk_no, CASE WHEN octet_length(encode(text)) <= {MOST} THEN text ELSE substr(text, i * {MOST - OVERLAP} + 1, {MOST}) END AS chunk FROM (SELECT doc_id, text, unnest(range(last + 1)) AS i FROM d)""",
@@ -171,5 +180,5 @@ SELECT count(*) AS n_texts, sum(c)::BIGINT AS n_chars, sum(k)::BIGINT AS n_token
     "stream_laps": f"WITH m AS (SELECT stream_id AS timer, read_no AS name, {_US.format('read_at')} AS at0 FROM (SELECT DISTINCT * FROM sentence_reads)) SELECT timer, name, at0 - coalesce(lag(at0) OVER (PARTITION BY timer ORDER BY at0, name), at0) AS duration FROM m",
     "suite_summary": """WITH r AS (SELECT l_returnflag AS name, sum(l_quantity) AS s, count(*) AS i FROM lineitem GROUP BY 1)
 SELECT count(*) AS n, arg_min(name, s / i) AS fastest, arg_max(name, s / i) AS slowest, round(avg(i / s), 9) AS avg_ops FROM r""",
-    "memory_stats": "WITH c AS (SELECT p_partkey AS ord, sum(CASE WHEN p_partkey % 3 = 0 THEN -p_size ELSE p_size END) OVER (ORDER BY p_partkey) AS now FROM part) SELECT arg_max(now, ord)::BIGINT AS current, greatest(max(now), 0)::BIGINT AS peak FROM c",
+    "memory_stats": "WITH c AS (SELECT p_partkey AS ord, sum(CASE WHEN p_partkey % 3 = 0 THEN -p_size ELSE p_size END) OVER (ORDER BY p_partkey) AS now FROM part), b AS (SELECT ord, now - least(0, min(now) OVER (ORDER BY ord)) AS held FROM c) SELECT arg_max(held, ord)::BIGINT AS current, max(held)::BIGINT AS peak FROM b",
 }

@@ -18,9 +18,11 @@ def table(spark: SparkSession, base: str, name: str) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for cut lineage: ``spark.checkpoint.dir`` if the session names one.
 
-    Only where it is unset (single-machine tests) a temporary folder is set.
+    Only where it is unset and the master is local (single-machine tests) a temporary folder is set.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not (spark.conf.get("spark.master", None) or "").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not named:
         named = tempfile.mkdtemp(prefix="tsumugi-")
     if not spark.sparkContext.getCheckpointDir():

@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 import os
+import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tsumugi.operators.delimited import tokenize as tokenize_records
 from tsumugi.operators.lexicon import ENTRY
 from tsumugi.operators.words import as_csv, as_dictionary_line, as_json, parse_lines
+from tsumugi.runtime import numbered
+
+INTEGER = re.compile(r"[+-]?[0-9]{1,9}\Z")
 
 # Folders in which a system dictionary is looked for, in this order, after one below the home folder; files of a dictionary.
 DICTIONARY_FOLDERS = (
@@ -54,15 +61,38 @@ def user_dictionary(spark: SparkSession, path: str) -> DataFrame:
     return parse_lines(spark.read.text(path).withColumnRenamed("value", "line")).where(F.col("error").isNull()).drop("line", "error")
 
 
+def _source_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Fields of source lexicon lines and the reason why a line is no entry; quoted fields may hold commas."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = batch.column(0).to_pylist()
+            rows = []
+            for line, fields, broken in zip(lines, *tokenize_records(lines)):
+                numbers = [int(x) if INTEGER.match(x) else None for x in fields[1:4]]
+                reason = "quoting" if broken >= 0 else "columns" if len(fields) < 5 else "number" if None in numbers or any(abs(x) > 32768 for x in numbers[2:]) else "surface" if not fields[0] else None
+                rows.append((line, reason, *((fields[0], *numbers, ",".join(fields[4:])) if reason is None else (None,) * 5)))
+            columns = list(zip(*rows)) if rows else [[]] * 7
+            types = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["line", "reason", "surface", "left_id", "right_id", "wcost", "feature"])
+
+    lines = spark.read.text(path).where(F.length("value") > 0)
+    return lines.mapInArrow(run, "line string, reason string, surface string, left_id int, right_id int, wcost int, feature string")
+
+
 def source_lexicon(spark: SparkSession, path: str) -> DataFrame:
-    """Lexicon entries of source files (surface, left id, right id, cost, feature...); no heading line."""
-    raw = spark.read.text(path).where(F.length("value") > 0)
-    part = F.split("value", ",", 5)
-    entry = raw.select(
-        F.get(part, 0).alias("surface"), F.xxhash64("value").bitwiseAND(F.lit(0x7FFFFFFF)).alias("word_id"), F.get(part, 1).try_cast("int").alias("left_id"), F.get(part, 2).try_cast("int").alias("right_id"),
-        F.lit(0).alias("pos_id"), F.get(part, 3).try_cast("int").alias("wcost"), F.get(part, 4).alias("feature"), F.lit(1).alias("layer"),
-    )
-    return entry.where("left_id is not null and right_id is not null and wcost is not null").select(*[c.split()[0] for c in ENTRY.split(", ")])
+    """Lexicon entries of source files (surface, left id, right id, cost, feature...); no heading line.
+
+    Word ids are consecutive in the order of the lines' text. Lines that are no entry are those
+    of source_lexicon_errors.
+    """
+    entries = numbered(_source_lines(spark, path).where(F.col("reason").isNull()), [F.col("line")], "word_id")
+    return entries.withColumn("pos_id", F.lit(0)).withColumn("layer", F.lit(1)).select(*[c.split()[0] for c in ENTRY.split(", ")])
+
+
+def source_lexicon_errors(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of source files that are no entry, with the reason: quoting, columns, number or surface."""
+    return _source_lines(spark, path).where(F.col("reason").isNotNull()).select("line", "reason")
 
 
 def matrix_text(spark: SparkSession, path: str) -> DataFrame:
@@ -84,20 +114,24 @@ def corpus(spark: SparkSession, path: str) -> DataFrame:
 
 
 def vocabulary(spark: SparkSession, path: str) -> DataFrame:
-    """word_id and feature of a vocabulary file; # begins a comment line."""
+    """word_id, feature and line_no (rising within the file) of a vocabulary file; # begins a comment line."""
     part = F.split("value", "\t", 2)
     rows = spark.read.text(path).where(~F.col("value").startswith("#") & (F.trim("value") != ""))
-    return rows.select(F.get(part, 0).try_cast("bigint").alias("word_id"), F.get(part, 1).alias("feature")).where("word_id is not null and feature is not null")
+    found = rows.select(F.get(part, 0).try_cast("bigint").alias("word_id"), F.get(part, 1).alias("feature"), F.monotonically_increasing_id().alias("line_no"))
+    return found.where("word_id is not null and feature is not null")
 
 
 def vectors_text(spark: SparkSession, path: str, words: DataFrame) -> DataFrame:
-    """word_id and embedding from text vectors, by the base form of ``words`` (word_id, feature); the largest id wins."""
+    """word_id and embedding from text vectors, by the base form of ``words`` (word_id, feature).
+
+    Of several words with one base form the last one counts: by line_no if there is one, else by word_id.
+    """
     raw = spark.read.text(path)
     part = F.split(F.trim("value"), r"\s+")
     head = raw.where(F.size(part) == 2).select(F.get(part, 1).try_cast("int")).first()
     dim = head[0] if head else 0
     base = F.get(F.split("feature", ","), 6)
-    ids = words.where(base.isNotNull() & (base != "*")).groupBy(base.alias("surface")).agg(F.max("word_id").alias("word_id"))
+    ids = words.where(base.isNotNull() & (base != "*")).groupBy(base.alias("surface")).agg(F.max_by("word_id", "line_no" if "line_no" in words.columns else "word_id").alias("word_id"))
     rows = raw.where(F.size(part) == dim + 1).select(F.get(part, 0).alias("surface"), F.transform(F.slice(part, 2, max(dim, 1)), lambda v: v.try_cast("float")).alias("embedding"))
     return rows.where(~F.exists("embedding", lambda v: v.isNull())).join(ids, "surface").select("word_id", "embedding")
 
