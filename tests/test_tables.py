@@ -220,3 +220,23 @@ def test_memory_never_falls_below_zero(spark):
 def test_rests_of_buffers(spark):
     df = spark.createDataFrame([(1, "これは。残り\nも"), (2, "全部。"), (3, ""), (4, None)], "text_id long, text string")
     assert {r.text_id: (r.pending, r.has_pending, r.pending_len) for r in se.pending(df).collect()} == {1: ("残り\nも", True, 10), 2: ("", False, 0), 3: ("", False, 0)}
+
+
+def test_nearest_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=6).astype(np.float32).tolist()) for i in range(60)] + [(90, [0.0] * 6), (91, [1.0]), (92, None)]
+    df = spark.createDataFrame(rows, "word_id long, embedding array<float>").repartition(3)
+    monkeypatch.setattr(ve, "QUERIES", 4)
+    got = {(r.word_id, r.rank_no): r.neighbour for r in ve.most_similar(df, df.where("word_id < 10"), 3).collect()}
+    m = np.array([v for i, v in rows[:60]])
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    for i in range(10):
+        order = [j for j in np.argsort(-(m @ m[i]), kind="stable") if j != i][:3]
+        assert [got[i, n] for n in (1, 2, 3)] == order
+    assert ve.most_similar(df, df.limit(0)).count() == 0
+
+
+def test_a_vocabulary_too_large_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(ve, "MOST_BYTES", 100)
+    with pytest.raises(ValueError):
+        ve.train_word2vec(spark.createDataFrame([([1, 2, 3, 1, 2, 3],)], "word_ids array<bigint>"), size=8, min_count=1)

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tsumugi.runtime import numbered
@@ -14,6 +15,9 @@ from tsumugi.runtime import numbered
 UNKNOWN_WORD = 4294967295  # fixed value
 STEP = 256  # pairs per update
 REPEATS = 4  # gradients of one word that an update adds up in full
+MOST_BYTES = 1 << 30  # of the two layers that a training task holds
+ROWS = 1024  # words of a layer that are averaged together
+QUERIES = 4096  # vectors compared with all others in one pass
 
 
 def lookup(tokens: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -77,23 +81,50 @@ def _step(a: np.ndarray, b: np.ndarray, touched: np.ndarray, pairs: list, table:
     h, out = a[context], b[targets]
     score = np.einsum("pkd,pd->pk", out, h)
     g = ((label - 1 / (1 + np.exp(-np.clip(score, -6, 6)))) * rate).astype(np.float32)
-    flat = targets.ravel()
-    for matrix, layer, rows, change in ((a, 0, context, np.einsum("pk,pkd->pd", g, out)), (b, 1, flat, (g[:, :, None] * h[:, None, :]).reshape(-1, a.shape[1]))):
-        n = np.bincount(rows, minlength=len(a))
-        change *= np.minimum(1.0, REPEATS / n[rows]).astype(np.float32)[:, None]  # all gradients of a step start from the same vectors
-        np.add.at(matrix, rows, change)
-        touched[:, layer] += n
+    for matrix, layer, rows, change in ((a, 0, context, np.einsum("pk,pkd->pd", g, out)), (b, 1, targets.ravel(), (g[:, :, None] * h[:, None, :]).reshape(-1, a.shape[1]))):
+        order = np.argsort(rows, kind="stable")
+        ids, first, n = np.unique(rows[order], return_index=True, return_counts=True)
+        # All gradients of a step start from the same vectors: of a word's n only the sum of REPEATS mean ones is taken.
+        matrix[ids] += np.add.reduceat(change[order], first, axis=0) * np.minimum(1.0, REPEATS / n).astype(np.float32)[:, None]
+        touched[ids, layer] += n
+
+
+def _mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Mean change of the words of each block, weighted by how often they were touched; parts come sorted by block."""
+    now, sums, n = None, None, None
+
+    def done() -> pa.RecordBatch:
+        mean = (sums / np.maximum(n, 1)[:, None]).astype(np.float32)
+        return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int64()), pa.array([mean.tobytes()], pa.binary())], names=["layer", "block", "mean"])
+
+    for batch in batches:
+        for layer, block, counts, deltas in zip(*(c.to_pylist() for c in batch.columns)):
+            if now is not None and (layer, block) != now:
+                yield done()
+                now = None
+            counted = np.frombuffer(counts, np.int64)
+            delta = np.frombuffer(deltas, np.float32).reshape(len(counted), -1)
+            if now is None:
+                now, sums, n = (layer, block), np.zeros(delta.shape), np.zeros(len(counted), np.int64)
+            sums += delta * counted[:, None]
+            n += counted
+    if now is not None:
+        yield done()
 
 
 def train_word2vec(lists: DataFrame, size: int = 100, window: int = 5, negative: int = 5, min_count: int = 10, sample: float = 1e-4, alpha: float = 0.025, min_alpha: float = 0.0001, epochs: int = 3, seed: int = 1, partitions: int | None = None) -> DataFrame:
     """word_id and embedding by skip-gram with negative sampling, averaged over partitions each epoch.
 
     Every partition trains on its own sentences from the shared vectors; the vectors are then
-    averaged weighted by the pairs that touched each word. The vocabulary (after min_count)
-    must fit into a task, as the vectors do.
+    averaged, in blocks of ROWS words, weighted by the pairs that touched each word. Both layers
+    of the vocabulary (after min_count) must fit into MOST_BYTES, which is checked first: the
+    tasks and the driver hold one copy each.
     """
     spark = lists.sparkSession
-    vocab = [(r.word_id, r.remapped_id, r.n, r.sample_prob) for r in vocabulary(lists, min_count, sample).orderBy("remapped_id").collect()]
+    ranked = vocabulary(lists, min_count, sample)
+    if (words := ranked.count()) * size * 8 > MOST_BYTES:
+        raise ValueError(f"{words} words of {size} dimensions exceed {MOST_BYTES} bytes; raise min_count or lower size")
+    vocab = [(r.word_id, r.remapped_id, r.n, r.sample_prob) for r in ranked.orderBy("remapped_id").collect()]
     if not vocab:
         raise ValueError("the vocabulary is empty")
     ids = {w: i for w, i, _, _ in vocab}
@@ -128,18 +159,65 @@ def train_word2vec(lists: DataFrame, size: int = 100, window: int = 5, negative:
             if waiting:
                 _step(a, b, touched, waiting, table, negative, rate, draw)
             for layer, matrix, old in ((0, a, weights.value[0]), (1, b, weights.value[1])):
-                rows = np.flatnonzero(touched[:, layer])
-                delta = (matrix[rows] - old[rows]) * touched[rows, layer][:, None]
-                yield pa.RecordBatch.from_arrays([pa.array([layer] * len(rows), pa.int32()), pa.array(rows, pa.int64()), pa.array(touched[rows, layer]), pa.array([d.tolist() for d in delta], pa.list_(pa.float32()))], names=["layer", "ix", "n", "delta"])
-
-        moved = base.mapInArrow(run, "layer int, ix long, n long, delta array<float>")
-        summed = moved.select("layer", "ix", "n", F.posexplode("delta").alias("d", "v")).groupBy("layer", "ix", "d").agg((F.sum("v") / F.sum("n")).alias("m"))
-        mean = summed.groupBy("layer", "ix").agg(F.array_sort(F.collect_list(F.struct("d", "m"))).getField("m").alias("delta"))
-        for r in mean.collect():
-            (syn0, syn1)[r.layer][r.ix] += np.array(r.delta, np.float32)
+                for at in range(0, len(a), ROWS):
+                    n = touched[at : at + ROWS, layer]
+                    if n.any():
+                        columns = [pa.array([layer], pa.int32()), pa.array([at // ROWS], pa.int64()), pa.array([n.tobytes()], pa.binary()), pa.array([(matrix[at : at + ROWS] - old[at : at + ROWS]).tobytes()], pa.binary())]
+                        yield pa.RecordBatch.from_arrays(columns, names=["layer", "block", "n", "delta"])
+
+        moved = base.mapInArrow(run, "layer int, block long, n binary, delta binary").repartition("layer", "block").sortWithinPartitions("layer", "block")
+        for r in moved.mapInArrow(_mean, "layer int, block long, mean binary").toLocalIterator():
+            mean = np.frombuffer(r.mean, np.float32).reshape(-1, size)
+            (syn0, syn1)[r.layer][r.block * ROWS : r.block * ROWS + len(mean)] += mean
+        weights.unpersist()
     return spark.createDataFrame([(w, syn0[i].tolist()) for w, i, _, _ in vocab], "word_id long, embedding array<float>")
 
 
+def most_similar(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """word_id, rank_no, neighbour and cosine of the k vectors closest to each query's, itself left out.
+
+    Queries (word_id, embedding) go to the tasks in blocks of QUERIES; each task keeps the k best
+    of its vectors per query. Vectors without length or of another dimension are no neighbours;
+    equal cosines are ranked by word id.
+    """
+    spark = vectors.sparkSession
+    found, block = [], []
+
+    def search(block: list[tuple[int, list[float]]]) -> DataFrame:
+        ids, matrix = np.array([i for i, _ in block]), np.array([v for _, v in block], np.float64)
+        shared = spark.sparkContext.broadcast((ids, matrix / np.maximum(np.linalg.norm(matrix, axis=1), 1e-30)[:, None]))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, matrix = shared.value
+            for batch in batches:
+                flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, matrix.shape[1])
+                norm = np.linalg.norm(flat, axis=1)
+                words = batch.column(0).to_numpy(zero_copy_only=False)
+                scores = matrix @ (flat / np.maximum(norm, 1e-30)[:, None]).T
+                scores[:, norm < 1e-15] = -np.inf
+                scores[ids[:, None] == words[None, :]] = -np.inf
+                order = np.lexsort((np.broadcast_to(words, scores.shape), -scores), axis=1)[:, :k]
+                of = np.repeat(np.arange(len(ids)), order.shape[1])
+                at = order.ravel()
+                kept = scores[of, at] > -np.inf
+                yield pa.RecordBatch.from_arrays([pa.array(ids[of[kept]]), pa.array(words[at[kept]]), pa.array(scores[of, at][kept])], names=["word_id", "neighbour", "cosine"])
+
+        fitting = vectors.where(F.col("embedding").isNotNull() & (F.size("embedding") == matrix.shape[1])).select(F.col("word_id").cast("long").alias("word_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+        return fitting.mapInArrow(run, "word_id long, neighbour long, cosine double")
+
+    for r in queries.where(F.col("embedding").isNotNull()).select("word_id", "embedding").toLocalIterator():
+        block.append((r.word_id, r.embedding))
+        if len(block) == QUERIES:
+            found.append(search(block))
+            block = []
+    if block:
+        found.append(search(block))
+    if not found:
+        return spark.createDataFrame([], "word_id long, rank_no int, neighbour long, cosine double")
+    order = Window.partitionBy("word_id").orderBy(F.desc("cosine"), "neighbour")
+    return reduce(DataFrame.unionByName, found).withColumn("rank_no", F.row_number().over(order)).where(F.col("rank_no") <= k).select("word_id", "rank_no", "neighbour", "cosine")
+
+
 def dense(vectors: DataFrame, max_word_id: int, dim: int) -> DataFrame:
     """Vectors for every id from 0 to ``max_word_id``, zeros where missing."""
     ids = vectors.sparkSession.range(0, max_word_id + 1).withColumnRenamed("id", "word_id")

@@ -81,12 +81,19 @@ def embedding_lookup(spark: SparkSession, base: str) -> DataFrame:
 
 
 def word2vec(spark: SparkSession, base: str) -> DataFrame:
-    """Dimensions of the trained words; without a word frequent enough there is no row."""
+    """Nearest words of every word whose id is divisible by 50, by vectors trained with the operator's
+    defaults; without a word frequent enough there is no row."""
     try:
-        vectors = ve.train_word2vec(corpus(spark, base).where(F.size("word_ids") > 1), size=16, window=3, min_count=MIN_COUNT, epochs=1)
+        vectors = ve.train_word2vec(corpus(spark, base).where(F.size("word_ids") > 1), min_count=MIN_COUNT)
     except ValueError:
-        return spark.createDataFrame([], "word_id long, dim int")
-    return vectors.select("word_id", F.size("embedding").alias("dim"))
+        return spark.createDataFrame([], "word_id long, rank_no int, neighbour long, cosine double")
+    return ve.most_similar(vectors, vectors.where(F.col("word_id") % 50 == 0), 5)
+
+
+def similar_embeddings(spark: SparkSession, base: str) -> DataFrame:
+    """The 5 nearest vectors of every one whose id is divisible by 50."""
+    vectors = table(spark, base, "embeddings").select(F.col("vec_id").alias("word_id"), "embedding")
+    return ve.most_similar(vectors, vectors.where(F.col("word_id") % 50 == 0), 5).select("word_id", "rank_no", "neighbour", F.round("cosine", 6).alias("cosine"))
 
 
 def histogram_events(spark: SparkSession, base: str) -> DataFrame:
@@ -142,7 +149,7 @@ _US = "epoch_us({0})"
 
 QUERIES = {
     f.__name__: f
-    for f in (boundary_sentences, pending_rests, context_windows, overlapping_chunks, boundary_chunks, stream_progress, vocabulary, context_pairs, mean_pooling, cosine_to_mean, embedding_lookup, word2vec)
+    for f in (boundary_sentences, pending_rests, context_windows, overlapping_chunks, boundary_chunks, stream_progress, vocabulary, context_pairs, mean_pooling, cosine_to_mean, embedding_lookup, word2vec, similar_embeddings)
     + (histogram_events, log_histogram_orders, percentiles_events, parse_stats, stream_laps, suite_summary, memory_stats)
 }
 SQL = {
@@ -170,6 +177,8 @@ SELECT a.w AS center, b.w AS context, count(*) AS n FROM w a JOIN w b ON a.s = b
     "cosine_to_mean": f"""WITH {_MEAN}, c AS (SELECT label, list(v ORDER BY i) AS center FROM m GROUP BY label)
 SELECT vec_id, round(list_sum(list_transform(list_zip(embedding, center), lambda x: x[1]::DOUBLE * x[2])) / (sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x))) * sqrt(list_sum(list_transform(center, lambda x: x * x)))), 4) AS cosine FROM embeddings JOIN c USING (label)""",
     "embedding_lookup": "WITH m AS (SELECT DISTINCT morph_id, word_id FROM morphemes) SELECT morph_id, len(embedding) AS dim, embedding[1]::DOUBLE AS first FROM m LEFT JOIN embeddings ON vec_id = word_id AND word_id <> 4294967295",
+    "similar_embeddings": """WITH q AS (SELECT a.vec_id AS word_id, b.vec_id AS neighbour, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS c FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY word_id ORDER BY c DESC, neighbour) AS rank_no FROM q) SELECT word_id, rank_no, neighbour, round(c, 6) AS cosine FROM r WHERE rank_no <= 5""",
     "histogram_events": f"WITH {_BUCKETS} SELECT * FROM k",
     "log_histogram_orders": f"""WITH b AS (SELECT unnest(range({len(LOG_BOUNDS) - 1})) AS bucket_no, unnest([{', '.join(map(repr, LOG_BOUNDS[:-1]))}]) AS lo, unnest([{', '.join(map(repr, LOG_BOUNDS[1:]))}]) AS hi),
 v AS (SELECT l_extendedprice / 100 AS v FROM lineitem WHERE l_extendedprice IS NOT NULL), n AS (SELECT coalesce(bucket_no, {len(LOG_BOUNDS) - 2}) AS k, count(*) AS n FROM v LEFT JOIN b ON v >= lo AND v < hi GROUP BY 1) SELECT bucket_no, coalesce(n, 0) AS n FROM b LEFT JOIN n ON k = bucket_no""",
