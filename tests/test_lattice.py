@@ -158,6 +158,24 @@ def test_k_shortest_paths_and_diversity(spark):
     assert (d.n_nodes, d.n_edges, d.mean_distance) == (4, 4, 0.5)
 
 
+def test_k_shortest_paths_by_search_and_by_joins(spark, monkeypatch):
+    rng = random.Random(13)
+    nodes, edges = [], []
+    for g in range(12):
+        n = rng.randrange(3, 9)
+        nodes += [(g, i, rng.randrange(4)) for i in range(n)]
+        edges += [(g, a, b, rng.randrange(4)) for a in range(n) for b in range(a + 1, n) if rng.random() < 0.6]
+    nodes, edges = spark.createDataFrame(nodes, "graph_id int, node int, cost int"), spark.createDataFrame(edges, "graph_id int, src int, dst int, cost int")
+    rows = []
+    for most in (10**6, 1):
+        monkeypatch.setattr(pa, "MOST_EDGES", most)
+        rows.append(sorted((r.graph_id, r.rank_no, r.cost, r.path) for r in pa.k_shortest(nodes, edges, 0, 2, 4).collect()))
+    assert rows[0] == rows[1] and rows[0]
+    assert pa.k_shortest(nodes.limit(0), edges.limit(0), 0, 2).count() == 0
+    with pytest.raises(ValueError):
+        pa.cheapest_paths({0: 0, 1: 0}, [(0, 1, 1), (1, 0, 1)], 0, 5, 2)
+
+
 def test_cost_arrays(spark):
     df = spark.createDataFrame([([10, 20, 5, 15], [2, 1, 3, 1]), ([], [])], "p array<int>, c array<int>")
     rows = df.select(pa.best_predecessor(F.col("p"), F.col("c")).alias("b"), pa.add_costs(F.col("p"), 2147483640).alias("s")).collect()

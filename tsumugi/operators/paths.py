@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tsumugi.runtime import durable
 
+MOST_EDGES = 1_000_000  # of one graph that is searched in one task
+
 
 def path_analysis(tokens: DataFrame) -> DataFrame:
     """Per path: cost sums, mean, dearest (last of equals) and cheapest (first of equals) token, and ratio."""
@@ -65,20 +70,95 @@ def token_distribution(paths: DataFrame) -> DataFrame:
     return dense.join(counted, "n_tokens", "left").select("n_tokens", F.coalesce("n_texts", F.lit(0)).alias("n_texts"))
 
 
+def cheapest_paths(costs: dict[int, int], edges: list[tuple[int, int, int]], start: int, end: int, keep: int) -> list[tuple[int, list[int]]]:
+    """The ``keep`` cheapest paths of an acyclic graph as (cost, nodes), equal costs in the order of their nodes."""
+    if start not in costs:
+        return []
+    after: dict[int, list[tuple[int, int]]] = {}
+    for src, dst, cost in edges:
+        if dst in costs:
+            after.setdefault(src, []).append((dst, cost + costs[dst]))
+    order, seen, stack = [], {start: 1}, [(start, iter(after.get(start, ())))]
+    while stack:
+        node, rest = stack[-1]
+        for dst, _ in rest:
+            if seen.get(dst) == 1:
+                raise ValueError("the graph has a cycle")
+            if dst not in seen:
+                seen[dst] = 1
+                stack.append((dst, iter(after.get(dst, ()))))
+                break
+        else:
+            seen[node] = 2
+            order.append(node)
+            stack.pop()
+    best: dict[int, list[tuple[int, list[int]]]] = {start: [(costs[start], [start])]}
+    for node in reversed(order):
+        paths = best[node] = sorted(best.get(node, []))[:keep]
+        if node == end:
+            continue
+        for dst, step in after.get(node, ()):
+            best.setdefault(dst, []).extend((cost + step, [*path, dst]) for cost, path in paths)
+    return sorted(best.get(end, []))[:keep]
+
+
 def k_shortest(node_costs: DataFrame, edges: DataFrame, start: int, end: int, k: int = 5, threshold: int | None = None, beam: int | None = None, backward: bool = False) -> DataFrame:
     """The k cheapest paths of a graph given as (graph_id, node, cost) and (graph_id, src, dst, cost).
 
-    Grown breadth-first over the edge table, one join per length; at each node only the k
-    cheapest partial paths are kept (``beam`` keeps fewer). ``threshold`` drops paths that
-    cost more than the best plus it. ``backward`` grows from the end along reversed edges;
-    the paths are the same. Graphs must be acyclic; a path is an array of nodes.
+    The rows of each graph meet once and are searched together; at each node only the k
+    cheapest partial paths are kept (``beam`` keeps fewer). If a graph has more than MOST_EDGES
+    edges, all are grown by joins instead. ``threshold`` drops paths that cost more than the
+    best plus it. ``backward`` grows from the end along reversed edges; the paths are the same.
+    Graphs must be acyclic; a path is an array of nodes.
     """
     if backward:
         grown = k_shortest(node_costs, edges.select("graph_id", F.col("dst").alias("src"), F.col("src").alias("dst"), "cost"), end, start, k, threshold, beam)
         return grown.withColumn("path", F.reverse("path"))
     keep = min(k, beam) if beam else k
-    steps = edges.join(node_costs.select("graph_id", F.col("node").alias("dst"), F.col("cost").alias("_n")), ["graph_id", "dst"]).select("graph_id", "src", "dst", (F.col("cost") + F.col("_n")).alias("_step"))
-    frontier = node_costs.where(F.col("node") == start).select("graph_id", F.array("node").alias("path"), F.col("cost").cast("long").alias("cost"))
+    largest = edges.groupBy("graph_id").count().agg(F.max("count")).first()[0] or 0
+    done = _searched(node_costs, edges, start, end, keep) if largest <= MOST_EDGES else _grown(node_costs, edges, start, end, keep)
+    ranked = done.withColumn("rank_no", F.row_number().over(Window.partitionBy("graph_id").orderBy("cost", "path"))).where(F.col("rank_no") <= k)
+    if threshold is not None:
+        ranked = ranked.withColumn("_best", F.min("cost").over(Window.partitionBy("graph_id"))).where(F.col("cost") <= F.col("_best") + threshold).drop("_best")
+    return ranked.select("graph_id", "rank_no", "path", "cost")
+
+
+def _searched(node_costs: DataFrame, edges: DataFrame, start: int, end: int, keep: int) -> DataFrame:
+    key = node_costs.schema["graph_id"].dataType.simpleString()
+    number = lambda c: F.col(c).cast("long").alias(c)
+    nodes = node_costs.select("graph_id", F.lit(None).cast("long").alias("src"), F.col("node").cast("long").alias("dst"), number("cost"))
+    rows = nodes.unionByName(edges.select("graph_id", number("src"), number("dst"), number("cost")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, costs, steps = None, {}, []
+
+        def solved() -> pa.RecordBatch:
+            paths = cheapest_paths(costs, steps, start, end, keep)
+            columns = [pa.array([now] * len(paths), kind), pa.array([p for _, p in paths], pa.list_(pa.int64())), pa.array([c for c, _ in paths], pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names=["graph_id", "path", "cost"])
+
+        for batch in batches:
+            kind = batch.column(0).type
+            for graph, src, dst, cost in zip(*(c.to_pylist() for c in batch.columns)):
+                if graph != now:
+                    if costs:
+                        yield solved()
+                    now, costs, steps = graph, {}, []
+                if src is None:
+                    costs[dst] = cost
+                else:
+                    steps.append((src, dst, cost))
+        if costs:
+            yield solved()
+
+    together = rows.where(F.col("graph_id").isNotNull()).repartition("graph_id").sortWithinPartitions("graph_id")
+    return together.mapInArrow(run, f"graph_id {key}, path array<long>, cost long")
+
+
+def _grown(node_costs: DataFrame, edges: DataFrame, start: int, end: int, keep: int) -> DataFrame:
+    """The same grown breadth-first over the edge table, one join per length."""
+    steps = edges.join(node_costs.select("graph_id", F.col("node").alias("dst"), F.col("cost").alias("_n")), ["graph_id", "dst"]).select("graph_id", F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), (F.col("cost") + F.col("_n")).alias("_step"))
+    frontier = node_costs.where(F.col("node") == start).select("graph_id", F.array(F.col("node").cast("long")).alias("path"), F.col("cost").cast("long").alias("cost"))
     done = frontier.where(F.lit(start == end))
     longest = node_costs.groupBy("graph_id").count().agg(F.max("count")).first()[0] or 0
     for _ in range(int(longest) - 1):
@@ -91,10 +171,7 @@ def k_shortest(node_costs: DataFrame, edges: DataFrame, start: int, end: int, k:
             break
         done = done.unionByName(grown.where(F.col("_at") == end).drop("_at"))
         frontier = grown.where(F.col("_at") != end).drop("_at")
-    ranked = done.withColumn("rank_no", F.row_number().over(Window.partitionBy("graph_id").orderBy("cost", "path"))).where(F.col("rank_no") <= k)
-    if threshold is not None:
-        ranked = ranked.withColumn("_best", F.min("cost").over(Window.partitionBy("graph_id"))).where(F.col("cost") <= F.col("_best") + threshold).drop("_best")
-    return ranked.select("graph_id", "rank_no", "path", "cost")
+    return done
 
 
 def path_diversity(paths: DataFrame) -> DataFrame:
