@@ -9,7 +9,7 @@ from tsumugi.operators import exports as ex
 from tsumugi.operators import lattice as la
 from tsumugi.operators import paths as pa
 from tsumugi.operators import viterbi as vi
-from tsumugi.operators.lexicon import CATEGORIES, ENTRY, GROUPING, KANJI_NUMERALS, NO_CONNECTION, SAMPLES, UNKNOWN, UNKNOWN_COST, Lexicon, example_lexicon
+from tsumugi.operators.lexicon import CATEGORIES, ENTRY, GROUPING, KANJI_NUMERALS, NO_CONNECTION, RUNTIME_CONTEXT, SAMPLES, UNKNOWN, UNKNOWN_COST, Lexicon, example_lexicon
 from tsumugi.runtime import table
 
 # A lexicon of our own: whole words of part names and shorter words they also divide into.
@@ -169,12 +169,15 @@ def k_shortest_part(spark: SparkSession, base: str) -> DataFrame:
 
 
 def request_lexicon(spark: SparkSession, base: str) -> Lexicon:
-    """Words of the analysed requests, with run-time words and connection costs by part of speech."""
-    morphemes = table(spark, base, "morphemes").where((F.col("word_id") != 4294967295) & F.col("wcost").isNotNull())
-    words = morphemes.groupBy("surface", "word_id", "pos_id").agg(F.min("wcost").alias("wcost"), F.min("feature").alias("feature"))
+    """Words of the analysed requests, with run-time words and connection costs by part of speech.
+
+    A word without a cost costs 0, a run-time word without context ids has RUNTIME_CONTEXT.
+    """
+    morphemes = table(spark, base, "morphemes").where(F.col("word_id") != 4294967295)
+    words = morphemes.groupBy("surface", "word_id", "pos_id").agg(F.coalesce(F.min("wcost"), F.lit(0)).alias("wcost"), F.min("feature").alias("feature"))
     entries = words.select("surface", "word_id", F.col("pos_id").alias("left_id"), F.col("pos_id").alias("right_id"), "pos_id", "wcost", "feature", F.lit(1).alias("layer"))
-    overlay = table(spark, base, "overlay_entries").where("wcost is not null and left_id is not null and right_id is not null and surface <> ''").groupBy("surface").agg(F.max_by(F.struct("left_id", "right_id", "wcost", "feature"), F.struct("updated_at", "overlay_id")).alias("e"))
-    added = overlay.select("surface", F.lit(None).cast("long").alias("word_id"), "e.left_id", "e.right_id", F.lit(0).alias("pos_id"), "e.wcost", F.coalesce("e.feature", F.lit("*")).alias("feature"), F.lit(0).alias("layer"))
+    overlay = table(spark, base, "overlay_entries").where("surface <> ''").groupBy("surface").agg(F.max_by(F.struct("left_id", "right_id", "wcost", "feature"), F.struct("updated_at", "overlay_id")).alias("e"))
+    added = overlay.select("surface", F.lit(None).cast("long").alias("word_id"), F.coalesce("e.left_id", F.lit(RUNTIME_CONTEXT)).alias("left_id"), F.coalesce("e.right_id", F.lit(RUNTIME_CONTEXT)).alias("right_id"), F.lit(0).alias("pos_id"), F.coalesce("e.wcost", F.lit(0)).alias("wcost"), F.coalesce("e.feature", F.lit("*")).alias("feature"), F.lit(0).alias("layer"))
     costs = (F.col("right_id") * 31 + F.col("left_id") * 17) % 211
     numbers = spark.range(0, MOST_POS).select(F.col("id").cast("int").alias("right_id"), F.explode(F.sequence(F.lit(0), F.lit(MOST_POS - 1))).alias("left_id"))
     return Lexicon.of(entries, numbers.withColumn("cost", costs)).with_entries(added)
@@ -185,6 +188,11 @@ def tokenize_requests(spark: SparkSession, base: str) -> DataFrame:
     return vi.tokenize(texts, request_lexicon(spark, base)).select("text_id", "token_ix", "surface", "word_id", "pos_id", "wcost", "is_unknown", "path_cost")
 
 
+def tokenize_costs(spark: SparkSession, base: str) -> DataFrame:
+    """Cost of the best segmentation of every request under the words of the analysed requests."""
+    return vi.tokenize(request_texts(spark, base), request_lexicon(spark, base)).groupBy("text_id").agg(F.max("path_cost").alias("cost"))
+
+
 _WORDS = ", ".join(f"('{w}', {left}, {right}, {cost})" for w, left, right, cost in WORDS)
 _CELLS = ", ".join(f"({r}, {c}, {cost})" for r, c, cost in CELLS)
 PATHS_SQL = f"""
@@ -244,7 +252,7 @@ QUERIES = {
     f.__name__: f
     for f in (viterbi_part_tokens, viterbi_part_costs, wakati_part, kbest_part, lattice_nodes_part, lattice_edges_part, lattice_stats_part, best_path_edges_part, what_if_cost, path_analysis_part)
     + (path_comparison_part, segmentation_report, token_distribution, connection_stats, path_diversity_part, unknown_nodes_requests, tokenize_requests)
-    + (unknown_templates_requests, request_costs, n_best_part, dot_part, k_shortest_part)
+    + (unknown_templates_requests, request_costs, n_best_part, dot_part, k_shortest_part, tokenize_costs)
 }
 SQL = {
     "viterbi_part_tokens": PATHS_SQL + "SELECT text_id, token_ix, t.w AS surface, t.wcost AS wcost, t.ccost AS ccost FROM tokens",
@@ -288,6 +296,29 @@ walk(text_id, pos, rid, cost) USING KEY (text_id, pos, rid) AS (
   GROUP BY n.text_id, n.en, n.rid HAVING min(w.cost + p.cost + n.wcost) < min(coalesce(o.cost, 9e15::BIGINT))
 )
 SELECT t.text_id, min(w.cost + p.cost)::BIGINT AS cost FROM t JOIN walk w ON w.text_id = t.text_id AND w.pos = length(t.text) JOIN price p ON p.rid = w.rid AND p.lid = 0 WHERE t.text <> '' GROUP BY t.text_id""",
+    "tokenize_costs": f"""
+WITH RECURSIVE t AS (SELECT DISTINCT request_id AS text_id, text FROM parse_requests WHERE text IS NOT NULL AND text <> ''),
+words AS (
+  SELECT surface AS w, coalesce(pos_id, -1) AS lid, coalesce(pos_id, -1) AS rid, coalesce(min(wcost), 0) AS wcost FROM morphemes WHERE word_id <> 4294967295 AND surface <> '' GROUP BY surface, word_id, pos_id
+  UNION ALL SELECT surface, coalesce(left_id, {RUNTIME_CONTEXT}), coalesce(right_id, {RUNTIME_CONTEXT}), coalesce(wcost, 0) FROM (SELECT *, row_number() OVER (PARTITION BY surface ORDER BY updated_at DESC NULLS LAST, overlay_id DESC) AS r FROM overlay_entries WHERE surface <> '') WHERE r = 1),
+spots AS (SELECT text_id, text, i, substr(text, i + 1, 1) AS c FROM (SELECT text_id, text, unnest(range(length(text))) AS i FROM t)),
+k AS (SELECT *, {_CATEGORY} AS cat FROM spots), b AS (SELECT *, CASE WHEN lag(cat) OVER (PARTITION BY text_id ORDER BY i) = cat THEN 0 ELSE 1 END AS b FROM k),
+g AS (SELECT *, sum(b) OVER (PARTITION BY text_id ORDER BY i) AS isl FROM b), r AS (SELECT *, max(i) OVER (PARTITION BY text_id, isl) - i + 1 AS run FROM g),
+keys AS (SELECT text_id, i, substr(text, i + 1, n) AS w, n FROM (SELECT *, unnest(range(1, (SELECT max(length(w)) FROM words) + 1)) AS n FROM spots) WHERE i + n <= length(text)),
+known AS (SELECT text_id, i AS st, i + n AS en, lid, rid, wcost FROM keys JOIN words USING (w)),
+bare AS (SELECT r.* FROM r ANTI JOIN known k ON k.text_id = r.text_id AND k.st = r.i),
+unknown AS (SELECT text_id, i AS st, i + n AS en, 0 AS lid, 0 AS rid, {UNKNOWN_COST} AS wcost FROM (SELECT *, unnest(range(1, CASE WHEN cat IN ({_GROUPING}) THEN run ELSE 1 END + 1)) AS n FROM bare)),
+nodes AS (SELECT text_id, st, en, lid, rid, min(wcost) AS wcost FROM (SELECT * FROM known UNION ALL SELECT * FROM unknown) GROUP BY ALL),
+rights AS (SELECT DISTINCT rid FROM nodes UNION SELECT 0), lefts AS (SELECT DISTINCT lid FROM nodes UNION SELECT 0),
+price AS (SELECT rid, lid, CASE WHEN rid BETWEEN 0 AND {MOST_POS - 1} AND lid BETWEEN 0 AND {MOST_POS - 1} THEN (rid * 31 + lid * 17) % 211 ELSE {NO_CONNECTION} END AS cost FROM rights CROSS JOIN lefts),
+walk(text_id, pos, rid, cost) USING KEY (text_id, pos, rid) AS (
+  SELECT text_id, 0::BIGINT, 0, 0::BIGINT FROM t
+  UNION
+  SELECT n.text_id, n.en, n.rid, min(w.cost + p.cost + n.wcost) AS cost FROM walk w JOIN nodes n ON n.text_id = w.text_id AND n.st = w.pos JOIN price p ON p.rid = w.rid AND p.lid = n.lid
+  LEFT JOIN recurring.walk o ON o.text_id = n.text_id AND o.pos = n.en AND o.rid = n.rid
+  GROUP BY n.text_id, n.en, n.rid HAVING min(w.cost + p.cost + n.wcost) < min(coalesce(o.cost, 9e15::BIGINT))
+)
+SELECT t.text_id, min(w.cost + p.cost)::BIGINT AS cost FROM t JOIN walk w ON w.text_id = t.text_id AND w.pos = length(t.text) JOIN price p ON p.rid = w.rid AND p.lid = 0 GROUP BY t.text_id""",
     "n_best_part": PATHS_SQL + """, first AS (SELECT text, min(text_id) AS text_id FROM texts GROUP BY text),
 lines AS (SELECT text, path_no, cost, array_to_string(list_transform(toks, lambda x: x.w || chr(9) || CASE WHEN x.wcost = 10000 THEN '未知語,ALPHA' ELSE '名詞,一般,*,*,*,*,' || x.w || ',' || x.w || ',' || x.w END), chr(10)) AS body FROM ranked WHERE path_no <= 2)
 SELECT text_id, string_agg('# ' || path_no || ' (cost=' || cost || ')' || chr(10) || body || chr(10) || 'EOS' || chr(10), '' ORDER BY path_no) AS n_best FROM first JOIN lines USING (text) GROUP BY text_id""",

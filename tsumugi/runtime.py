@@ -42,8 +42,10 @@ def spread(df: DataFrame) -> DataFrame:
     Inputs of many splits (every large table) are left alone. Only what would leave cores
     idle is redistributed before CPU-bound Python work: scans of fewer splits than cores,
     and shuffled rows so few that the adaptive planner would merge them into a few tasks.
-    Nothing is run to find this out.
+    Nothing is run to find this out. A session that does not show its plans gets ``df`` back.
     """
+    if not hasattr(df, "_jdf"):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     execution = df._jdf.queryExecution()
     if execution.executedPlan().getClass().getSimpleName() == "AdaptiveSparkPlanExec":
