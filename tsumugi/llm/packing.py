@@ -137,10 +137,13 @@ class Places:
                     each.append(n)
                     total += n * times
         self.starts, self.bases, self.each = (np.array(x, np.int64) for x in (starts, bases, each))
+        keys = np.array([p << 40 | n for p, n in self.offset], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.offsets = keys[order], np.array(list(self.offset.values()), np.int64)[order]
 
     def container(self, packs: np.ndarray, lengths: np.ndarray, ranks: np.ndarray) -> np.ndarray:
         """Containers, from 1, of items with ranks from 0."""
-        at = np.fromiter((self.offset[p, n] for p, n in zip(packs.tolist(), lengths.tolist())), np.int64, len(ranks)) + ranks
+        at = self.offsets[np.searchsorted(self.keys, packs.astype(np.int64) << 40 | lengths)] + ranks
         i = np.searchsorted(self.starts, at, side="right") - 1
         return self.bases[i] + (at - self.starts[i]) // self.each[i] + 1
 
