@@ -80,6 +80,20 @@ def test_rejected_and_loaded_lines(spark):
     assert de.parse_dictionary_lines(df.limit(0)).count() == 0
 
 
+def test_records_of_files(spark, tmp_path):
+    rows = [["a", "b\nc", "d", "1"], ['q"u,x', "", "", "2"], ["x" * 700 + "\n" + "y" * 300, "b", "c", "3"], ["plain", "r", "p", "4"]]
+    out = io.StringIO()
+    csv.writer(out, lineterminator="\n").writerows(rows)
+    text = out.getvalue() + 'bad"quote,b,c,5\nafter,b,c,6\r\n"open,b\nrest'
+    found = de.records(text)
+    fields, broken = de.tokenize([x for _, x in found])
+    assert fields[:4] == rows and [b >= 0 for b in broken] == [False] * 4 + [True, False, True]
+    assert all(text.startswith(x, a) for a, x in found) and de.records("") == [] and [x for _, x in de.records("a\n\nb\n")] == ["a", "", "b"]
+    (tmp_path / "user.csv").write_text(text)
+    parsed = {r.line[:5]: r.reason for r in de.parse_dictionary_lines(de.read_records(spark, str(tmp_path / "user.csv"), "user")).join(de.read_records(spark, str(tmp_path / "user.csv"), "user").select("row_id", "line"), "row_id").collect()}
+    assert parsed['a,"b\n'] is None and parsed["bad\"q"] == "quoting" and parsed["after"] is None and parsed['"open'] == "quoting"
+
+
 CASES = {
     "名詞,一般,*,*,*,*,東京,トウキョウ,トーキョー": ["名詞", "一般", "*", "*", "*", "*", "東京", "トウキョウ", "トーキョー"],
     "名詞、一般、*、*、*、*、東京、トウキョウ、トーキョー、": ["名詞", "一般", "*", "*", "*", "*", "東京", "トウキョウ", "トーキョー", ""],

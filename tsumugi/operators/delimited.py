@@ -19,15 +19,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsumugi.runtime import spread
+from tsumugi.runtime import numbered, spread
 
 # States: start of a field, in a plain field, in a quoted field, after a quote inside a
 # quoted field, malformed.
 START, PLAIN, QUOTED, CLOSED, BROKEN = range(5)
-DELIMITER, QUOTE, OTHER, END, NOTHING = range(5)
+DELIMITER, QUOTE, OTHER, END, NOTHING, NEWLINE = range(6)
 NEXT = np.array(
     [
         [START, START, QUOTED, START, BROKEN],  # delimiter
@@ -35,6 +35,7 @@ NEXT = np.array(
         [PLAIN, PLAIN, QUOTED, BROKEN, BROKEN],  # any other character
         [START, START, START, START, START],  # end of the record
         [START, PLAIN, QUOTED, CLOSED, BROKEN],  # padding
+        [START, START, QUOTED, START, START],  # line break in a file: ends a record outside quotations
     ],
     dtype=np.uint8,
 )
@@ -117,6 +118,25 @@ def tokenize(lines: list[str], delimiter: str = ",", quote: str = '"') -> tuple[
     return fields, broken_at.tolist()
 
 
+def records(text: str, delimiter: str = ",", quote: str = '"') -> list[tuple[int, str]]:
+    """Offset and text of every record of a file: records end at line breaks outside quotations.
+
+    The states at all line breaks come from the chunks' transition functions. A quotation that
+    is never closed reaches to the end of the file; that record fails for its quoting.
+    """
+    if not text:
+        return []
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    classes = np.full(len(points), OTHER, np.uint8)
+    classes[points == ord(delimiter)] = DELIMITER
+    classes[points == ord(quote)] = QUOTE
+    classes[points == 10] = NEWLINE
+    states, _ = compose(classes)
+    ends = np.flatnonzero((points == 10) & (states != QUOTED)).tolist()
+    starts = [0, *(e + 1 for e in ends)]
+    return [(a, text[a:b].removesuffix("\r")) for a, b in zip(starts, [*ends, len(text)]) if a < len(text)]
+
+
 def _whole(value: str) -> int | None:
     return int(value) if COST.match(value) and len(value) < 10 else None
 
@@ -156,6 +176,23 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+def read_records(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """Raw records of dictionary files as parse_dictionary_lines takes them: row_id, kind, line, and file and offset.
+
+    A file is read by one task; row ids rise with the offset within it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, data in zip(*(c.to_pylist() for c in batch.columns)):
+                found = records(data.decode("utf-8", "replace"))
+                columns = [pa.array([name] * len(found), pa.string()), pa.array([a for a, _ in found], pa.int64()), pa.array([x for _, x in found], pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["file", "offset", "line"])
+
+    rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, offset long, line string")
+    return numbered(rows, [F.col("file"), F.col("offset")], "row_id", 1).select("row_id", F.lit(kind).alias("kind"), "line", "file", "offset")
+
+
 def parse_dictionary_lines(lines: DataFrame) -> DataFrame:
     """Loaded entries (reason NULL) and rejected lines (reason set) of raw dictionary lines.
 
