@@ -191,3 +191,17 @@ def test_path_analysis(spark):
     assert (s.n_tokens, s.n_chars, s.tokens_per_text) == (13, 30, 6.5)
     assert {r.n_tokens: r.n_texts for r in pa.token_distribution(report).collect()}[6] == 0
     assert pa.segmentation_report(report.limit(0)).first().tokens_per_text == 0.0
+
+
+def test_entries_of_the_search(spark):
+    words, lex, cells = lexicon(spark)
+    df = spark.createDataFrame([(1, "abaz東"), (2, "b"), (3, None)], "text_id long, text string")
+    rows = la.search_entries(df, lex).collect()
+    best = vi.tokenize(df, lex).where("text_id = 1").collect()
+    on = sorted((r.end_pos, r.surface) for r in rows if r.text_id == 1 and r.on_best_path)
+    assert on == sorted((t.end_pos, t.surface) for t in best)
+    last = max((r for r in rows if r.text_id == 1 and r.on_best_path), key=lambda r: r.end_pos)
+    assert last.cumulative_cost + cells.get((dict((t.end_pos, t.right_id) for t in best)[5], 0), NO_CONNECTION) == best[0].path_cost
+    for r in rows:
+        others = [x.cumulative_cost for x in rows if x.text_id == r.text_id and x.end_pos == r.end_pos and not x.on_best_path]
+        assert r.cost_delta == (min(others) - r.cumulative_cost if r.on_best_path and others else None)

@@ -12,6 +12,7 @@ from tsumugi.operators.nested import flatten_entities
 from tsumugi.operators.viterbi import tokenize
 from tsumugi.plans.streams import drain
 from tsumugi.sources import binary as bi
+from tsumugi.sources.build import build
 from tsumugi.sources import files as fi
 from tsumugi.streaming.sentences import SentenceBuffer, cut, event_rates, stream_sentences
 
@@ -167,3 +168,17 @@ def test_streams(spark, tmp_path):
     events.coalesce(1).write.parquet(str(tmp_path / "events"))
     rates = drain(event_rates(spark.readStream.schema("event_type string, value double, ts timestamp").parquet(str(tmp_path / "events"))), str(tmp_path))
     assert [(r.n, r.total) for r in rates.collect()] == [(2, 3.0)]
+
+
+def test_build_job(spark, tmp_path):
+    (tmp_path / "out").mkdir()
+    (tmp_path / "source.csv").write_text('東京,1,1,5,名詞,"a,b"\n京都,1,1,5,名詞\n"bad,1\n')
+    (tmp_path / "dump.json").write_text('[\n{"id":"Q1490","labels":{"ja":{"value":"東京"}},"aliases":{"ja":[{"value":"東京都"}]},"sitelinks":{"a":{"title":"x"}}},\n{"id":"Q7","labels":{"ja":{"value":"東京"}}}\n]\n')
+    counts = build(spark, str(tmp_path / "source.csv"), str(tmp_path / "dump.json"), str(tmp_path / "out"))
+    assert counts == {"n_entries": 3, "n_with_entities": 1, "n_candidates": 2}
+    lines = [r.value for r in spark.read.text(str(tmp_path / "out/extended.csv")).collect()]
+    base = "http://www.wikidata.org/entity/"
+    assert sorted(lines)[-1] == f'東京,1,1,5,名詞,"a,b",2,"{base}Q1490|{base}Q7"' and "京都,1,1,5,名詞,0,0" in lines
+    entities = fi.surface_map(spark, str(tmp_path / "out/surface_map.json")).collect()
+    assert {(r.surface, r.uri) for r in entities} == {("東京", base + "Q1490"), ("東京", base + "Q7"), ("東京都", base + "Q1490")}
+    assert {r.uri for r in bi.read_pool(spark, str(tmp_path / "out/semantic.bin")).collect()} == {base + "Q1490", base + "Q7"}

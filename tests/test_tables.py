@@ -240,3 +240,13 @@ def test_a_vocabulary_too_large_is_refused(spark, monkeypatch):
     monkeypatch.setattr(ve, "MOST_BYTES", 100)
     with pytest.raises(ValueError):
         ve.train_word2vec(spark.createDataFrame([([1, 2, 3, 1, 2, 3],)], "word_ids array<bigint>"), size=8, min_count=1)
+
+
+def test_entities_once_per_uri_and_ordered_words(spark):
+    df = spark.createDataFrame([([("u", 0.5), ("v", 0.1), ("u", 0.9)],), ([],), (None,)], "e array<struct<uri:string,confidence:double>>")
+    got = [r[0] and [tuple(x) for x in r[0]] for r in df.select(en.distinct_entities(F.col("e"))).collect()]
+    assert got == [[("u", 0.5), ("v", 0.1)], [], None]
+    words = spark.createDataFrame([("b", 2), ("a", 3), ("c", 2)], "surface string, cost int")
+    assert [r.surface for r in wo.sorted_by_cost(words).collect()] == ["b", "c", "a"] and [r.surface for r in wo.sorted_by_surface(words).collect()] == ["a", "b", "c"]
+    errors = wo.validation_errors(spark.createDataFrame([(3, " bad,line ")], "line_no int, line string")).first()
+    assert (errors.line_no, errors.message, errors.content) == (3, "too few fields", "bad,line")

@@ -35,6 +35,12 @@ def dedupe_candidates(candidates: DataFrame, order: list[str]) -> DataFrame:
     return candidates.withColumn("_r", F.row_number().over(first)).where(F.col("_r") == 1).drop("_r")
 
 
+def distinct_entities(entities: Column) -> Column:
+    """A token's entities (array of structs with uri) with the first of each uri only."""
+    uris = F.transform(entities, lambda e: e["uri"])
+    return F.filter(entities, lambda e, i: F.array_position(uris, e["uri"]) == i + 1)
+
+
 def index_size(candidates: DataFrame) -> DataFrame:
     return candidates.agg(F.count_distinct("surface").alias("n_surfaces"), F.count(F.lit(1)).alias("n_mappings"))
 

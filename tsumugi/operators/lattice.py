@@ -103,6 +103,34 @@ def lattice_nodes(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
     return spread(rows).mapInArrow(run, schema)
 
 
+ENTRIES = "text_id long, end_pos int, node_ix int, surface string, cumulative_cost long, connection_cost int, prev_end int, prev_ix int, on_best_path boolean"
+
+
+def search_entries(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """What the search keeps of every node that a path reaches: the cost up to it, its best
+    predecessor (prev_ix -1 at 0 is the begin) and whether it is on the best path, with
+    ``cost_delta``: for nodes on the best path, how much dearer the best other node is that ends
+    at the same position. The lexicon must fit into a task.
+    """
+    if not fits(lexicon):
+        raise ValueError("the lexicon is too large to be held by every task")
+    rows = texts.select(F.col("text_id").cast("long").alias("text_id"), "text").where(F.col("text").isNotNull() & (F.col("text") != ""))
+    shared = texts.sparkSession.sparkContext.broadcast(Words.of(lexicon))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value.prepare()
+        for batch in batches:
+            out = [(i, e, p, t[s:e], cost, c, s, at, best) for i, t in zip(*(c.to_pylist() for c in batch.columns)) for e, p, _, cost, c, s, at, best in words.entries(t)]
+            columns = list(zip(*out)) if out else [[]] * 9
+            types = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[c.split()[0] for c in ENTRIES.split(", ")])
+
+    entries = spread(rows).mapInArrow(run, ENTRIES)
+    at = Window.partitionBy("text_id", "end_pos")
+    other = F.min(F.when(~F.col("on_best_path"), F.col("cumulative_cost"))).over(at)
+    return entries.withColumn("cost_delta", F.when(F.col("on_best_path"), other - F.col("cumulative_cost")))
+
+
 def lattice_edges(nodes: DataFrame, texts: DataFrame, lexicon: Lexicon) -> DataFrame:
     """Edges between nodes that meet, from the begin (node_ix -1 at 0) and to the end of each text, with costs."""
     ends = texts.select("text_id", F.char_length("text").alias("n"))

@@ -156,6 +156,14 @@ class Lexicon:
         """Without the run-time words of these surfaces, all homographs included."""
         return replace(self, entries=self.entries.where(~((F.col("layer") == 0) & F.col("surface").isin(surfaces))))
 
+    def info(self) -> DataFrame:
+        """Entries, surfaces, run-time words, ids of the connection costs, templates and categories with a template."""
+        words = self.entries.agg(F.count(F.lit(1)).alias("n_entries"), F.count_distinct("surface").alias("n_surfaces"), F.count_if(F.col("layer") == 0).alias("n_runtime"))
+        cells = self.connections.agg(F.count_distinct("right_id").alias("n_right_ids"), F.count_distinct("left_id").alias("n_left_ids"), F.count(F.lit(1)).alias("n_cells"))
+        templates = self.unknown.agg(F.count(F.lit(1)).alias("n_templates"), F.count_distinct("category").alias("n_categories"))
+        one = lambda df: df.withColumn("_one", F.lit(1))
+        return one(words).join(one(cells), "_one").join(one(templates), "_one").drop("_one")
+
     def overlay_size(self) -> int:
         return self.entries.where(F.col("layer") == 0).count()
 

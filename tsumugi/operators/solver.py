@@ -141,6 +141,28 @@ class Words:
                 ending[end].append((i, templates[0]))
         return ending
 
+    def entries(self, text: str) -> list[tuple[int, int, int, int, int, int, int, bool]]:
+        """(end, place, node, cumulative cost, connection cost, end and place of the predecessor, on the best path) of all
+        nodes by end position; the begin is place -1 at 0, nodes that no path reaches are left out."""
+        ending = self.nodes(text)
+        n = len(text)
+        costs: list[list[tuple]] = [[(0, -1, self.border[1])]] + [[] for _ in range(n)]
+        rows: dict[tuple[int, int], tuple] = {}
+        for end in range(1, n + 1):
+            for place, (start, node) in enumerate(ending[end]):
+                if costs[start]:
+                    ways = [(cost + self.rows[right][self.lefts[node]], at, self.rows[right][self.lefts[node]]) for cost, at, right in costs[start]]
+                    cost, at, c = min(ways, key=_cost)
+                    rows[end, place] = (node, cost + self.costs[node], c, start, at)
+                    costs[end].append((cost + self.costs[node], place, self.rights[node]))
+        best = set()
+        at = min(((cost + self.rows[right][self.border[0]], place) for cost, place, right in costs[n]), key=_cost, default=(0, -1))[1]
+        end = n
+        while at >= 0:
+            best.add((end, at))
+            end, at = rows[end, at][3], rows[end, at][4]
+        return [(e, p, *row, (e, p) in best) for (e, p), row in rows.items()]
+
     # A state: (cost, start of its node, node, state before, connection cost to it, right id)
 
     def best(self, text: str, compat_eos: bool = False) -> tuple[int, list[tuple[int, int, int, int]]]:

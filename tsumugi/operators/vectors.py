@@ -173,6 +173,12 @@ def train_word2vec(lists: DataFrame, size: int = 100, window: int = 5, negative:
     return spark.createDataFrame([(w, syn0[i].tolist()) for w, i, _, _ in vocab], "word_id long, embedding array<float>")
 
 
+def info(vectors: DataFrame) -> DataFrame:
+    """Words, greatest word id, dimensions and zero vectors of a store (word_id, embedding)."""
+    zero = F.forall("embedding", lambda v: v == 0)
+    return vectors.agg(F.count(F.lit(1)).alias("n_words"), F.max("word_id").alias("max_word_id"), F.max(F.size("embedding")).alias("dim"), F.count_if(zero).alias("n_zero"))
+
+
 def most_similar(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """word_id, rank_no, neighbour and cosine of the k vectors closest to each query's, itself left out.
 

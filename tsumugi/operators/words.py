@@ -34,6 +34,20 @@ def validation_counts(parsed: DataFrame) -> DataFrame:
     return parsed.agg(F.count_if(F.col("error").isNull()).alias("n_valid"), F.count_if(F.col("error").isNotNull()).alias("n_invalid"))
 
 
+def validation_errors(lines: DataFrame) -> DataFrame:
+    """Line number, message and content of every line (line_no, line) that is no entry."""
+    return parse_lines(lines).where(F.col("error").isNotNull()).select(*[c for c in lines.columns if c != "line"], F.col("error").alias("message"), trim_whitespace("line").alias("content"))
+
+
+def sorted_by_surface(entries: DataFrame) -> DataFrame:
+    return entries.orderBy("surface")
+
+
+def sorted_by_cost(entries: DataFrame) -> DataFrame:
+    """Cheapest first, by surface among equals."""
+    return entries.orderBy("cost", "surface")
+
+
 def find(entries: DataFrame, surface: str) -> DataFrame:
     return entries.where(F.col("surface") == surface)
 

@@ -156,6 +156,17 @@ def dot_part(spark: SparkSession, base: str) -> DataFrame:
     return ex.dot(nodes, la.lattice_edges(nodes, names, lexicon))
 
 
+def search_entries_part(spark: SparkSession, base: str) -> DataFrame:
+    """Cost up to every node of the lattices of the distinct part names."""
+    names = part_texts(spark, base).groupBy("text").agg(F.min("text_id").alias("text_id"))
+    return la.search_entries(names, part_lexicon(spark)).select("text_id", "end_pos", "node_ix", F.col("cumulative_cost").alias("cost"))
+
+
+def lexicon_info(spark: SparkSession, base: str) -> DataFrame:
+    """Sizes of the lexicon of the requests."""
+    return request_lexicon(spark, base).info()
+
+
 def k_shortest_part(spark: SparkSession, base: str) -> DataFrame:
     """The k cheapest paths through the lattice of every distinct part name, by the general search over edge tables."""
     names = part_texts(spark, base).groupBy("text").agg(F.min("text_id").alias("text_id")).select("text_id", "text")
@@ -252,7 +263,7 @@ QUERIES = {
     f.__name__: f
     for f in (viterbi_part_tokens, viterbi_part_costs, wakati_part, kbest_part, lattice_nodes_part, lattice_edges_part, lattice_stats_part, best_path_edges_part, what_if_cost, path_analysis_part)
     + (path_comparison_part, segmentation_report, token_distribution, connection_stats, path_diversity_part, unknown_nodes_requests, tokenize_requests)
-    + (unknown_templates_requests, request_costs, n_best_part, dot_part, k_shortest_part, tokenize_costs)
+    + (unknown_templates_requests, request_costs, n_best_part, dot_part, k_shortest_part, tokenize_costs, search_entries_part, lexicon_info)
 }
 SQL = {
     "viterbi_part_tokens": PATHS_SQL + "SELECT text_id, token_ix, t.w AS surface, t.wcost AS wcost, t.ccost AS ccost FROM tokens",
@@ -330,6 +341,17 @@ l AS (
   UNION ALL SELECT text_id, 0, '  n0_b [label="BOS", shape=diamond];' FROM first UNION ALL SELECT text_id, 0, '  n' || (n + 1) || '_b [label="EOS", shape=diamond];' FROM first
   UNION ALL SELECT a.text_id, 1, '  n' || a.e || '_' || a.ix || ' -> n' || b.e || '_' || b.ix || ' [label="' || coalesce(c.cost, {NO_CONNECTION}) || '"];' FROM a JOIN b ON a.text_id = b.text_id AND a.e = b.start_pos LEFT JOIN cells c ON c.rid = a.rid AND c.lid = b.lid)
 SELECT text_id, 'digraph lattice {{' || chr(10) || '  rankdir=LR;' || chr(10) || string_agg(line, chr(10) ORDER BY k, line) || chr(10) || '}}' || chr(10) AS dot FROM l GROUP BY text_id""",
+    "search_entries_part": NODES_SQL.replace("WITH words", "WITH RECURSIVE words", 1) + f""", cells(rid, lid, cost) AS (VALUES {_CELLS}), first AS (SELECT min(text_id) AS text_id FROM texts GROUP BY text), own AS (SELECT n.* FROM nodes n JOIN first USING (text_id)),
+walk(text_id, pos, ix, rid, cost) USING KEY (text_id, pos, ix) AS (
+  SELECT text_id, 0::BIGINT, -1::BIGINT, 0, 0::BIGINT FROM first
+  UNION
+  SELECT n.text_id, n.end_pos, n.node_ix, any_value(n.rid), min(w.cost + coalesce(c.cost, {NO_CONNECTION}) + n.wcost) FROM walk w JOIN own n ON n.text_id = w.text_id AND n.start_pos = w.pos LEFT JOIN cells c ON c.rid = w.rid AND c.lid = n.lid
+  LEFT JOIN recurring.walk o ON o.text_id = n.text_id AND o.pos = n.end_pos AND o.ix = n.node_ix
+  GROUP BY n.text_id, n.end_pos, n.node_ix HAVING min(w.cost + coalesce(c.cost, {NO_CONNECTION}) + n.wcost) < min(coalesce(o.cost, 9e15::BIGINT))
+)
+SELECT text_id, pos AS end_pos, ix AS node_ix, cost FROM walk WHERE ix >= 0""",
+    "lexicon_info": f"""WITH m AS (SELECT DISTINCT surface, word_id, pos_id FROM morphemes WHERE word_id <> 4294967295), o AS (SELECT DISTINCT surface FROM overlay_entries WHERE surface <> ''), a AS (SELECT surface, 1 AS layer FROM m UNION ALL SELECT surface, 0 FROM o)
+SELECT count(*) AS n_entries, count(DISTINCT surface) AS n_surfaces, count(*) FILTER (layer = 0) AS n_runtime, {MOST_POS}::BIGINT AS n_right_ids, {MOST_POS}::BIGINT AS n_left_ids, {MOST_POS * MOST_POS}::BIGINT AS n_cells, 0::BIGINT AS n_templates, 0::BIGINT AS n_categories FROM a""",
     "k_shortest_part": PATHS_SQL + f", first AS (SELECT text, min(text_id) AS graph_id FROM texts GROUP BY text) SELECT graph_id, path_no AS rank_no, cost FROM first JOIN ranked USING (text) WHERE path_no <= {K}",
     "unknown_nodes_requests": f"""
 WITH t AS (SELECT DISTINCT request_id AS text_id, text FROM parse_requests WHERE text IS NOT NULL),

@@ -90,6 +90,10 @@ def word2vec(spark: SparkSession, base: str) -> DataFrame:
     return ve.most_similar(vectors, vectors.where(F.col("word_id") % 50 == 0), 5)
 
 
+def vectors_info(spark: SparkSession, base: str) -> DataFrame:
+    return ve.info(table(spark, base, "embeddings").select(F.col("vec_id").alias("word_id"), "embedding"))
+
+
 def similar_embeddings(spark: SparkSession, base: str) -> DataFrame:
     """The 5 nearest vectors of every one whose id is divisible by 50."""
     vectors = table(spark, base, "embeddings").select(F.col("vec_id").alias("word_id"), "embedding")
@@ -149,7 +153,7 @@ _US = "epoch_us({0})"
 
 QUERIES = {
     f.__name__: f
-    for f in (boundary_sentences, pending_rests, context_windows, overlapping_chunks, boundary_chunks, stream_progress, vocabulary, context_pairs, mean_pooling, cosine_to_mean, embedding_lookup, word2vec, similar_embeddings)
+    for f in (boundary_sentences, pending_rests, context_windows, overlapping_chunks, boundary_chunks, stream_progress, vocabulary, context_pairs, mean_pooling, cosine_to_mean, embedding_lookup, word2vec, similar_embeddings, vectors_info)
     + (histogram_events, log_histogram_orders, percentiles_events, parse_stats, stream_laps, suite_summary, memory_stats)
 }
 SQL = {
@@ -177,6 +181,7 @@ SELECT a.w AS center, b.w AS context, count(*) AS n FROM w a JOIN w b ON a.s = b
     "cosine_to_mean": f"""WITH {_MEAN}, c AS (SELECT label, list(v ORDER BY i) AS center FROM m GROUP BY label)
 SELECT vec_id, round(list_sum(list_transform(list_zip(embedding, center), lambda x: x[1]::DOUBLE * x[2])) / (sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x))) * sqrt(list_sum(list_transform(center, lambda x: x * x)))), 4) AS cosine FROM embeddings JOIN c USING (label)""",
     "embedding_lookup": "WITH m AS (SELECT DISTINCT morph_id, word_id FROM morphemes) SELECT morph_id, len(embedding) AS dim, embedding[1]::DOUBLE AS first FROM m LEFT JOIN embeddings ON vec_id = word_id AND word_id <> 4294967295",
+    "vectors_info": "SELECT count(*) AS n_words, max(vec_id) AS max_word_id, max(len(embedding)) AS dim, count(*) FILTER (len(list_filter(embedding, lambda v: v <> 0)) = 0) AS n_zero FROM embeddings",
     "similar_embeddings": """WITH q AS (SELECT a.vec_id AS word_id, b.vec_id AS neighbour, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS c FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY word_id ORDER BY c DESC, neighbour) AS rank_no FROM q) SELECT word_id, rank_no, neighbour, round(c, 6) AS cosine FROM r WHERE rank_no <= 5""",
     "histogram_events": f"WITH {_BUCKETS} SELECT * FROM k",

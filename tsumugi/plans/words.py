@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tsumugi.operators import words as wo
 from tsumugi.plans.lattice import WORDS, part_lexicon, part_texts
 from tsumugi.plans.text import WS
-from tsumugi.runtime import table
+from tsumugi.runtime import numbered, table
 
 
 def entries(spark: SparkSession, base: str) -> DataFrame:
@@ -28,6 +28,16 @@ def userdict_validation(spark: SparkSession, base: str) -> DataFrame:
     return wo.validation_counts(userdict_parse(spark, base))
 
 
+def userdict_errors(spark: SparkSession, base: str) -> DataFrame:
+    lines = table(spark, base, "dict_lines").where(F.col("kind") == "user").select("row_id", "line_no", "line").distinct()
+    return wo.validation_errors(lines)
+
+
+def userdict_order(spark: SparkSession, base: str) -> DataFrame:
+    """Place of every entry in order of cost, then surface, then id; entries without a cost first."""
+    return numbered(entries(spark, base), [F.col("cost"), F.col("surface"), F.col("entry_id")], "place", 1).select("entry_id", "place")
+
+
 def userdict_merge(spark: SparkSession, base: str) -> DataFrame:
     rows = entries(spark, base)
     mine, other = rows.where(F.col("dict_name") == "user_01"), rows.where(F.col("dict_name") == "user_02")
@@ -68,21 +78,24 @@ def _trim(x: str) -> str:
 
 _ENTRIES = "e AS (SELECT DISTINCT entry_id, surface, reading, pronunciation, cost, pos, dict_name FROM user_entries)"
 _LINES = f"""
-l AS (SELECT DISTINCT row_id, {_trim("line")} AS s FROM dict_lines WHERE kind = 'user'),
-t AS (SELECT row_id, s, string_split(s, ',') AS p FROM l WHERE s <> '' AND NOT starts_with(s, '#')),
-v AS (SELECT row_id, s, {_trim("p[1]")} AS surface, {_trim("p[2]")} AS reading, {_trim("p[3]")} AS pronunciation, CASE WHEN regexp_full_match({_trim("p[4]")}, '[+-]?[0-9]+') AND try_cast({_trim("p[4]")} AS INTEGER) BETWEEN -32768 AND 32767 THEN try_cast({_trim("p[4]")} AS INTEGER) END AS cost,
+l AS (SELECT DISTINCT row_id, line_no, {_trim("line")} AS s FROM dict_lines WHERE kind = 'user'),
+t AS (SELECT row_id, line_no, s, string_split(s, ',') AS p FROM l WHERE s <> '' AND NOT starts_with(s, '#')),
+v AS (SELECT row_id, line_no, s, {_trim("p[1]")} AS surface, {_trim("p[2]")} AS reading, {_trim("p[3]")} AS pronunciation, CASE WHEN regexp_full_match({_trim("p[4]")}, '[+-]?[0-9]+') AND try_cast({_trim("p[4]")} AS INTEGER) BETWEEN -32768 AND 32767 THEN try_cast({_trim("p[4]")} AS INTEGER) END AS cost,
   CASE WHEN len(p) > 4 THEN array_to_string(p[5:], ',') ELSE '名詞,固有名詞,一般,*,*,*' END AS pos, len(p) AS n FROM t),
-u AS (SELECT row_id, surface, reading, pronunciation, cost, pos, CASE WHEN contains(s, chr(10)) THEN 'line break' WHEN n < 4 THEN 'too few fields' WHEN cost IS NULL THEN 'invalid cost' END AS error FROM v)
+w AS (SELECT *, CASE WHEN contains(s, chr(10)) THEN 'line break' WHEN n < 4 THEN 'too few fields' WHEN cost IS NULL THEN 'invalid cost' END AS error FROM v),
+u AS (SELECT row_id, surface, reading, pronunciation, cost, pos, error FROM w)
 """
 _CHARS = "coalesce(sum(length(surface)), 0)"
 _JSON = "replace(replace(replace(replace(replace({0}, '\\', '\\\\'), '\"', '\\\"'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t')"
 _OVER = ", ".join(f"('{w}', 1, {cost})" for w, _, _, cost in WORDS) + ", ('bluebolt', 0, 500), ('red', 0, 900)"
 
-QUERIES = {f.__name__: f for f in (userdict_stats, userdict_parse, userdict_validation, userdict_merge, userdict_prefix, userdict_remove, userdict_formats, overlay_entries, overlay_lookup)}
+QUERIES = {f.__name__: f for f in (userdict_stats, userdict_parse, userdict_validation, userdict_errors, userdict_order, userdict_merge, userdict_prefix, userdict_remove, userdict_formats, overlay_entries, overlay_lookup)}
 SQL = {
     "userdict_stats": f"WITH {_ENTRIES} SELECT count(*) AS n_entries, count(DISTINCT surface) AS n_surfaces, avg(cost) AS avg_cost, min(cost) AS min_cost, max(cost) AS max_cost, {_CHARS}::BIGINT AS total_chars, {_CHARS} / count(*)::DOUBLE AS avg_surface_len FROM e",
     "userdict_parse": f"WITH {_LINES} SELECT * FROM u",
     "userdict_validation": f"WITH {_LINES} SELECT count(*) FILTER (error IS NULL) AS n_valid, count(*) FILTER (error IS NOT NULL) AS n_invalid FROM u",
+    "userdict_errors": f"WITH {_LINES} SELECT row_id, line_no, error AS message, s AS content FROM w WHERE error IS NOT NULL",
+    "userdict_order": f"WITH {_ENTRIES} SELECT entry_id, row_number() OVER (ORDER BY cost NULLS FIRST, surface NULLS FIRST, entry_id) AS place FROM e",
     "userdict_merge": f"""WITH {_ENTRIES}, o AS (SELECT *, row_number() OVER (PARTITION BY surface ORDER BY entry_id) AS r FROM e WHERE dict_name = 'user_02' AND surface NOT IN (SELECT surface FROM e WHERE dict_name = 'user_01' AND surface IS NOT NULL))
 SELECT entry_id, surface, dict_name FROM e WHERE dict_name = 'user_01' UNION ALL SELECT entry_id, surface, dict_name FROM o WHERE r = 1""",
     "userdict_prefix": f"WITH {_ENTRIES} SELECT entry_id, surface FROM e WHERE starts_with(surface, 'カ')",
