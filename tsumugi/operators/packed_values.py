@@ -287,7 +287,9 @@ def split_packed(fields: DataFrame, book: CodeBook, keys: list[str], column: str
 
     plain = rows.where(_plain(column)).dropDuplicates()
     close = F.regexp_replace(F.regexp_replace(column, f"{BLANK}*([{DELIMITERS}]){BLANK}*", "$1"), f"^{BLANK}+|{BLANK}+$", "")
-    values = F.split(F.when(F.col(column).rlike(BLANK), close).otherwise(F.col(column)), f"[{DELIMITERS}]", -1)
+    plain = plain.select(*keys, F.when(F.col(column).rlike(BLANK), close).otherwise(F.col(column)).alias(column))
+    # A field is split by the one delimiter it holds: patterns of one character need no compiling per row.
+    values = reduce(lambda rest, d: F.when(F.col(column).contains(d), F.split(column, re.escape(d), -1)).otherwise(rest), reversed(DELIMITERS), F.array(column))
     plain = plain.select(*keys, F.posexplode(values).alias("pos_no", "item_value")).where((F.col("item_value") != "") & (F.col("item_value") != "*"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
