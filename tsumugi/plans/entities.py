@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsumugi.functions.features import NAMESPACE, PREFIXES
+from tsumugi.functions.features import NAMESPACE, PREFIXES, schema_org_type
 from tsumugi.functions.phonetic import token_ipa
 from tsumugi.operators import entities as en
 from tsumugi.operators import exports as ex
@@ -17,6 +17,7 @@ from tsumugi.plans.text import IPA_CASE
 from tsumugi.runtime import table
 
 MOST = 3
+KINDS = ("person", "Place", "ORGANIZATION", "event", "work", "product", "other", "planet", "")
 RESOLVED = ["http://www.wikidata.org/entity/Q1", "http://www.wikidata.org/entity/Q7000000000001"]
 
 
@@ -80,6 +81,13 @@ def pool_entries(spark: SparkSession, base: str) -> DataFrame:
     return en.semantic_pool(candidates(spark, base), ["surface", "uri"])
 
 
+def schema_types(spark: SparkSession, base: str) -> DataFrame:
+    """Types of entities whose class follows from their number, unknown classes and NULL included."""
+    kinds = F.array(*map(F.lit, KINDS))
+    rows = table(spark, base, "part").select("p_partkey", F.get(kinds, (F.col("p_partkey") % (len(KINDS) + 1)).cast("int")).alias("kind"))
+    return rows.select("p_partkey", schema_org_type(F.col("kind")).alias("type"))
+
+
 def pool_stats(spark: SparkSession, base: str) -> DataFrame:
     return en.pool_statistics(table(spark, base, "semantic_entries").select("entry_id", "uri").distinct())
 
@@ -169,7 +177,7 @@ _TURTLE_HEAD = "'@base <" + ex.BASE + "> .' || chr(10) || " + " || ".join(f"'@pr
 
 QUERIES = {
     f.__name__: f
-    for f in (knowledge_base, knowledge_base_size, candidate_index, merge_lexicon, entity_link, disambiguate_highest, disambiguate_prior, disambiguate_context, disambiguate_none, pool_entries, pool_stats)
+    for f in (knowledge_base, knowledge_base_size, candidate_index, merge_lexicon, entity_link, disambiguate_highest, disambiguate_prior, disambiguate_context, disambiguate_none, pool_entries, pool_stats, schema_types)
     + (export_plain, export_plain_ipa, export_dump, export_json, export_wakati, export_word_ids, export_triples, export_ntriples, export_nquads, export_turtle, export_jsonld, entity_mentions, mention_tokens)
 }
 _KB = ENTITY_SQL + """, ids AS (SELECT line_id, nullif(regexp_extract(line, '"id"\\s*:\\s*"(Q[0-9]+)"', 1), '') AS entity_id FROM wikidata_lines), first AS (SELECT entity_id, min(line_id) AS line_id FROM ids WHERE entity_id IS NOT NULL GROUP BY 1),
@@ -199,6 +207,7 @@ m AS (SELECT surface, count(*) AS n, string_agg(uri, '|' ORDER BY r) AS uris FRO
     "disambiguate_context": _ranked(f"CASE WHEN uri IN ({', '.join(repr(u) for u in RESOLVED)}) THEN (confidence * 1.5::FLOAT)::FLOAT ELSE confidence END"),
     "disambiguate_none": _ranked("confidence", top=False),
     "pool_entries": f"WITH {_CAND} SELECT row_number() OVER (ORDER BY surface, uri) AS pool_id, uri, floor((confidence * 255::FLOAT)::FLOAT)::INTEGER / 255::DOUBLE AS confidence, {_SOURCE} AS source FROM c",
+    "schema_types": "SELECT p_partkey, 'http://schema.org/' || CASE p_partkey % 10 WHEN 0 THEN 'Person' WHEN 1 THEN 'Place' WHEN 2 THEN 'Organization' WHEN 3 THEN 'Event' WHEN 4 THEN 'CreativeWork' WHEN 5 THEN 'Product' ELSE 'Thing' END AS type FROM part",
     "pool_stats": f"""WITH e AS (SELECT DISTINCT entry_id, uri FROM semantic_entries WHERE uri IS NOT NULL), u AS (SELECT uri, count(*) AS n, {_SOURCE} AS s FROM e GROUP BY uri)
 SELECT sum(n)::BIGINT AS n_entries, count(*) AS n_uris, {', '.join(f"coalesce(sum(n) FILTER (s = '{s}'), 0)::BIGINT AS n_{s.lower()}" for s in ("Wikidata", "DBpedia", "SchemaOrg", "Custom"))}, sum(octet_length(encode(uri)) + 1)::BIGINT AS string_bytes FROM u""",
     "export_plain": _agg("surface || chr(9) || feature", "chr(10)", "plain", tail="chr(10) || 'EOS' || chr(10)"),

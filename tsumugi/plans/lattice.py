@@ -82,6 +82,21 @@ def path_comparison_part(spark: SparkSession, base: str) -> DataFrame:
     return pa.compare_paths(pa.path_analysis(part_tokens(spark, base, 2))).select("text_id", "prefer_first")
 
 
+def path_differences_part(spark: SparkSession, base: str) -> DataFrame:
+    """Differences in cost and tokens between the two best paths of every distinct part name."""
+    names = part_texts(spark, base).groupBy("text").agg(F.min("text_id").alias("text_id"))
+    return pa.compare_paths(pa.path_analysis(vi.tokenize(names, part_lexicon(spark), 2)))
+
+
+def cost_arrays_part(spark: SparkSession, base: str) -> DataFrame:
+    """Best predecessor and saturating sums over cost arrays made of the parts' sizes."""
+    size = F.col("p_size")
+    costs, connections = F.array(size, size * 7 % 50, size * 13 % 50), F.array(size * 3 % 20, size * 5 % 20, size * 11 % 20)
+    arrays = table(spark, base, "part").select("p_partkey", costs.cast("array<int>").alias("costs"), connections.cast("array<int>").alias("connections"))
+    best = arrays.select("p_partkey", pa.best_predecessor(F.col("costs"), F.col("connections")).alias("b"), pa.add_costs(F.col("costs"), 2147483620).alias("s"))
+    return best.select("p_partkey", F.col("b.ix").alias("ix"), F.col("b.cost").alias("cost"), F.element_at("s", 1).alias("first_sum"), F.element_at("s", 3).alias("last_sum"))
+
+
 def _paths(spark: SparkSession, base: str) -> DataFrame:
     return part_tokens(spark, base).groupBy("text_id").agg(F.sum(F.char_length("surface")).alias("n_chars"), F.count(F.lit(1)).alias("n_tokens"), F.max("path_cost").alias("cost"))
 
@@ -169,6 +184,10 @@ def lexicon_info(spark: SparkSession, base: str) -> DataFrame:
 
 def k_shortest_part(spark: SparkSession, base: str) -> DataFrame:
     """The k cheapest paths through the lattice of every distinct part name, by the general search over edge tables."""
+    return _k_shortest(spark, base)
+
+
+def _k_shortest(spark: SparkSession, base: str, backward: bool = False) -> DataFrame:
     names = part_texts(spark, base).groupBy("text").agg(F.min("text_id").alias("text_id")).select("text_id", "text")
     lexicon = part_lexicon(spark)
     edges = la.lattice_edges(la.lattice_nodes(names, lexicon), names, lexicon)
@@ -176,7 +195,12 @@ def k_shortest_part(spark: SparkSession, base: str) -> DataFrame:
     steps = edges.select(F.col("text_id").alias("graph_id"), node("from_end", "from_ix").alias("src"), node("to_end", "to_ix").alias("dst"), F.col("ccost").alias("cost"), "wcost")
     costs = steps.select("graph_id", F.col("dst").alias("node"), F.col("wcost").alias("cost")).distinct()
     starts = names.select(F.col("text_id").alias("graph_id"), F.lit(0).alias("node"), F.lit(0).alias("cost"))
-    return pa.k_shortest(costs.unionByName(starts), steps.drop("wcost"), 0, 1, K).select("graph_id", "rank_no", "cost")
+    return pa.k_shortest(costs.unionByName(starts), steps.drop("wcost"), 0, 1, K, backward=backward).select("graph_id", "rank_no", "cost")
+
+
+def k_shortest_backward_part(spark: SparkSession, base: str) -> DataFrame:
+    """The same grown from the end."""
+    return _k_shortest(spark, base, backward=True)
 
 
 def request_lexicon(spark: SparkSession, base: str) -> Lexicon:
@@ -263,7 +287,7 @@ QUERIES = {
     f.__name__: f
     for f in (viterbi_part_tokens, viterbi_part_costs, wakati_part, kbest_part, lattice_nodes_part, lattice_edges_part, lattice_stats_part, best_path_edges_part, what_if_cost, path_analysis_part)
     + (path_comparison_part, segmentation_report, token_distribution, connection_stats, path_diversity_part, unknown_nodes_requests, tokenize_requests)
-    + (unknown_templates_requests, request_costs, n_best_part, dot_part, k_shortest_part, tokenize_costs, search_entries_part, lexicon_info)
+    + (unknown_templates_requests, request_costs, n_best_part, dot_part, k_shortest_part, tokenize_costs, search_entries_part, lexicon_info, path_differences_part, cost_arrays_part, k_shortest_backward_part)
 }
 SQL = {
     "viterbi_part_tokens": PATHS_SQL + "SELECT text_id, token_ix, t.w AS surface, t.wcost AS wcost, t.ccost AS ccost FROM tokens",
@@ -282,6 +306,10 @@ FROM (SELECT *, coalesce(lag(t.rid) OVER (PARTITION BY text_id ORDER BY token_ix
     "path_analysis_part": PATHS_SQL + """SELECT text_id, count(*) AS n_tokens, sum(t.wcost + t.ccost)::BIGINT AS total_cost, sum(t.wcost)::BIGINT AS word_cost, sum(t.ccost)::BIGINT AS connection_cost, avg(t.wcost + t.ccost) AS avg_cost,
 arg_max(t.w, (t.wcost + t.ccost) * 1000 + token_ix) AS dearest, arg_min(t.w, (t.wcost + t.ccost) * 1000 + token_ix) AS cheapest,
 CASE WHEN sum(t.ccost) = 0 THEN 'infinity'::DOUBLE ELSE sum(t.wcost) / sum(t.ccost)::DOUBLE END AS word_connection_ratio FROM tokens GROUP BY text_id""",
+    "path_differences_part": PATHS_SQL + """, first AS (SELECT text, min(text_id) AS text_id FROM texts GROUP BY text), two AS (SELECT text, path_no, list_sum(list_transform(toks, lambda x: x.wcost + x.ccost)) AS c, len(toks) AS n FROM ranked WHERE path_no <= 2)
+SELECT text_id, (a.c - b.c)::BIGINT AS cost_diff, a.n - b.n AS token_diff, a.c < b.c AS prefer_first FROM first JOIN two a USING (text) JOIN two b USING (text) WHERE a.path_no = 1 AND b.path_no = 2""",
+    "cost_arrays_part": """WITH a AS (SELECT p_partkey, [p_size, p_size * 7 % 50, p_size * 13 % 50] AS c, [p_size * 3 % 20, p_size * 5 % 20, p_size * 11 % 20] AS k FROM part), s AS (SELECT p_partkey, c, [c[1] + k[1], c[2] + k[2], c[3] + k[3]] AS t FROM a)
+SELECT p_partkey, list_position(t, list_min(t)) - 1 AS ix, list_min(t) AS cost, least(2147483647, c[1]::BIGINT + 2147483620) AS first_sum, least(2147483647, c[3]::BIGINT + 2147483620) AS last_sum FROM s""",
     "path_comparison_part": PATHS_SQL + """, two AS (SELECT text, path_no, list_sum(list_transform(toks, lambda x: x.wcost + x.ccost)) AS c FROM ranked WHERE path_no <= 2)
 SELECT text_id, a.c < b.c AS prefer_first FROM texts JOIN two a USING (text) JOIN two b USING (text) WHERE a.path_no = 1 AND b.path_no = 2""",
     "segmentation_report": PATHS_SQL + """SELECT count(*) AS n_texts, sum(len(toks))::BIGINT AS n_tokens, sum(length(text))::BIGINT AS n_chars, sum(cost)::BIGINT AS total_cost,
@@ -353,6 +381,7 @@ SELECT text_id, pos AS end_pos, ix AS node_ix, cost FROM walk WHERE ix >= 0""",
     "lexicon_info": f"""WITH m AS (SELECT DISTINCT surface, word_id, pos_id FROM morphemes WHERE word_id <> 4294967295), o AS (SELECT DISTINCT surface FROM overlay_entries WHERE surface <> ''), a AS (SELECT surface, 1 AS layer FROM m UNION ALL SELECT surface, 0 FROM o)
 SELECT count(*) AS n_entries, count(DISTINCT surface) AS n_surfaces, count(*) FILTER (layer = 0) AS n_runtime, {MOST_POS}::BIGINT AS n_right_ids, {MOST_POS}::BIGINT AS n_left_ids, {MOST_POS * MOST_POS}::BIGINT AS n_cells, 0::BIGINT AS n_templates, 0::BIGINT AS n_categories FROM a""",
     "k_shortest_part": PATHS_SQL + f", first AS (SELECT text, min(text_id) AS graph_id FROM texts GROUP BY text) SELECT graph_id, path_no AS rank_no, cost FROM first JOIN ranked USING (text) WHERE path_no <= {K}",
+    "k_shortest_backward_part": PATHS_SQL + f", first AS (SELECT text, min(text_id) AS graph_id FROM texts GROUP BY text) SELECT graph_id, path_no AS rank_no, cost FROM first JOIN ranked USING (text) WHERE path_no <= {K}",
     "unknown_nodes_requests": f"""
 WITH t AS (SELECT DISTINCT request_id AS text_id, text FROM parse_requests WHERE text IS NOT NULL),
 c AS (SELECT text_id, i, substr(text, i + 1, 1) AS c FROM (SELECT text_id, text, unnest(range(length(text))) AS i FROM t)),

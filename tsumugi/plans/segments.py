@@ -130,6 +130,13 @@ def suite_summary(spark: SparkSession, base: str) -> DataFrame:
     return me.suite_summary(results).select("n", "fastest", "slowest", F.round("avg_ops", 9).alias("avg_ops"))
 
 
+def throughput_orders(spark: SparkSession, base: str) -> DataFrame:
+    """Rates per kind of lines: lines as items, prices as bytes and quantities as seconds."""
+    sums = table(spark, base, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("items"), F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("size"), F.sum(F.col("l_quantity").cast("long")).alias("seconds"))
+    rates = sums.select("l_returnflag", "l_linestatus", me.throughput(F.col("items"), F.col("size"), F.col("seconds")).alias("t"))
+    return rates.select("l_returnflag", "l_linestatus", *[F.round(F.col(f"t.{c}"), 9).alias(c) for c in ("items_per_second", "bytes_per_second", "mb_per_second")])
+
+
 def memory_stats(spark: SparkSession, base: str) -> DataFrame:
     """Current and peak of a running balance: sizes of parts, taken and given back in turn."""
     changes = table(spark, base, "part").select(F.col("p_partkey").alias("ord"), F.when(F.col("p_partkey") % 3 == 0, -F.col("p_size")).otherwise(F.col("p_size")).cast("long").alias("change"))
@@ -154,7 +161,7 @@ _US = "epoch_us({0})"
 QUERIES = {
     f.__name__: f
     for f in (boundary_sentences, pending_rests, context_windows, overlapping_chunks, boundary_chunks, stream_progress, vocabulary, context_pairs, mean_pooling, cosine_to_mean, embedding_lookup, word2vec, similar_embeddings, vectors_info)
-    + (histogram_events, log_histogram_orders, percentiles_events, parse_stats, stream_laps, suite_summary, memory_stats)
+    + (histogram_events, log_histogram_orders, percentiles_events, parse_stats, stream_laps, suite_summary, memory_stats, throughput_orders)
 }
 SQL = {
     "boundary_sentences": f"WITH {_TEXTS}, {_sentences(se.JAPANESE)} SELECT text_id, ord, sentence FROM s",
@@ -194,5 +201,7 @@ SELECT count(*) AS n_texts, sum(c)::BIGINT AS n_chars, sum(k)::BIGINT AS n_token
     "stream_laps": f"WITH m AS (SELECT stream_id AS timer, read_no AS name, {_US.format('read_at')} AS at0 FROM (SELECT DISTINCT * FROM sentence_reads)) SELECT timer, name, at0 - coalesce(lag(at0) OVER (PARTITION BY timer ORDER BY at0, name), at0) AS duration FROM m",
     "suite_summary": """WITH r AS (SELECT l_returnflag AS name, sum(l_quantity) AS s, count(*) AS i FROM lineitem GROUP BY 1)
 SELECT count(*) AS n, arg_min(name, s / i) AS fastest, arg_max(name, s / i) AS slowest, round(avg(i / s), 9) AS avg_ops FROM r""",
+    "throughput_orders": """WITH s AS (SELECT l_returnflag, l_linestatus, count(*) AS i, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS b, sum(l_quantity::BIGINT) AS t FROM lineitem GROUP BY ALL)
+SELECT l_returnflag, l_linestatus, round(i / t::DOUBLE, 9) AS items_per_second, round(b / t::DOUBLE, 9) AS bytes_per_second, round(b / t::DOUBLE / 1048576, 9) AS mb_per_second FROM s""",
     "memory_stats": "WITH c AS (SELECT p_partkey AS ord, sum(CASE WHEN p_partkey % 3 = 0 THEN -p_size ELSE p_size END) OVER (ORDER BY p_partkey) AS now FROM part), b AS (SELECT ord, now - least(0, min(now) OVER (ORDER BY ord)) AS held FROM c) SELECT arg_max(held, ord)::BIGINT AS current, max(held)::BIGINT AS peak FROM b",
 }
