@@ -4,9 +4,11 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tsumugi.llm import burst_counts as bc
+from tsumugi.llm import topn as tn
 from tsumugi.llm.topn import top_n
 
 
@@ -24,7 +26,9 @@ def brute_top(rows, most):
     return out
 
 
-def test_top_n_with_ties_and_a_hot_group(spark):
+@pytest.mark.parametrize("small", [32 << 20, 0])
+def test_top_n_with_ties_and_a_hot_group(spark, monkeypatch, small):
+    monkeypatch.setattr(tn, "SMALL", small)
     rng = random.Random(2)
     rows = [(rng.choice(["a", "b", None, "hot", "hot", "zero"]), rng.choice("uvwxyzäの") + str(rng.randrange(40)), rng.choice([None, float("nan"), -1.0, 2.0, 0.5, 0.5, 0.25, rng.random()])) for _ in range(3000)] + [("b", None, 0.9)]
     most = {"a": 3, "b": 1, None: 2, "hot": 12, "zero": 0}

@@ -10,8 +10,9 @@ ranking prunes them to N in every task before it shuffles.
 
 Counting is by (group, item) and (group, bin), so a group with a third of all rows is
 spread over all tasks and only its BINS counters meet. The thresholds have one row per group
-above N; where they are too many to be broadcast, the adaptive planner splits the rows of a
-hot group in the join.
+above N. They are written and measured: up to SMALL bytes they are broadcast, so that nothing
+is shuffled before it is pruned; beyond, they are joined by group, where the adaptive planner
+splits the rows of a hot group.
 
 Defined results: scores that are NULL or NaN are not ranked; scores are clamped to
 [0, 1]; an item counts once per group with its highest score; N is per group, NULL
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from tsumugi.runtime import durable
 
 BINS = 256
+SMALL = 32 << 20  # bytes of thresholds that are broadcast
 
 
 def top_n(rows: DataFrame, group: list[str], item: str, score: str, most: str, limit: int, bins: int = BINS) -> DataFrame:
@@ -48,6 +50,9 @@ def top_n(rows: DataFrame, group: list[str], item: str, score: str, most: str, l
     reached = above.groupBy(*[F.col(g).alias(f"_{g}") for g in group]).agg(F.min(F.when(F.col("_above") < F.col(most), F.col("_bin"))).alias("_least"), F.sum("_n").alias("_all"), F.max(most).alias("_most"))
     thresholds = reached.where(F.col("_all") > F.col("_most")).drop("_all", "_most")
 
+    thresholds = durable(thresholds)
+    size = thresholds.agg(F.coalesce(F.sum(F.lit(64) + sum((F.coalesce(F.octet_length(F.col(f"_{g}").cast("string")), F.lit(0)) for g in group), F.lit(0))), F.lit(0))).first()[0]
+    thresholds = F.broadcast(thresholds) if size <= SMALL else thresholds
     same = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group]
     survivors = best.join(thresholds, same, "left").where(F.col("_least").isNull() | (F.col("_bin") >= F.col("_least")))
     order = Window.partitionBy(*group).orderBy(F.desc(score), F.asc(item))
