@@ -11,7 +11,7 @@ from tsumugi.operators import lattice as la
 from tsumugi.operators import paths as pa
 from tsumugi.operators import solver as so
 from tsumugi.operators import viterbi as vi
-from tsumugi.operators.lexicon import NO_CONNECTION, UNKNOWN, UNKNOWN_COST, category, category_sql, example_lexicon
+from tsumugi.operators.lexicon import NO_CONNECTION, UNKNOWN, UNKNOWN_COST, Lexicon, category, category_sql, example_lexicon
 
 
 def lexicon(spark, seed=1):
@@ -205,3 +205,15 @@ def test_entries_of_the_search(spark):
     for r in rows:
         others = [x.cumulative_cost for x in rows if x.text_id == r.text_id and x.end_pos == r.end_pos and not x.on_best_path]
         assert r.cost_delta == (min(others) - r.cumulative_cost if r.on_best_path and others else None)
+
+
+def test_nulls_in_any_column_of_a_lexicon(spark):
+    entries = spark.createDataFrame([("a", 1, None, None, None, None, None), (None, 2, 0, 0, 0, 5, "x"), ("", 3, 0, 0, 0, 5, "x"), ("b", None, 0, 0, 0, 7, "y")], "surface string, word_id long, left_id int, right_id int, pos_id int, wcost int, feature string")
+    connections = spark.createDataFrame([(0, 0, 3), (None, 0, 1), (0, None, 1)], "right_id int, left_id int, cost int")
+    unknown = spark.createDataFrame([("ALPHA", 0, None, 0, 0, None, None)], UNKNOWN)
+    df = spark.createDataFrame([(1, "bab"), (2, "bz"), (None, "b"), (4, None)], "text_id long, text string")
+    lex = Lexicon.of(entries, connections, unknown)
+    for most in (2_000_000, 1):
+        rows = {(r.text_id, r.token_ix): (r.surface, r.wcost, r.ccost) for r in vi.tokenize(df.where("text_id is not null"), lex, most_entries=most).collect()}
+        assert rows == {(1, 0): ("b", 7, 3), (1, 1): ("a", 0, NO_CONNECTION), (1, 2): ("b", 7, NO_CONNECTION), (2, 0): ("b", 7, 3), (2, 1): ("z", UNKNOWN_COST, NO_CONNECTION)}
+    assert vi.tokenize(df, lex).where("text_id is null").count() == 1

@@ -53,11 +53,11 @@ def unknown_nodes(texts: DataFrame, lexicon: Lexicon, known: DataFrame) -> DataF
     bare = spots.join(known.select("text_id", "start_pos").distinct(), ["text_id", "start_pos"], "left_anti")
     lengths = F.when(F.col("category").isin(*grouping) & (F.col("run") > 1), F.sequence(F.lit(1), F.col("run"))).otherwise(F.array(F.lit(1)))
     spans = bare.select("text_id", "text", "start_pos", "category", F.explode(lengths).alias("n"))
-    nodes = spans.join(lexicon.unknown, "category", "left").where((F.col("n") == 1) | F.coalesce(F.col("entry_ix") == 0, F.lit(True)))
+    nodes = spans.join(lexicon.unknown.withColumn("_there", F.lit(True)), "category", "left").where((F.col("n") == 1) | F.coalesce(F.col("entry_ix") == 0, F.lit(True)))
+    member = lambda name, default: F.when(F.col("_there"), F.col(name)).otherwise(default).alias(name)
     return nodes.select(
         "text_id", "start_pos", (F.col("start_pos") + F.col("n")).alias("end_pos"), F.expr("substring(text, start_pos + 1, n)").alias("surface"), F.lit(1).alias("layer"), F.lit(None).cast("long").alias("word_id"),
-        F.coalesce("left_id", F.lit(0)).alias("left_id"), F.coalesce("right_id", F.lit(0)).alias("right_id"), F.coalesce("pos_id", F.lit(0)).alias("pos_id"),
-        F.coalesce("wcost", F.lit(UNKNOWN_COST)).alias("wcost"), F.coalesce("feature", F.concat(F.lit("未知語,"), F.col("category"))).alias("feature"), F.lit(True).alias("is_unknown"), F.coalesce("entry_ix", F.lit(0)).alias("_template"),
+        member("left_id", F.lit(0)), member("right_id", F.lit(0)), member("pos_id", F.lit(0)), member("wcost", F.lit(UNKNOWN_COST)), member("feature", F.concat(F.lit("未知語,"), F.col("category"))), F.lit(True).alias("is_unknown"), F.coalesce("entry_ix", F.lit(0)).alias("_template"),
     )
 
 

@@ -55,6 +55,12 @@ def category_sql(character: str) -> str:
     return f"CASE WHEN instr('{KANJI_NUMERALS}', {character}) > 0 THEN 'KANJINUMERIC' {cases} ELSE 'DEFAULT' END"
 
 
+def _priced(rows: DataFrame, schema: str, cost: int) -> DataFrame:
+    """The columns of a schema, with a cost for rows without one."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    return rows.select(*[F.coalesce("wcost", F.lit(cost)).alias("wcost") if c == "wcost" else c for c in names])
+
+
 @dataclass(frozen=True)
 class Categories:
     """Categories of characters by a table of code points (None: the ranges above) and which of them group runs."""
@@ -70,6 +76,9 @@ class Categories:
 class Lexicon:
     """entries (ENTRY), connections (CONNECTION) and unknown-word templates (UNKNOWN).
 
+    Entries without a cost cost 0, templates without one UNKNOWN_COST; ids that are NULL connect to
+    nothing; entries without a surface are never found.
+
     ``characters`` (codepoint, category, group) is the character table of a dictionary; without
     one the ranges above hold. ``entities`` (surface, uri, confidence) come with a semantic pool.
     """
@@ -117,11 +126,11 @@ class Lexicon:
         spark = entries.sparkSession
         if "layer" not in entries.columns:
             entries = entries.withColumn("layer", F.lit(1))
-        columns = [c.split()[0] for c in ENTRY.split(", ")]
+        unknown = unknown if unknown is not None else spark.createDataFrame([], UNKNOWN)
         return cls(
-            entries.select(*columns),
+            _priced(entries, ENTRY, 0),
             connections if connections is not None else spark.createDataFrame([], CONNECTION),
-            unknown if unknown is not None else spark.createDataFrame([], UNKNOWN),
+            _priced(unknown, UNKNOWN, UNKNOWN_COST),
             characters,
         )
 
@@ -145,7 +154,7 @@ class Lexicon:
     def with_entries(self, words: DataFrame) -> Lexicon:
         """Words of a layer above the system entries: they come first among equals."""
         added = words.withColumn("word_id", F.lit(None).cast("long")).withColumn("layer", F.lit(0))
-        return replace(self, entries=self.entries.unionByName(added.select(*self.entries.columns)))
+        return replace(self, entries=self.entries.unionByName(_priced(added, ENTRY, 0)))
 
     def add_words(self, words: list[tuple[str, str, str, int]]) -> Lexicon:
         """Proper nouns given as (surface, reading, pronunciation, cost)."""
