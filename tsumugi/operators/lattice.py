@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tsumugi.operators.lexicon import NO_CONNECTION, UNKNOWN_COST, Lexicon
-from tsumugi.operators.solver import Words, fits
+from tsumugi.operators.solver import Words
 from tsumugi.runtime import spread
 
 NODE = ["text_id", "start_pos", "end_pos", "surface", "layer", "word_id", "left_id", "right_id", "pos_id", "wcost", "feature", "is_unknown"]
@@ -74,10 +74,11 @@ def lattice_nodes(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
 
     Texts are read where they lie if the lexicon fits into a task, and joined with it else.
     """
-    if not fits(lexicon):
+    words = Words.fitting(lexicon)
+    if words is None:
         return joined_nodes(texts, lexicon)
     rows = texts.select("text_id", "text").where(F.col("text").isNotNull() & (F.col("text") != ""))
-    shared = texts.sparkSession.sparkContext.broadcast(Words.of(lexicon))
+    shared = texts.sparkSession.sparkContext.broadcast(words)
     key = rows.schema.fields[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,10 +113,11 @@ def search_entries(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
     ``cost_delta``: for nodes on the best path, how much dearer the best other node is that ends
     at the same position. The lexicon must fit into a task.
     """
-    if not fits(lexicon):
+    words = Words.fitting(lexicon)
+    if words is None:
         raise ValueError("the lexicon is too large to be held by every task")
     rows = texts.select(F.col("text_id").cast("long").alias("text_id"), "text").where(F.col("text").isNotNull() & (F.col("text") != ""))
-    shared = texts.sparkSession.sparkContext.broadcast(Words.of(lexicon))
+    shared = texts.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value.prepare()

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from array import array
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +17,10 @@ MOST_BYTES = 256 << 20  # of surfaces and features that every task holds
 MOST_CELLS = 64 << 20  # of the connection matrix, 4 bytes each
 
 
-def fits(lexicon: Lexicon, most_entries: int = MOST_ENTRIES) -> bool:
-    """Whether a lexicon is small enough to be held by every task."""
+def fits(entries: DataFrame, most_entries: int = MOST_ENTRIES) -> bool:
+    """Whether the entries of a lexicon are few enough to be held by every task."""
     text = F.coalesce(F.octet_length("surface"), F.lit(0)) + F.coalesce(F.octet_length("feature"), F.lit(0))
-    size = lexicon.entries.agg(F.count(F.lit(1)), F.sum(text)).first()
+    size = entries.agg(F.count(F.lit(1)), F.sum(text)).first()
     return size[0] <= most_entries and (size[1] or 0) <= MOST_BYTES
 
 
@@ -36,11 +36,15 @@ class Matrix:
 
     @classmethod
     def of(cls, connections: DataFrame) -> Matrix:
-        sizes = connections.agg(F.count_distinct("right_id"), F.count_distinct("left_id")).first()
-        if (sizes[0] + 1) * (sizes[1] + 1) > MOST_CELLS:
+        """Of several costs of one pair of ids the greatest counts; cells are counted before they are gathered."""
+        cells = connections.where("right_id is not null and left_id is not null").groupBy("right_id", "left_id").agg(F.max("cost").alias("cost"))
+        if connections.count() > MOST_CELLS and cells.count() > MOST_CELLS:
+            raise ValueError(f"more than {MOST_CELLS} connection costs")
+        right, left, cost = (c.to_numpy() for c in cells.toArrow().columns)
+        sizes = len(np.unique(right)) + 1, len(np.unique(left)) + 1
+        if sizes[0] * sizes[1] > MOST_CELLS:
             raise ValueError(f"a connection matrix of {sizes[0]} x {sizes[1]} ids exceeds {MOST_CELLS} cells")
-        cells = connections.where("right_id is not null and left_id is not null").groupBy("right_id", "left_id").agg(F.max("cost").alias("cost")).toArrow()
-        return cls(*(cells.column(i).to_numpy() for i in range(3)))
+        return cls(right, left, cost)
 
     def right(self, i: int) -> int:
         return self.rights.get(i, len(self.rights))
@@ -66,12 +70,22 @@ class Words:
     categories: Categories
     ready: bool = False
 
+    @classmethod
+    def fitting(cls, lexicon: Lexicon, most_entries: int = MOST_ENTRIES) -> Words | None:
+        """The lexicon if every task can hold it; its entries are computed once for that."""
+        entries = lexicon.entries.persist()
+        try:
+            return cls.of(replace(lexicon, entries=entries)) if fits(entries, most_entries) else None
+        finally:
+            entries.unpersist()
+
     @classmethod
     def of(cls, lexicon: Lexicon) -> Words:
         columns = ["surface", "layer", "word_id", "left_id", "right_id", "pos_id", "wcost", "feature"]
         entries = lexicon.entries.where("surface is not null and surface <> ''").select(*columns, F.coalesce("word_id", F.lit(-1)).alias("_word")).toArrow()
         entries = entries.sort_by([(c, "ascending") for c in ("surface", "layer", "_word", "wcost", "left_id", "feature")]).select(columns)
-        templates = lexicon.unknown.orderBy("category", "entry_ix").select(F.col("category").alias("surface"), F.lit(1).alias("layer"), F.lit(None).cast("long").alias("word_id"), *columns[3:]).toArrow()
+        templates = lexicon.unknown.select(F.col("category").alias("surface"), "entry_ix", F.lit(1).alias("layer"), F.lit(None).cast("long").alias("word_id"), *columns[3:]).toArrow()
+        templates = templates.sort_by([("surface", "ascending"), ("entry_ix", "ascending")]).drop_columns("entry_ix")
         return cls(pa.concat_tables([entries, templates.cast(entries.schema)]), len(entries), Matrix.of(lexicon.connections), lexicon.categories())
 
     def __getstate__(self) -> dict:

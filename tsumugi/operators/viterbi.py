@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tsumugi.operators.lattice import joined_nodes
 from tsumugi.operators.lexicon import Lexicon
-from tsumugi.operators.solver import MOST_ENTRIES, Matrix, Words, fits
+from tsumugi.operators.solver import MOST_ENTRIES, Matrix, Words
 from tsumugi.runtime import spread
 
 TOKENS = "text_id long, path_no int, path_cost long, token_ix int, surface string, start_pos int, end_pos int, word_id long, pos_id int, left_id int, right_id int, wcost int, ccost int, feature string, is_unknown boolean"
@@ -147,9 +147,10 @@ def _solved(ids: list[int], texts: list[str], words: Words, k: int, compat_eos:
 def tokenize(texts: DataFrame, lexicon: Lexicon, k: int = 1, compat_eos: bool = False, most_entries: int = MOST_ENTRIES) -> DataFrame:
     """Tokens of the k best paths of every (text_id, text)."""
     rows = texts.select(F.col("text_id").cast("long").alias("text_id"), "text").where(F.col("text").isNotNull() & (F.col("text") != ""))
-    if not fits(lexicon, most_entries):
+    words = Words.fitting(lexicon, most_entries)
+    if words is None:
         return _tokenize_joined(rows, lexicon, k, compat_eos)
-    shared = texts.sparkSession.sparkContext.broadcast(Words.of(lexicon))
+    shared = texts.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value.prepare()
