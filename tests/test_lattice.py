@@ -147,6 +147,45 @@ def test_nodes_edges_and_stats(spark):
     assert la.connection_stats(matrix).first()[:2] == (-5, 20)
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _names(spark, path, rows=300):
+    """A folder with part names of one to three words; estimated sizes are far below a broadcast's limit."""
+    from tsumugi.plans import lattice as plans
+
+    rng = random.Random(5)
+    names = [(i, " ".join(rng.choices(plans.NAMES, k=rng.randrange(1, 4)))) for i in range(rows)]
+    spark.createDataFrame([*names, (rows, ""), (rows + 1, None), (rows + 2, "qx red"), (None, "red")], "p_partkey long, p_name string").write.parquet(f"{path}/part.parquet")
+    return str(path)
+
+
+def test_edges_on_the_best_path_by_search_and_by_joins(spark):
+    words, lex, cells = lexicon(spark)
+    df = spark.createDataFrame([*enumerate(TEXTS), (None, "ab")], "text_id long, text string")
+    by_search, by_joins = (sorted(map(tuple, pa.flagged_edges(df, lex, n).select("text_id", "from_end", "from_ix", "to_end", "to_ix", "ccost", "wcost", "on_best_path").collect())) for n in (2_000_000, 1))
+    assert by_search == by_joins
+    costs = {i: sum(e[5] + e[6] for e in by_search if e[0] == i and e[7]) for i, t in enumerate(TEXTS) if t is not None}
+    assert costs == {i: brute(t, words, cells)[0][0] for i, t in enumerate(TEXTS) if t is not None}
+
+
+def test_best_path_edges_of_many_texts_are_not_broadcast(spark, tmp_path, monkeypatch):
+    from tsumugi.plans import lattice as plans
+
+    base = _names(spark, tmp_path)
+    monkeypatch.setattr(la, "MOST_ROWS", 50, raising=False)
+    found = plans.best_path_edges_part(spark, base)
+    assert "Broadcast" not in _plan(found)
+    got = {r.text_id: (r.n_on, r.cost) for r in found.collect()}
+    want = {r.text_id: (r.n_tokens + 1, r.cost) for r in plans.viterbi_part_costs(spark, base).where("text_id is not null").collect()}
+    assert got.pop(300) == (1, dict(((r, c), x) for r, c, x in plans.CELLS)[0, 0]) and got == want and 302 in got
+    texts, lex = plans.part_texts(spark, base), plans.part_lexicon(spark)
+    nodes = la.lattice_nodes(texts, lex)
+    joined = pa.best_path_edges(la.lattice_edges(nodes, texts, lex), vi.tokenize(texts, lex), nodes)
+    assert "BroadcastExchange" not in _plan(joined)
+
+
 def test_k_shortest_paths_and_diversity(spark):
     nodes = spark.createDataFrame([(1, n, c) for n, c in enumerate([0, 1, 2, 0])], "graph_id int, node int, cost long")
     edges = spark.createDataFrame([(1, a, b, 1) for a, b in ((0, 1), (0, 2), (1, 3), (2, 3))], "graph_id int, src int, dst int, cost long")

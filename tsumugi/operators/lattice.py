@@ -133,14 +133,54 @@ def search_entries(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
     return entries.withColumn("cost_delta", F.when(F.col("on_best_path"), other - F.col("cumulative_cost")))
 
 
+EDGES = "from_end int, from_ix int, to_end int, to_ix int, ccost int, wcost int, on_best_path boolean"
+MOST_ROWS = 1 << 17  # from which on edges are handed on within a batch of texts
+
+
+def text_edges(texts: DataFrame, words: Words) -> DataFrame:
+    """Edges of (text_id, text) as ``lattice_edges`` gives them, and whether they are on the best path, read along each text without a join.
+
+    Texts that are equal are searched once per batch. NULL ids and texts have no edges.
+    """
+    rows = texts.select("text_id", "text").where(F.col("text_id").isNotNull() & F.col("text").isNotNull())
+    shared = texts.sparkSession.sparkContext.broadcast(words)
+    key = rows.schema.fields[0].dataType.simpleString()
+    names = ["text_id", *(c.split()[0] for c in EDGES.split(", "))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value.prepare()
+
+        def edges(ids: pa.Array, found: list[np.ndarray]) -> pa.RecordBatch:
+            whose = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            columns = np.concatenate(found).T
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(whose)), *(pa.array(c.astype(np.int32)) for c in columns[:-1]), pa.array(columns[-1].astype(bool))], names=names)
+
+        for batch in batches:
+            seen: dict[str, np.ndarray] = {}
+            found, first, size = [], 0, 0
+            for n, text in enumerate(batch.column(1).to_pylist(), 1):
+                if text not in seen:
+                    seen[text] = np.array(words.edges(text), np.int64)
+                found.append(seen[text])
+                size += len(seen[text])
+                if size >= MOST_ROWS or n == len(batch):
+                    yield edges(batch.column(0).slice(first, n - first), found)
+                    found, first, size = [], n, 0
+
+    return spread(rows).mapInArrow(run, f"text_id {key}, {EDGES}")
+
+
 def lattice_edges(nodes: DataFrame, texts: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """Edges between nodes that meet, from the begin (node_ix -1 at 0) and to the end of each text, with costs."""
+    """Edges between nodes that meet, from the begin (node_ix -1 at 0) and to the end of each text, with costs.
+
+    Estimated sizes of nodes are those of their texts, far too low, so the side to broadcast is not left to Catalyst here.
+    """
     ends = texts.select("text_id", F.char_length("text").alias("n"))
     head = ends.select("text_id", F.lit(0).alias("from_end"), F.lit(-1).alias("from_ix"), F.lit(0).alias("right_id"))
     left = nodes.select("text_id", F.col("end_pos").alias("from_end"), F.col("node_ix").alias("from_ix"), "right_id").unionByName(head)
     tail = ends.select("text_id", F.col("n").alias("start_pos"), (F.col("n") + 1).alias("to_end"), F.lit(-1).alias("to_ix"), F.lit(0).alias("left_id"), F.lit(0).alias("wcost"))
     right = nodes.select("text_id", "start_pos", F.col("end_pos").alias("to_end"), F.col("node_ix").alias("to_ix"), "left_id", "wcost").unionByName(tail)
-    meet = left.join(right, (left.text_id == right.text_id) & (left.from_end == right.start_pos)).drop(right.text_id)
+    meet = left.hint("merge").join(right, (left.text_id == right.text_id) & (left.from_end == right.start_pos)).drop(right.text_id)
     cells = lexicon.connections.select("right_id", "left_id", F.col("cost").alias("ccost"))
     return meet.join(cells, ["right_id", "left_id"], "left").select("text_id", "from_end", "from_ix", "to_end", "to_ix", F.coalesce("ccost", F.lit(NO_CONNECTION)).alias("ccost"), "wcost")
 

@@ -8,6 +8,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tsumugi.operators.lattice import joined_nodes, lattice_edges, text_edges
+from tsumugi.operators.lexicon import Lexicon
+from tsumugi.operators.solver import MOST_ENTRIES, Words
+from tsumugi.operators.viterbi import tokenize
 from tsumugi.runtime import durable
 
 MOST_EDGES = 1_000_000  # of one graph that is searched in one task
@@ -42,13 +46,22 @@ def what_if(tokens: DataFrame, right_id: int, left_id: int, cost: int) -> DataFr
     return whole.select("text_id", "path_no", (F.col("path_cost") + F.col("_d")).alias("path_cost"))
 
 
+def flagged_edges(texts: DataFrame, lexicon: Lexicon, most_entries: int = MOST_ENTRIES) -> DataFrame:
+    """All edges of (text_id, text) with a flag for those on the best path: read along the texts if the lexicon fits into a task, joined else."""
+    words = Words.fitting(lexicon, most_entries)
+    if words is not None:
+        return text_edges(texts, words)
+    nodes = joined_nodes(texts, lexicon)
+    return best_path_edges(lattice_edges(nodes, texts, lexicon), tokenize(texts, lexicon, most_entries=most_entries), nodes)
+
+
 def best_path_edges(edges: DataFrame, tokens: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges with a flag for those on the best path of their text."""
+    """Edges with a flag for those on the best path of their text. All sides grow with the texts: none is broadcast."""
     spans = tokens.where(F.col("path_no") == 1).select("text_id", "start_pos", "end_pos", "left_id", "right_id", "wcost", "feature")
-    on = nodes.join(spans, ["text_id", "start_pos", "end_pos", "left_id", "right_id", "wcost", "feature"]).groupBy("text_id", "start_pos", "end_pos").agg(F.min("node_ix").alias("ix"))
+    on = nodes.hint("merge").join(spans, ["text_id", "start_pos", "end_pos", "left_id", "right_id", "wcost", "feature"]).groupBy("text_id", "start_pos", "end_pos").agg(F.min("node_ix").alias("ix"))
     into = on.select("text_id", F.col("end_pos").alias("to_end"), F.col("ix").alias("to_ix"), F.lit(1).alias("_to"))
     out = on.select("text_id", F.col("end_pos").alias("from_end"), F.col("ix").alias("from_ix"), F.lit(1).alias("_from"))
-    joined = edges.join(into, ["text_id", "to_end", "to_ix"], "left").join(out, ["text_id", "from_end", "from_ix"], "left")
+    joined = edges.join(into.hint("merge"), ["text_id", "to_end", "to_ix"], "left").join(out.hint("merge"), ["text_id", "from_end", "from_ix"], "left")
     begins, ends = F.col("from_ix") == -1, F.col("to_ix") == -1
     return joined.withColumn("on_best_path", (F.col("_from").isNotNull() | begins) & (F.col("_to").isNotNull() | ends)).drop("_from", "_to")
 

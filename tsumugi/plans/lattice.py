@@ -64,9 +64,7 @@ def lattice_stats_part(spark: SparkSession, base: str) -> DataFrame:
 
 
 def best_path_edges_part(spark: SparkSession, base: str) -> DataFrame:
-    texts, lexicon = part_texts(spark, base), part_lexicon(spark)
-    nodes = la.lattice_nodes(texts, lexicon)
-    flagged = pa.best_path_edges(la.lattice_edges(nodes, texts, lexicon), vi.tokenize(texts, lexicon), nodes)
+    flagged = pa.flagged_edges(part_texts(spark, base), part_lexicon(spark))
     return flagged.groupBy("text_id").agg(F.count_if("on_best_path").alias("n_on"), F.sum(F.when(F.col("on_best_path"), F.col("ccost") + F.col("wcost"))).alias("cost"))
 
 
