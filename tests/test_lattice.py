@@ -186,6 +186,18 @@ def test_best_path_edges_of_many_texts_are_not_broadcast(spark, tmp_path, monkey
     assert "BroadcastExchange" not in _plan(joined)
 
 
+def test_lattice_edges_of_many_texts_are_not_broadcast(spark, tmp_path):
+    from tsumugi.plans import lattice as plans
+
+    base = _names(spark, tmp_path)
+    found = plans.lattice_edges_part(spark, base)
+    assert "Join" not in _plan(found)
+    texts, lex = plans.part_texts(spark, base), plans.part_lexicon(spark)
+    joined = la.all_edges(texts, lex, 1)
+    assert found.columns == joined.columns and [f.dataType for f in found.schema] == [f.dataType for f in joined.schema]
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, joined.collect()))
+
+
 def test_k_shortest_paths_and_diversity(spark):
     nodes = spark.createDataFrame([(1, n, c) for n, c in enumerate([0, 1, 2, 0])], "graph_id int, node int, cost long")
     edges = spark.createDataFrame([(1, a, b, 1) for a, b in ((0, 1), (0, 2), (1, 3), (2, 3))], "graph_id int, src int, dst int, cost long")

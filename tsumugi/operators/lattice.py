@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tsumugi.operators.lexicon import NO_CONNECTION, UNKNOWN_COST, Lexicon
-from tsumugi.operators.solver import Words
+from tsumugi.operators.solver import MOST_ENTRIES, Words
 from tsumugi.runtime import spread
 
 NODE = ["text_id", "start_pos", "end_pos", "surface", "layer", "word_id", "left_id", "right_id", "pos_id", "wcost", "feature", "is_unknown"]
@@ -170,6 +170,12 @@ def text_edges(texts: DataFrame, words: Words) -> DataFrame:
     return spread(rows).mapInArrow(run, f"text_id {key}, {EDGES}")
 
 
+def all_edges(texts: DataFrame, lexicon: Lexicon, most_entries: int = MOST_ENTRIES) -> DataFrame:
+    """All edges of (text_id, text): read along the texts if the lexicon fits into a task, joined else."""
+    words = Words.fitting(lexicon, most_entries)
+    return lattice_edges(joined_nodes(texts, lexicon), texts, lexicon) if words is None else text_edges(texts, words).drop("on_best_path")
+
+
 def lattice_edges(nodes: DataFrame, texts: DataFrame, lexicon: Lexicon) -> DataFrame:
     """Edges between nodes that meet, from the begin (node_ix -1 at 0) and to the end of each text, with costs.
 

@@ -54,8 +54,7 @@ def lattice_nodes_part(spark: SparkSession, base: str) -> DataFrame:
 
 
 def lattice_edges_part(spark: SparkSession, base: str) -> DataFrame:
-    texts, lexicon = part_texts(spark, base), part_lexicon(spark)
-    return la.lattice_edges(la.lattice_nodes(texts, lexicon), texts, lexicon)
+    return la.all_edges(part_texts(spark, base), part_lexicon(spark))
 
 
 def lattice_stats_part(spark: SparkSession, base: str) -> DataFrame:
