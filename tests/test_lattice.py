@@ -198,6 +198,28 @@ def test_lattice_edges_of_many_texts_are_not_broadcast(spark, tmp_path):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, joined.collect()))
 
 
+def test_lookup_of_many_texts_is_not_broadcast(spark, tmp_path):
+    from tsumugi.plans import words as plans
+    from tsumugi.plans.lattice import WORDS, part_texts
+
+    base = _names(spark, tmp_path)
+    found = plans.overlay_lookup(spark, base)
+    assert "Join" not in _plan(found)
+    texts = [r.text or "" for r in part_texts(spark, base).collect()]
+    over = [(w, 1, c) for w, _, _, c in WORDS] + [("bluebolt", 0, 500), ("red", 0, 900)]
+    n = {(w, layer, cost): sum(t.startswith(w, i) for t in texts for i in range(len(t))) for w, layer, cost in over}
+    assert {(r.surface, r.layer, r.wcost): r.n for r in found.collect()} == {k: x for k, x in n.items() if x}
+
+
+def test_entries_found_by_search_and_by_joins(spark):
+    _, lex, _ = lexicon(spark)
+    lex = lex.add_words([("東京", "ト", "ト", 5), ("ab", "a", "a", 7)])
+    df = spark.createDataFrame([*enumerate(TEXTS), (None, "ab")], "text_id long, text string")
+    by_search, by_joins = (sorted(map(tuple, la.entries_found(df, lex, n).groupBy("surface", "layer", "wcost").agg(F.sum("n")).collect())) for n in (2_000_000, 1))
+    assert by_search == by_joins and ("東京", 0, 5, 2) in by_search
+    assert "BroadcastExchange" not in _plan(la.joined_nodes(df, lex))
+
+
 def test_k_shortest_paths_and_diversity(spark):
     nodes = spark.createDataFrame([(1, n, c) for n, c in enumerate([0, 1, 2, 0])], "graph_id int, node int, cost long")
     edges = spark.createDataFrame([(1, a, b, 1) for a, b in ((0, 1), (0, 2), (1, 3), (2, 3))], "graph_id int, src int, dst int, cost long")

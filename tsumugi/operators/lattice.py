@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,12 +35,40 @@ def positions(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def dictionary_nodes(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """Nodes of entries that start at each position; Catalyst broadcasts the entries if they are small."""
+    """Nodes of entries that start at each position, by a join with all substrings. Their estimated size is that of the texts,
+    far too low, so they must not be the side that is broadcast."""
     longest = lexicon.entries.agg(F.max(F.char_length("surface"))).first()[0] or 0
     spans = texts.where(F.char_length("text") > 0).select("text_id", "text", F.explode(F.sequence(F.lit(0), F.char_length("text") - 1)).alias("start_pos"))
     spans = spans.select("text_id", "text", "start_pos", F.explode(F.sequence(F.lit(1), F.least(F.lit(max(longest, 1)), F.char_length("text") - F.col("start_pos")))).alias("n"))
     keys = spans.select("text_id", "start_pos", (F.col("start_pos") + F.col("n")).alias("end_pos"), F.expr("substring(text, start_pos + 1, n)").alias("surface"))
-    return keys.join(lexicon.entries, "surface").withColumn("is_unknown", F.lit(False)).select(*NODE)
+    return keys.hint("merge").join(lexicon.entries, "surface").withColumn("is_unknown", F.lit(False)).select(*NODE)
+
+
+def entries_found(texts: DataFrame, lexicon: Lexicon, most_entries: int = MOST_ENTRIES) -> DataFrame:
+    """surface, layer and wcost of entries that start anywhere in (text_id, text), and n, how often; several rows of one entry add up.
+
+    A lexicon that fits into a task is counted along the texts there, so what leaves a task is no larger than the lexicon.
+    """
+    words = Words.fitting(lexicon, most_entries)
+    if words is None:
+        return dictionary_nodes(texts, lexicon).groupBy("surface", "layer", "wcost").agg(F.count(F.lit(1)).alias("n"))
+    rows = texts.select("text").where(F.col("text").isNotNull() & (F.col("text") != ""))
+    shared = texts.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value.prepare()
+        counts = np.zeros(words.known, np.int64)
+        for batch in batches:
+            for same in pc.value_counts(batch.column(0)).to_pylist():
+                for found in words.nodes(same["values"]):
+                    for _, node in found:
+                        if node < words.known:
+                            counts[node] += same["counts"]
+        at = np.flatnonzero(counts)
+        members = words.table.select(["surface", "layer", "wcost"]).take(pa.array(at)).combine_chunks()
+        yield from members.append_column("n", pa.array(counts[at])).to_batches()
+
+    return spread(rows).mapInArrow(run, "surface string, layer int, wcost int, n long")
 
 
 def unknown_nodes(texts: DataFrame, lexicon: Lexicon, known: DataFrame) -> DataFrame:
@@ -50,7 +79,7 @@ def unknown_nodes(texts: DataFrame, lexicon: Lexicon, known: DataFrame) -> DataF
     island = F.sum(F.when(F.lag("category").over(by_text) == F.col("category"), 0).otherwise(1)).over(by_text)
     spots = spots.withColumn("island", island)
     spots = spots.withColumn("run", F.max("start_pos").over(Window.partitionBy("text_id", "island")) - F.col("start_pos") + 1)
-    bare = spots.join(known.select("text_id", "start_pos").distinct(), ["text_id", "start_pos"], "left_anti")
+    bare = spots.join(known.select("text_id", "start_pos").distinct().hint("merge"), ["text_id", "start_pos"], "left_anti")
     lengths = F.when(F.col("category").isin(*grouping) & (F.col("run") > 1), F.sequence(F.lit(1), F.col("run"))).otherwise(F.array(F.lit(1)))
     spans = bare.select("text_id", "text", "start_pos", "category", F.explode(lengths).alias("n"))
     nodes = spans.join(lexicon.unknown.withColumn("_there", F.lit(True)), "category", "left").where((F.col("n") == 1) | F.coalesce(F.col("entry_ix") == 0, F.lit(True)))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tsumugi.operators import words as wo
+from tsumugi.operators.lattice import entries_found
 from tsumugi.plans.lattice import WORDS, part_lexicon, part_texts
 from tsumugi.plans.text import WS
 from tsumugi.runtime import numbered, table
@@ -65,11 +66,9 @@ def overlay_entries(spark: SparkSession, base: str) -> DataFrame:
 
 def overlay_lookup(spark: SparkSession, base: str) -> DataFrame:
     """Run-time words ahead of system words in a prefix lookup over the part names."""
-    from tsumugi.operators.lattice import dictionary_nodes
-
     lexicon = part_lexicon(spark).add_words([("bluebolt", "ブルーボルト", "ブルーボルト", 500), ("red", "レッド", "レッド", 900)])
-    nodes = dictionary_nodes(part_texts(spark, base), lexicon)
-    return nodes.groupBy("surface", "layer").agg(F.count(F.lit(1)).alias("n"), F.min("wcost").alias("wcost"))
+    found = entries_found(part_texts(spark, base), lexicon)
+    return found.groupBy("surface", "layer").agg(F.sum("n").alias("n"), F.min("wcost").alias("wcost"))
 
 
 def _trim(x: str) -> str:
