@@ -231,6 +231,24 @@ def test_k_shortest_paths_and_diversity(spark):
     assert (d.n_nodes, d.n_edges, d.mean_distance) == (4, 4, 0.5)
 
 
+def test_path_diversity_of_many_texts_is_not_broadcast(spark, tmp_path):
+    from tsumugi.plans import lattice as plans
+
+    found = plans.path_diversity_part(spark, _names(spark, tmp_path))
+    assert "Join" not in _plan(found)
+    schema = "graph_id long, rank_no int, path array<string>"
+    rng = random.Random(8)
+    rows = [(g, n, [rng.choice("abcd") for _ in range(rng.randrange(1, 6))]) for g in range(40) for n in range(rng.randrange(1, 5))]
+    rows += [(40, 1, []), (40, 2, ["a"]), (41, 1, ["a", None, "a", None]), (42, 1, None), (42, 2, ["a", "b"])]
+    got = {r[0]: r[1:] for r in pa.path_diversity(spark.createDataFrame([*rows, (43, 1, []), (43, 2, [])], schema)).collect()}
+    for g in range(43):
+        mine = [p for i, _, p in rows if i == g and p is not None]
+        pairs = [1 - len({*p} & {*q}) / len({*p} | {*q}) for i, p in enumerate(mine) for q in mine[:i]]
+        want = (len({x for p in mine for x in p} - {None}), len({e for p in mine for e in zip(p, p[1:])}), sum(pairs) / max(1, len(pairs)))
+        assert tuple(got[g]) == pytest.approx(want), g
+    assert set(got) == set(range(43))
+
+
 def test_k_shortest_paths_by_search_and_by_joins(spark, monkeypatch):
     rng = random.Random(13)
     nodes, edges = [], []

@@ -188,15 +188,25 @@ def _grown(node_costs: DataFrame, edges: DataFrame, start: int, end: int, keep:
 
 
 def path_diversity(paths: DataFrame) -> DataFrame:
-    """Per graph: distinct nodes and edges of its paths, and their mean pairwise Jaccard distance."""
-    nodes = paths.select("graph_id", F.explode("path").alias("n")).groupBy("graph_id").agg(F.count_distinct("n").alias("n_nodes"))
-    pairs = F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.struct(F.element_at("path", i).alias("a"), F.element_at("path", i + 1).alias("b")))
-    edges = paths.where(F.size("path") > 1).select("graph_id", F.explode(pairs).alias("e")).groupBy("graph_id").agg(F.count_distinct("e").alias("n_edges"))
-    a = paths.select("graph_id", F.col("rank_no").alias("i"), F.col("path").alias("p"))
-    b = paths.select("graph_id", F.col("rank_no").alias("j"), F.col("path").alias("q"))
-    both, either = F.size(F.array_intersect("p", "q")), F.size(F.array_union("p", "q"))
-    distance = a.join(b, "graph_id").where(F.col("i") < F.col("j")).groupBy("graph_id").agg(F.avg(1 - both / either).alias("mean_distance"))
-    return nodes.join(edges, "graph_id", "left").join(distance, "graph_id", "left").select("graph_id", "n_nodes", F.coalesce("n_edges", F.lit(0)).alias("n_edges"), F.coalesce("mean_distance", F.lit(0.0)).alias("mean_distance"))
+    """Per graph: distinct nodes and edges of its paths, and their mean pairwise Jaccard distance.
+
+    The paths of a graph meet once, in one row; nothing is joined. Paths that are NULL don't count.
+    Rows without a graph get no edges and no distance.
+    """
+    either = lambda x, y: F.size(F.array_union(x["p"], y["p"]))
+    distance = lambda x, y: F.when(either(x, y) > 0, 1 - F.size(F.array_intersect(x["p"], y["p"])) / either(x, y)).otherwise(0.0)
+    add = lambda a, x, y: F.when(y["rank_no"] > x["rank_no"], F.struct((a["s"] + distance(x, y)).alias("s"), (a["n"] + 1).alias("n"))).otherwise(a)
+    none = F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("n"))
+    steps = lambda p: F.zip_with(F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0))), F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    distinct = lambda c: F.size(F.filter(c, lambda x, i: (i == 0) | ~x.eqNullSafe(F.get(c, i - 1)))).cast("long")
+
+    met = paths.where(F.col("path").isNotNull()).groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct("rank_no", F.col("path").alias("p")))).alias("ps"))
+    met = met.where(F.exists("ps", lambda x: F.size(x["p"]) > 0)).select(
+        "graph_id", F.sort_array(F.array_compact(F.flatten("ps.p"))).alias("nodes"), F.sort_array(F.flatten(F.transform("ps.p", steps))).alias("edges"),
+        F.aggregate("ps", none, lambda a, x: F.aggregate("ps", a, lambda b, y: add(b, x, y))).alias("d"),
+    )
+    named = F.col("graph_id").isNotNull()
+    return met.select("graph_id", distinct("nodes").alias("n_nodes"), F.when(named, distinct("edges")).otherwise(0).alias("n_edges"), F.when(named & (F.col("d.n") > 0), F.col("d.s") / F.col("d.n")).otherwise(0.0).alias("mean_distance"))
 
 
 def add_costs(costs: Column, addition: int) -> Column:

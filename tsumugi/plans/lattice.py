@@ -112,9 +112,9 @@ def connection_stats(spark: SparkSession, base: str) -> DataFrame:
 
 
 def path_diversity_part(spark: SparkSession, base: str) -> DataFrame:
-    tokens = part_tokens(spark, base, K)
-    node = F.concat_ws(":", "start_pos", "surface")
-    paths = tokens.groupBy("text_id", "path_no").agg(F.array_sort(F.collect_list(F.struct("token_ix", node.alias("n")))).getField("n").alias("path"))
+    node = F.concat_ws(":", "start_pos", "surface").alias("n")
+    tokens = part_tokens(spark, base, K).select("text_id", "path_no", "token_ix", node).repartition("text_id")  # serves both groupings
+    paths = tokens.groupBy("text_id", "path_no").agg(F.array_sort(F.collect_list(F.struct("token_ix", "n"))).getField("n").alias("path"))
     return pa.path_diversity(paths.select(F.col("text_id").alias("graph_id"), F.col("path_no").alias("rank_no"), "path"))
 
 
